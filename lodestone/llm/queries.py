@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact, packing, pii, quality, simhash
+from lodestone.llm import bpe, exact, lm, packing, pii, quality, simhash, toxicity, urls, wavelet
 from lodestone.llm.common import LOWER, UPPER, table
 
 
+def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.classes(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
@@ -24,12 +41,23 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judge(spark, docs, toxicity.fit(spark, docs, table(spark, sf_dir, "labels")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(spark, docs, quality.fit(spark, docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_personal_data, op4_exact_dedup, op7_length_packing, op8_simhash_dedup, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_wavelet_tokens, op2_personal_data, op3_url_filter, op4_exact_dedup, op5_byte_bpe, op6_ppm_scores,
+        op7_length_packing, op8_simhash_dedup, op9_toxicity, op10_quality_rules,
+    )
+}
 
 ORACLES = {
     "op4_exact_dedup": f"""

@@ -34,11 +34,11 @@ def test_batches(spark, odd, documents, empty):
         assert sorted(out.n_tokens) == want and (out.padded_tokens >= out.n_tokens).all()
         size = out.groupby("batch_id").agg(n=("slot", "size"), last=("slot", "max"), pad=("padded_tokens", "max"), kinds=("bucket", "nunique"))
         assert (size.kinds == 1).all() and (size["last"] == size.n - 1).all()
-        assert ((size.n == 1) | (size.n * size.pad <= 2000)).all()
+        assert ((size.n == 1) | (size.n * size["pad"] <= 2000)).all()
         assert sorted(size.index) == list(range(len(size)))
         full = out.groupby("bucket").batch_id.nunique()
         rows = out.groupby("bucket").agg(n=("slot", "size"), pad=("padded_tokens", "max"))
-        assert (full == np.ceil(rows.n / np.maximum(1, 2000 // rows.pad))).all()
+        assert (full == np.ceil(rows.n / np.maximum(1, 2000 // rows["pad"]))).all()
 
 
 def test_long_lengths_round_up(spark):
