@@ -1,6 +1,594 @@
-"""The named queries of the engine and their DuckDB counterparts."""
+"""The named queries of the engine and their DuckDB counterparts, over whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import hashing, paths, text, vector
+from lodestone.operators import filters, graph, ranking, upserts, versions
+from lodestone.plans import views as v
+from lodestone.sources import formats
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+_TS = "coalesce(last_seen_at, created_at)"
+_AGE = f"(epoch_us(TIMESTAMP '2024-02-01') - epoch_us({_TS})) / 86400000000.0"
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------------------
+
+_HAY = "coalesce(file_name, '') || ' ' || coalesce(file_path, '') || ' ' || coalesce(symbol_spine, '') || ' ' || coalesce(summary, '') || ' ' || coalesce(content, '')"
+_SPLIT = r"regexp_replace(regexp_replace(hay, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')"
+
+
+def _hits(terms: list[str]) -> str:
+    one = lambda t: " OR ".join(f"contains({h}, '{f}')" for f in dict.fromkeys([t, text.py_light_stem(t)]) for h in ("plain", "split"))
+    return " + ".join(f"({one(t)})::INTEGER" for t in terms)
+
+
+def _lexical(terms: list[str]) -> str:
+    return f"""hay AS (SELECT *, {_HAY} AS hay FROM v_blob), low AS (SELECT *, lower(hay) AS plain, lower({_SPLIT}) AS split FROM hay),
+      hit AS (SELECT *, {_hits(terms)} AS hits FROM low), lex AS (SELECT *, 0.25 + hits / {len(terms)}.0::DOUBLE * 0.75 AS raw FROM hit WHERE hits > 0)"""
+
+
+_COSINE = "dense AS (SELECT *, list_cosine_similarity(embedding, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS raw FROM v_blob WHERE embedding IS NOT NULL AND (embed_model IS NULL OR embed_model = 'active'))"
+
+
+def _fresh(t: str) -> str:
+    return f"""NOT EXISTS (SELECT 1 FROM v_blob n WHERE n.repo = {t}.repo AND n.file_path = {t}.file_path AND
+      (coalesce(n.last_seen_at, n.created_at) > coalesce({t}.last_seen_at, {t}.created_at) OR (coalesce(n.last_seen_at, n.created_at) = coalesce({t}.last_seen_at, {t}.created_at) AND n.id > {t}.id)))"""
+
+
+def _cut(src: str, out: str, first: int = 200, second: int = 100) -> str:
+    return f"""{out}1 AS (SELECT * FROM {src} ORDER BY raw DESC, id LIMIT {first}), {out}2 AS (SELECT * FROM {out}1 t WHERE {_fresh('t')} ORDER BY raw DESC, id LIMIT {second}),
+      {out} AS (SELECT id, raw, row_number() OVER (ORDER BY raw DESC, id) AS rk FROM {out}2)"""
+
+
+_CALIBRATED = "CASE WHEN raw <= 0 THEN 0.0 WHEN raw >= 1 THEN 1.0 WHEN raw <= 0.12 THEN raw * 3.0 WHEN raw <= 0.38 THEN 0.36 + (raw - 0.12) / 0.26 * 0.32 WHEN raw <= 0.6 THEN 0.68 + (raw - 0.38) / 0.22 * 0.16 ELSE 0.84 + (raw - 0.6) / 0.4 * 0.16 END"
+_TERMS = text.query_terms(v.QUERY_TEXT)
+
+
+@query(f"""WITH {v.BLOBS}, {_COSINE}, {_lexical(_TERMS)}, {_cut('dense', 'd')}, {_cut('lex', 'x')},
+  fused AS (SELECT coalesce(d.id, x.id) AS id, d.raw AS raw, x.raw AS lexical, coalesce(1.0::DOUBLE / (60.0::DOUBLE + d.rk), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + x.rk), 0) AS rrf FROM d FULL JOIN x ON d.id = x.id),
+  final AS (SELECT b.*, f.raw, f.lexical, f.rrf * exp(-0.01 * {_AGE}) AS sim FROM fused f JOIN v_blob b ON b.id = f.id)
+  SELECT id, repo, file_name, file_path, round(sim, 8) AS similarity, round(CASE WHEN raw IS NULL THEN 0.0 ELSE {_CALIBRATED} END, 6) AS dense_sim, round(coalesce(lexical, 0), 6) AS lexical_score
+  FROM final ORDER BY sim DESC, id LIMIT 10""")
+def hybrid_search_rrf(spark, sf):
+    found = ranking.hybrid_search(v.blobs(spark, sf), v.QUERY_TEXT, v.query_vector(spark, sf), v.AS_OF)
+    return found.select("id", "repo", "file_name", "file_path", F.round("similarity", 8).alias("similarity"), r6("dense_sim").alias("dense_sim"), r6("lexical_score").alias("lexical_score"))
+
+
+@query(f"""WITH {v.BLOBS}, {_COSINE}, {_cut('dense', 'd')}
+  SELECT b.id, b.repo, b.file_path, round(d.raw, 6) AS cosine, round(d.raw * exp(-0.01 * {_AGE}), 6) AS decayed FROM d JOIN v_blob b ON b.id = d.id ORDER BY d.raw * exp(-0.01 * {_AGE}) DESC, b.id LIMIT 10""")
+def dense_search_decay(spark, sf):
+    return ranking.dense_search(v.blobs(spark, sf), v.query_vector(spark, sf), v.AS_OF).select("id", "repo", "file_path", r6("cosine").alias("cosine"), r6("decayed").alias("decayed"))
+
+
+@query(f"""WITH {v.BLOBS}, {_COSINE}, {_cut('dense', 'd')}
+  SELECT b.id, round({_CALIBRATED.replace('raw', 'd.raw')} * exp(-0.01 * {_AGE}), 6) AS similarity FROM d JOIN v_blob b ON b.id = d.id ORDER BY d.raw * exp(-0.01 * {_AGE}) DESC, b.id LIMIT 10""")
+def dense_search_calibrated(spark, sf):
+    return ranking.dense_search(v.blobs(spark, sf), v.query_vector(spark, sf), v.AS_OF).select("id", r6("similarity").alias("similarity"))
+
+
+def _keyword(q: str) -> str:
+    return f"""WITH {v.BLOBS}, hay AS (SELECT *, {_HAY} AS hay FROM v_blob), low AS (SELECT *, lower(hay) AS plain, lower({_SPLIT}) AS split FROM hay),
+      hit AS (SELECT *, {_hits(text.query_terms(q))} AS hits, contains(lower(file_name), '{q.lower()}') OR coalesce(contains(lower(file_path), '{q.lower()}'), false) AS named FROM low),
+      scored AS (SELECT *, greatest(CASE WHEN hits > 0 THEN 0.25 + hits / {len(text.query_terms(q))}.0::DOUBLE * 0.75 ELSE 0.0 END, 0.1) * exp(-0.01 * {_AGE}) AS raw FROM hit WHERE hits > 0 OR named),
+      top AS (SELECT * FROM scored ORDER BY raw DESC, id LIMIT 200)
+      SELECT id, repo, file_path, round(raw, 6) AS similarity FROM top t WHERE {_fresh('t')} ORDER BY raw DESC, id LIMIT 10"""
+
+
+@query(_keyword("pathetic clowns"))
+def keyword_search(spark, sf):
+    return ranking.keyword_search(v.blobs(spark, sf), "pathetic clowns", v.AS_OF).withColumn("similarity", r6("similarity"))
+
+
+@query(_keyword("d3.txt"))
+def keyword_fallback_ladder(spark, sf):
+    """No vector: whatever the mode asked for, keywords answer."""
+    return ranking.search(v.blobs(spark, sf), v.AS_OF, query_text="d3.txt", mode="hybrid").withColumn("similarity", r6("similarity"))
+
+
+_SYMBOL_SCORE = "CASE WHEN lower(symbol_name) = '{q}' THEN 1.0 WHEN contains(lower(symbol_name), '{q}') THEN 0.85 WHEN {hits} > 0 THEN greatest((0.25 + ({hits}) / {n}.0::DOUBLE * 0.75) * 0.8, 0.1) END"
+
+
+def _symbol_sql(q: str) -> str:
+    terms = text.query_terms(q)
+    hits = " + ".join("(" + " OR ".join(f"contains(body, '{f}') OR contains(split, '{f}')" for f in dict.fromkeys([t, text.py_light_stem(t)])) + ")::INTEGER" for t in terms)
+    split = _SPLIT.replace("hay", "whole")
+    return f"""WITH {v.SYMBOLS}, w AS (SELECT *, symbol_name || ' ' || signature || ' ' || content AS whole FROM v_symbol), s AS (SELECT *, lower(whole) AS body, lower({split}) AS split FROM w),
+      scored AS (SELECT *, {_SYMBOL_SCORE.format(q=q, hits=hits, n=len(terms))} AS sim FROM s), top AS (SELECT * FROM scored WHERE sim IS NOT NULL ORDER BY sim DESC, id DESC, start_line LIMIT 20),
+      firsts AS (SELECT *, row_number() OVER (PARTITION BY repo, file_path, symbol_name, symbol_type, start_line ORDER BY sim DESC, id DESC) AS n FROM top)
+      SELECT id, symbol_name, symbol_type, file_path, round(sim, 6) AS similarity FROM firsts WHERE n = 1 ORDER BY sim DESC, id DESC LIMIT 10"""
+
+
+@query(_symbol_sql("red"))
+def symbol_search_ranked(spark, sf):
+    return ranking.symbol_search(v.symbols(spark, sf), "red").select("id", "symbol_name", "symbol_type", "file_path", r6("similarity").alias("similarity"))
+
+
+@query(f"""WITH {v.SYMBOLS}, pick AS (SELECT symbol_name FROM v_symbol ORDER BY id LIMIT 1)
+  SELECT id, symbol_name, file_path FROM v_symbol WHERE lower(symbol_name) = (SELECT lower(symbol_name) FROM pick) ORDER BY symbol_name = (SELECT symbol_name FROM pick) DESC, id DESC LIMIT 1""")
+def symbol_lookup(spark, sf):
+    s = v.symbols(spark, sf)
+    return ranking.symbol_lookup(s, s.orderBy("id").first()["symbol_name"]).select("id", "symbol_name", "file_path")
+
+
+# --- versions, duplicates, aggregates ----------------------------------------------------------------------------------
+
+_LATEST = f"WITH {v.BLOBS} SELECT id, repo, file_path FROM v_blob t WHERE {_fresh('t')}"
+
+
+@query(_LATEST)
+def latest_version_window(spark, sf):
+    return versions.latest_by_window(v.blobs(spark, sf)).select("id", "repo", "file_path")
+
+
+@query(_LATEST)
+def latest_version_antijoin(spark, sf):
+    return versions.latest_by_antijoin(v.blobs(spark, sf)).select("id", "repo", "file_path")
+
+
+@query(f"WITH {v.BLOBS} SELECT DISTINCT ON (repo, file_path) id, repo, file_path FROM v_blob WHERE file_path IS NOT NULL ORDER BY repo, file_path, last_seen_at DESC NULLS LAST, created_at DESC NULLS LAST, id DESC")
+def distinct_on_latest(spark, sf):
+    rows = v.blobs(spark, sf).where("file_path is not null")
+    return versions.distinct_on(rows, ["repo", "file_path"], [F.col("last_seen_at").desc_nulls_last(), F.col("created_at").desc_nulls_last(), F.desc("id")]).select("id", "repo", "file_path")
+
+
+@query(f"""WITH {v.BLOBS}, latest AS (SELECT DISTINCT ON (repo, file_path) * FROM v_blob WHERE file_path IS NOT NULL ORDER BY repo, file_path, coalesce(last_seen_at, created_at) DESC NULLS LAST, id DESC),
+  pool AS (SELECT * FROM latest UNION ALL SELECT * FROM v_blob WHERE file_path IS NULL)
+  SELECT id, repo, size FROM pool WHERE embedding IS NULL OR embed_model IS DISTINCT FROM 'active'""")
+def backfill_candidates(spark, sf):
+    return versions.latest_by_window(v.blobs(spark, sf)).where(F.col("embedding").isNull() | ~F.col("embed_model").eqNullSafe(F.lit("active"))).select("id", "repo", "size")
+
+
+_DETAILS = "details AS (SELECT b.id * 10 AS id, b.repo, b.file_path, b.id AS blob_id FROM v_blob b WHERE b.file_path IS NOT NULL)"
+
+
+@query(f"""WITH {v.BLOBS}, {_DETAILS}, latest AS (SELECT DISTINCT ON (repo, file_path) * FROM v_blob WHERE file_path IS NOT NULL ORDER BY repo, file_path, last_seen_at DESC NULLS LAST, created_at DESC NULLS LAST, id DESC)
+  SELECT d.id, d.repo, d.blob_id FROM details d LEFT JOIN latest l ON d.repo = l.repo AND d.file_path = l.file_path WHERE l.id IS NULL OR d.blob_id = l.id""")
+def purge_stale(spark, sf):
+    b = v.blobs(spark, sf)
+    details = b.where("file_path is not null").select((F.col("id") * 10).alias("id"), "repo", "file_path", F.col("id").alias("blob_id"))
+    return versions.purge_stale(details, b).select("id", "repo", "blob_id")
+
+
+@query(f"WITH {v.SYMBOLS} SELECT a.id, a.symbol_name FROM v_symbol a WHERE NOT EXISTS (SELECT 1 FROM v_symbol b WHERE a.id < b.id AND a.repo = b.repo AND a.symbol_name = b.symbol_name AND a.start_line = b.start_line AND a.symbol_hash = b.symbol_hash)")
+def purge_exact_duplicates(spark, sf):
+    return versions.drop_exact_duplicates(v.symbols(spark, sf), ["repo", "symbol_name", "start_line", "symbol_hash"]).select("id", "symbol_name")
+
+
+@query(f"WITH {v.BLOBS}, repos AS (SELECT DISTINCT source AS repo FROM documents UNION ALL SELECT 'empty') SELECT r.repo, count(b.id) AS n_blobs, count(b.embedding) AS n_embedded FROM repos r LEFT JOIN v_blob b ON b.repo = r.repo GROUP BY r.repo")
+def repo_embedding_summary(spark, sf):
+    b = v.blobs(spark, sf)
+    repos = b.select("repo").distinct().union(spark.sql("select 'empty'"))
+    counts = b.groupBy("repo").agg(F.count("id").alias("n_blobs"), F.count("embedding").alias("n_embedded"))
+    return repos.join(counts, "repo", "left").select("repo", F.coalesce("n_blobs", F.lit(0)).alias("n_blobs"), F.coalesce("n_embedded", F.lit(0)).alias("n_embedded"))
+
+
+@query(f"WITH {v.BLOBS} SELECT storage_mode, count(*) AS n, sum(CASE WHEN content IS NOT NULL THEN strlen(content) ELSE 0 END)::BIGINT AS n_bytes, count(summary) AS n_summaries FROM v_blob GROUP BY storage_mode")
+def storage_breakdown(spark, sf):
+    return v.blobs(spark, sf).groupBy("storage_mode").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")).alias("n_bytes"), F.count("summary").alias("n_summaries"))
+
+
+@query(f"WITH {v.SYMBOLS} SELECT repo, file_path, count(*) AS n, count(*) FILTER (WHERE symbol_hash IS NULL OR (symbol_type LIKE '%STEEL%' AND start_line = end_line)) AS n_stale FROM v_symbol GROUP BY repo, file_path")
+def stale_symbol_counts(spark, sf):
+    stale = F.col("symbol_hash").isNull() | (F.contains("symbol_type", F.lit("STEEL")) & (F.col("start_line") == F.col("end_line")))
+    return v.symbols(spark, sf).groupBy("repo", "file_path").agg(F.count(F.lit(1)).alias("n"), F.count_if(stale).alias("n_stale"))
+
+
+@query(f"WITH {v.SYMBOLS} SELECT repo, left(string_agg(DISTINCT symbol_name, ' ' ORDER BY symbol_name), 4000) AS spine FROM v_symbol GROUP BY repo")
+def symbol_spine_agg(spark, sf):
+    return v.symbols(spark, sf).groupBy("repo").agg(F.left(F.array_join(F.array_sort(F.collect_set("symbol_name")), " "), F.lit(text.MAX_SPINE)).alias("spine"))
+
+
+
+@query("""WITH e AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT label, i, sum(x) AS x FROM e GROUP BY label, i),
+  n AS (SELECT label, sqrt(sum(x * x)) AS size FROM s GROUP BY label) SELECT s.label, (s.i - 1)::INTEGER AS place, round(s.x / n.size, 6) AS x FROM s JOIN n ON s.label = n.label""")
+def centroid(spark, sf):
+    c = vector.centroid(v.table(spark, sf, "embeddings"), ["label"], "embedding")
+    return c.select("label", F.posexplode("centroid").alias("place", "x")).withColumn("x", r6("x"))
+
+
+# --- lookups and set operations ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {v.BLOBS} SELECT id, repo, file_path FROM v_blob WHERE file_path = 'src/d1.txt' OR file_name = 'src/d1.txt' ORDER BY last_seen_at DESC NULLS FIRST, id DESC LIMIT 1")
+def blob_by_path(spark, sf):
+    b = v.blobs(spark, sf).where((F.col("file_path") == "src/d1.txt") | (F.col("file_name") == "src/d1.txt"))
+    return b.orderBy(F.desc_nulls_first("last_seen_at"), F.desc("id")).limit(1).select("id", "repo", "file_path")
+
+
+@query("SELECT source AS name, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY source")
+def repo_listing(spark, sf):
+    return v.table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query("SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT source FROM documents")
+def project_union(spark, sf):
+    return v.table(spark, sf, "part").select(F.col("p_brand").alias("name")).union(v.table(spark, sf, "documents").select("source")).distinct()
+
+
+@query(f"WITH {v.HIERARCHY} SELECT t.tree_id, t.name, t.object_id FROM v_tree t WHERE t.tree_id IN (SELECT 'r' || r_regionkey::VARCHAR FROM region)")
+def tree_entries_scoped(spark, sf):
+    roots = v.table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("tree_id"))
+    return v.hierarchy(spark, sf).join(F.broadcast(roots), "tree_id", "left_semi").select("tree_id", "name", "object_id")
+
+
+# --- graph -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {v.SYMBOLS} SELECT DISTINCT ON (start_line, symbol_name, symbol_type) id, symbol_name, start_line FROM v_symbol WHERE file_path = 'lib/brand11/7.js' ORDER BY start_line, symbol_name, symbol_type, id DESC")
+def file_symbols(spark, sf):
+    return graph.symbols_of(v.symbols(spark, sf), "/lib/brand11/7.js").select("id", "symbol_name", "start_line")
+
+
+@query(f"WITH {v.BLOBS}, {v.IMPORTS} SELECT DISTINCT ON (target_path, relation) id, target_path, relation FROM v_import WHERE source_path = 'src/d2.txt' ORDER BY target_path, relation, id DESC")
+def graph_imports(spark, sf):
+    return graph.imports_of(v.imports(spark, sf), "src/d2.txt").select("id", "target_path", "relation")
+
+
+@query(f"""WITH {v.BLOBS}, {v.IMPORTS} SELECT DISTINCT ON (source_path, relation) id, source_path, relation FROM v_import
+  WHERE target_path = 'src/d2.txt' OR ends_with(lower(target_path), 'src/d2.txt') OR contains(lower(target_path), 'd2') ORDER BY source_path, relation, id DESC""")
+def graph_dependents(spark, sf):
+    return graph.dependents_of(v.imports(spark, sf), "src/d2.txt").select("id", "source_path", "relation")
+
+
+_GENERIC_EDGES = "g AS (SELECT id, source_path, relation, CASE id % 4 WHEN 0 THEN './index.js' WHEN 1 THEN 'src/index.js' WHEN 2 THEN '../lib/index' ELSE './index' END AS target_path FROM v_import)"
+
+
+@query(f"""WITH {v.BLOBS}, {v.IMPORTS}, {_GENERIC_EDGES} SELECT DISTINCT ON (source_path, relation) id, source_path, relation FROM g
+  WHERE target_path = 'src/index.js' OR ends_with(lower(target_path), 'src/index.js') OR ends_with(lower(target_path), 'src/index') OR (starts_with(source_path, 'src/') AND target_path IN ('./index.js', './index')) ORDER BY source_path, relation, id DESC""")
+def graph_dependents_generic(spark, sf):
+    kind = F.col("id") % 4
+    target = F.when(kind == 0, "./index.js").when(kind == 1, "src/index.js").when(kind == 2, "../lib/index").otherwise("./index")
+    return graph.dependents_of(v.imports(spark, sf).withColumn("target_path", target), "src/index.js").select("id", "source_path", "relation")
+
+
+_RESOLVED = f"""WITH {v.BLOBS}, {v.IMPORTS}, files AS (SELECT DISTINCT repo, file_path FROM v_blob WHERE file_path IS NOT NULL),
+  keyed AS (SELECT *, CASE WHEN starts_with(target_path, './') THEN 'src/' || substr(target_path, 3) WHEN starts_with(target_path, '../../') THEN substr(target_path, 7) WHEN starts_with(target_path, '../') THEN substr(target_path, 4) ELSE target_path END AS k FROM v_import WHERE target_path <> 'node:fs'),
+  resolved AS (SELECT e.*, f.file_path FROM keyed e JOIN files f ON e.repo = f.repo AND f.file_path <> e.source_path AND
+    CASE WHEN starts_with(target_path, './') OR (starts_with(target_path, '../') AND NOT starts_with(target_path, '../../')) THEN f.file_path = k OR starts_with(f.file_path, k || '.')
+         WHEN starts_with(target_path, '../../') THEN f.file_path = k OR ends_with(f.file_path, '/' || k) OR ends_with(f.file_path, '/' || k || '.js') OR ends_with(f.file_path, '/' || k || '.ts')
+         ELSE f.file_path = k OR starts_with(f.file_path, k || '.') OR ends_with(f.file_path, '/' || k) END)"""
+
+
+@query(f"{_RESOLVED} SELECT id, repo, source_path, target_path, file_path FROM resolved")
+def resolved_imports(spark, sf):
+    files = v.blobs(spark, sf).where("file_path is not null").select("repo", "file_path").distinct()
+    return graph.resolve(v.imports(spark, sf), files).select("id", "repo", "source_path", "target_path", "file_path")
+
+
+_SEEDS = [("src1", "src/d1.txt"), ("src2", "src/d2.txt"), ("src3", "src/d1.txt")]
+_BRIDGE = f"""{_RESOLVED}, seeds(repo, seed_path, seed_score) AS (VALUES ('src1', 'src/d1.txt', 0.9::DOUBLE), ('src2', 'src/d2.txt', 0.8::DOUBLE), ('src3', 'src/d1.txt', 0.7::DOUBLE)),
+  near AS (SELECT r.repo, r.file_path, s.seed_path, s.seed_score, r.id AS edge_id FROM resolved r JOIN seeds s ON r.repo = s.repo AND r.source_path = s.seed_path
+    UNION ALL SELECT r.repo, r.source_path, s.seed_path, s.seed_score, r.id FROM resolved r JOIN seeds s ON r.repo = s.repo AND r.file_path = s.seed_path),
+  latest AS (SELECT DISTINCT ON (n.repo, n.file_path, n.seed_path, n.edge_id) b.*, n.seed_path, n.seed_score, n.edge_id FROM near n JOIN v_blob b ON b.repo = n.repo AND b.file_path = n.file_path
+    ORDER BY n.repo, n.file_path, n.seed_path, n.edge_id, coalesce(b.last_seen_at, b.created_at) DESC NULLS LAST, b.id DESC)"""
+
+
+def _neighbours(spark, sf):
+    seeds = spark.createDataFrame(_SEEDS, "repo string, seed_path string")
+    return graph.bridge_neighbours(v.imports(spark, sf), v.blobs(spark, sf), seeds)
+
+
+@query(f"{_BRIDGE} SELECT id, repo, file_path, seed_path, edge_id FROM latest")
+def bridge_neighbors(spark, sf):
+    return _neighbours(spark, sf).select("id", "repo", "file_path", "seed_path", "edge_id")
+
+
+_TOKENS = ["the", "ciones", "txt"]
+
+
+def _covered(tokens: list[str]) -> str:
+    forms = {"ciones": ["ciones", "cione"]}
+    return " + ".join("(" + " OR ".join(f"contains(h, '{f}') OR contains(hc, '{f}')" for f in forms.get(t, [t])) + ")::INTEGER" for t in tokens)
+
+
+@query(f"""{_BRIDGE}, hay AS (SELECT *, lower(coalesce(file_path, '') || chr(10) || coalesce(file_name, '') || chr(10) || coalesce(summary, '') || chr(10) || coalesce(symbol_spine, '')) AS h FROM latest),
+  hay2 AS (SELECT *, regexp_replace(h, '[_./-]+', '', 'g') AS hc FROM hay), cov AS (SELECT *, {_covered(_TOKENS)} AS n_uncovered FROM hay2),
+  scored AS (SELECT *, least(seed_score * (0.72 + 0.12 * least(1.0, n_uncovered / 3.0::DOUBLE)), least(0.84 * 0.9::DOUBLE, 0.84)) AS score FROM cov WHERE n_uncovered > 0)
+  SELECT DISTINCT ON (repo, file_path) id, repo, file_path, n_uncovered, round(score, 6) AS score FROM scored ORDER BY repo, file_path, n_uncovered DESC, score DESC, id DESC, seed_path, edge_id DESC""")
+def bridge_scores(spark, sf):
+    seeds = spark.createDataFrame([(*s, x) for s, x in zip(_SEEDS, (0.9, 0.8, 0.7), strict=True)], "repo string, seed_path string, seed_score double")
+    return graph.bridge_scores(_neighbours(spark, sf), seeds, _TOKENS, 0.9).select("id", "repo", "file_path", "n_uncovered", r6("score").alias("score"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem), w AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3)
+  SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY node""")
+def dependency_walk(spark, sf):
+    return graph.walk(v.supply(spark, sf), spark.sql("select 1L as node"), 3)
+
+
+@query("WITH e AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem) SELECT x.a, x.b FROM e x JOIN e y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b")
+def dependency_cycles(spark, sf):
+    return graph.two_cycles(v.supply(spark, sf)).select("a", "b")
+
+
+@query("SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)")
+def dead_targets(spark, sf):
+    return graph.unreferenced(v.table(spark, sf, "part").select(F.col("p_partkey").alias("node")), v.supply(spark, sf))
+
+
+@query("SELECT l_partkey AS node, count(DISTINCT l_orderkey) AS fan_in FROM lineitem GROUP BY l_partkey")
+def dependency_fan_in(spark, sf):
+    return v.supply(spark, sf).groupBy(F.col("dst").alias("node")).agg(F.count_distinct("src").alias("fan_in"))
+
+
+@query(f"""WITH RECURSIVE {v.HIERARCHY}, w AS (SELECT tree_id, name, object_id, type, name AS path, 1 AS depth FROM v_tree WHERE tree_id = 'root' UNION ALL SELECT t.tree_id, t.name, t.object_id, t.type, w.path || '/' || t.name, w.depth + 1 FROM w JOIN v_tree t ON t.tree_id = w.object_id)
+  SELECT object_id, path, depth::INTEGER AS depth FROM w""")
+def tree_walk(spark, sf):
+    t = v.hierarchy(spark, sf)
+    level = t.where("tree_id = 'root'").select("object_id", F.col("name").alias("path"), F.lit(1).alias("depth"))
+    out = level
+    for d in (2, 3):  # the depth of the hierarchy
+        up = level.select(F.col("object_id").alias("tree_id"), F.col("path").alias("above"))
+        level = t.join(up, "tree_id").select("object_id", F.concat_ws("/", "above", "name").alias("path"), F.lit(d).alias("depth"))
+        out = out.unionByName(level)
+    return out
+
+
+@query("SELECT event_id, user_id, lag(event_id) OVER w AS parent_id, (row_number() OVER w - 1)::INTEGER AS generation FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def commit_ancestors(spark, sf):
+    return graph.numbered_chain(v.table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_id").select("event_id", "user_id", "parent_id", "generation")
+
+
+# --- scalars -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha1(encode('blob ' || strlen(text)::VARCHAR || chr(0) || text)) AS blob_hash FROM documents")
+def blob_hash(spark, sf):
+    return v.table(spark, sf, "documents").select("doc_id", hashing.blob_hash(F.col("text")).alias("blob_hash"))
+
+
+@query(r"SELECT page_id, sha256(regexp_replace(replace(html, chr(13) || chr(10), chr(10)), '^\s+|\s+$', '', 'g')) AS symbol_hash FROM pages")
+def symbol_hash(spark, sf):
+    return v.table(spark, sf, "pages").select("page_id", hashing.symbol_hash(F.col("html")).alias("symbol_hash"))
+
+
+@query(f"""WITH {v.HIERARCHY}, b AS (SELECT tree_id, string_agg(type || ' ' || object_id || ' ' || name, chr(10) ORDER BY name, type, object_id) AS body FROM v_tree GROUP BY tree_id)
+  SELECT tree_id, sha1(encode('tree ' || length(body)::VARCHAR || chr(0) || body)) AS tree_hash FROM b""")
+def tree_hash(spark, sf):
+    return v.hierarchy(spark, sf).groupBy("tree_id").agg(hashing.tree_hash(F.collect_list(F.struct("name", "type", "object_id"))).alias("tree_hash"))
+
+
+@query("SELECT event_id, sha1(encode('commit ' || length('tree ' || md5(props) || chr(10) || 'message ' || event_type)::VARCHAR || chr(0) || 'tree ' || md5(props) || chr(10) || 'message ' || event_type)) AS commit_hash, left(md5(event_type || ':' || props), 12) AS row_id FROM events")
+def commit_hash(spark, sf):
+    return v.table(spark, sf, "events").select("event_id", hashing.commit_hash(F.md5("props"), F.col("event_type")).alias("commit_hash"), hashing.row_id(F.col("event_type"), F.col("props")).alias("row_id"))
+
+
+_NAMES = "n AS (SELECT p_partkey, p_name, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), '') || 'HTTPServer_v2.js' AS token FROM part)"
+_SEGS = r"list_filter(regexp_split_to_array(token, '[^a-zA-Z0-9]+'), lambda s: length(s) >= 2)"
+_CAMEL_SQL = r"regexp_replace(regexp_replace(s, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')"
+
+
+def _token():
+    words = F.transform(F.split("p_name", " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w))))
+    return F.concat(F.array_join(words, ""), F.lit("HTTPServer_v2.js"))
+
+
+@query(rf"""WITH {_NAMES}, p AS (SELECT p_partkey, flatten(list_transform({_SEGS}, lambda s: CASE WHEN contains({_CAMEL_SQL}, ' ') THEN list_concat([s], string_split({_CAMEL_SQL}, ' ')) ELSE [s] END)) AS parts FROM n),
+  u AS (SELECT p_partkey, lower(unnest(parts)) AS x, unnest(range(1, len(parts) + 1)) AS i FROM p), f AS (SELECT p_partkey, x, min(i) AS i FROM u WHERE length(x) >= 2 GROUP BY p_partkey, x)
+  SELECT p_partkey, string_agg(x, ' ' ORDER BY i) AS subtokens FROM f GROUP BY p_partkey""")
+def subtoken_split(spark, sf):
+    return v.table(spark, sf, "part").select("p_partkey", F.array_join(text.subtokens(_token()), " ").alias("subtokens"))
+
+
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+
+@query(rf"""WITH {_NAMES}, q AS (SELECT p_partkey, 'How to find the ' || token || ' in files' AS s FROM n), c AS (SELECT p_partkey, list_transform(regexp_split_to_array({_CAMEL_SQL}, '[^a-zA-Z0-9]+'), lambda x: lower(x)) AS parts FROM q),
+  u AS (SELECT p_partkey, unnest(parts) AS x, unnest(range(1, len(parts) + 1)) AS i FROM c), f AS (SELECT p_partkey, x, min(i) AS i FROM u WHERE length(x) >= 2 AND NOT list_contains({_LIST(text.FILLERS)}, x) GROUP BY p_partkey, x),
+  p AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS n FROM f WHERE NOT list_contains({_LIST(text.QUERY_STOPWORDS)}, x)) SELECT p_partkey, string_agg(x, ' OR ' ORDER BY i) AS expanded FROM p WHERE n <= 12 GROUP BY p_partkey""")
+def expanded_query(spark, sf):
+    return v.table(spark, sf, "part").select("p_partkey", text.expanded_query(F.concat(F.lit("How to find the "), _token(), F.lit(" in files"))).alias("expanded"))
+
+
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)
+  SELECT word, CASE WHEN length(word) < 4 THEN word WHEN ends_with(word, 'ies') AND length(word) >= 5 THEN left(word, length(word) - 3) || 'y' WHEN length(word) >= 5 AND regexp_matches(word, '(ches|shes|xes|zes|ses)$') THEN left(word, length(word) - 2)
+    WHEN ends_with(word, 's') AND NOT regexp_matches(word, '(ss|us|is)$') THEN left(word, length(word) - 1) ELSE word END AS stem FROM w""")
+def light_stem(spark, sf):
+    words = v.table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", text.light_stem(F.col("word")).alias("stem"))
+
+
+@query(rf"""WITH t AS (SELECT page_id, regexp_extract_all(html, '[a-zA-Z_$][a-zA-Z0-9_$]{{2,}}') AS toks FROM pages), u AS (SELECT page_id, unnest(toks) AS x, unnest(range(1, len(toks) + 1)) AS i FROM t),
+  f AS (SELECT page_id, x, min(i) AS i FROM u WHERE NOT list_contains({_LIST(text.KEYWORDS)}, x) GROUP BY page_id, x), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n FROM f)
+  SELECT page_id, 'page' || chr(10) || string_agg(x, ' ' ORDER BY i) AS tokens FROM r WHERE n <= 60 GROUP BY page_id""")
+def compact_tokens(spark, sf):
+    return v.table(spark, sf, "pages").select("page_id", text.compact_tokens(F.col("html"), F.lit("page")).alias("tokens"))
+
+
+_ASKED = ["licenseTerms", "MITLicense", "thand_ouer", "src/d1.txt", "General", "lib/none.js", "and/or", "e.g", "v1.2"]
+
+
+@query(f"""WITH q(token) AS (VALUES {', '.join(f"('{t}')" for t in _ASKED[:4] + ['lib/none.js'])}), {v.BLOBS} SELECT token FROM q WHERE NOT EXISTS (SELECT 1 FROM v_blob WHERE contains(lower(coalesce(file_path, '') || chr(10) || coalesce(file_name, '') || chr(10) || coalesce(summary, '') || chr(10) || coalesce(symbol_spine, '')), lower(q.token)))""")
+def unattested_identifiers(spark, sf):
+    """Code-shaped words of a query that no row holds; a row is scanned once for all of them."""
+    q = spark.createDataFrame([(t,) for t in _ASKED], "raw string").select(text.clean_candidate(F.col("raw")).alias("token"))
+    asked = [r.token for r in q.where(text.code_shape(F.col("token")).isNotNull() & (text.code_shape(F.col("token")) != "kebab")).collect()]
+    hay = graph.row_haystack()
+    seen = v.blobs(spark, sf).select(*[F.contains(hay, F.lit(t.lower())).alias(f"t{i}") for i, t in enumerate(asked)]).agg(*[F.coalesce(F.bool_or(f"t{i}"), F.lit(False)).alias(f"t{i}") for i in range(len(asked))])
+    told = F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.col(f"t{i}").alias("seen")) for i, t in enumerate(asked)]))
+    return seen.select(told.alias("x")).where("not x.seen").select("x.token")
+
+
+@query("""WITH h AS (SELECT doc_id, text, '[' || source || ' :: d' || doc_id::VARCHAR || ']' || chr(10) AS head FROM documents), z AS (SELECT *, length(head) AS h, length(text) AS n, 1100 - length(head) AS body FROM h),
+  c AS (SELECT *, CASE WHEN h + n <= 1100 THEN 1 ELSE greatest(1, ceil((n - body) / (body - 150.0)) + 1) END AS k FROM z), u AS (SELECT *, unnest(range(0, least(k, 50)::BIGINT)) AS i FROM c)
+  SELECT doc_id, i::INTEGER AS chunk, md5(head || substr(text, i * (body - 150) + 1, CASE WHEN h + n <= 1100 THEN n ELSE body END)) AS digest FROM u""")
+def chunk_windows(spark, sf):
+    head = vector.chunk_header(F.col("source"), F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    return v.table(spark, sf, "documents").select("doc_id", F.posexplode(vector.chunks(F.col("text"), head)).alias("chunk", "body")).select("doc_id", "chunk", F.md5("body").alias("digest"))
+
+
+@query(f"WITH {v.BLOBS} SELECT id, CASE WHEN file_path IS NULL THEN '' WHEN id % 7 = 0 THEN '[' || file_path || ']' || chr(10) ELSE '[' || repo || ' :: ' || file_path || ']' || chr(10) END AS header FROM v_blob")
+def chunk_headers(spark, sf):
+    return v.blobs(spark, sf).select("id", vector.chunk_header(F.when(F.col("id") % 7 != 0, F.col("repo")), F.col("file_path")).alias("header"))
+
+
+@query("""WITH h AS (SELECT p_partkey, sha256(p_name) AS d FROM part), x AS (SELECT p_partkey, i, ('0x' || substr(d, (i % 16 * 4 + 1)::BIGINT, 4))::INTEGER / 65535.0::DOUBLE * 2 - 1 AS x FROM h, range(0, 32) r(i)), n AS (SELECT p_partkey, sqrt(sum(x * x)) AS size FROM x GROUP BY p_partkey)
+  SELECT x.p_partkey, x.i::INTEGER AS place, round(x.x / n.size, 6) AS x FROM x JOIN n ON x.p_partkey = n.p_partkey""")
+def deterministic_vector(spark, sf):
+    return v.table(spark, sf, "part").select("p_partkey", F.posexplode(vector.deterministic(F.col("p_name"), 32)).alias("place", "x"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN 64 END AS dim FROM embeddings")
+def vector_validate(spark, sf):
+    e = v.table(spark, sf, "embeddings")
+    broken = F.when(F.col("vec_id") % 10 == 0, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 5 == 0, F.concat(F.slice("embedding", 1, 63), F.array(F.lit(float("nan")).cast("float")))).otherwise(F.col("embedding"))
+    checked = vector.validated(broken, 64)
+    return e.select("vec_id", F.when(checked.isNotNull(), F.size(checked)).alias("dim"))
+
+
+@query("SELECT p_partkey, coalesce(nullif(lower(replace(p_brand, 'Brand#', 'B-')), ''), 'x') AS model FROM part")
+def model_canonical(spark, sf):
+    dressed = F.concat(F.lit(" Models/OLLAMA/"), F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("B-")), F.lit(":latest "))
+    return v.table(spark, sf, "part").select("p_partkey", vector.canonical_model(dressed).alias("model"))
+
+
+@query(r"SELECT doc_id, length(text) < 20 OR starts_with(text, 'data:image') OR starts_with(text, 'iVBOR') OR starts_with(text, '/9j/') OR (len(string_split(text, chr(10))) < 3 AND length(text) > 5000) AS is_binary, regexp_matches(left(text, 200), '[\x00-\x08\x0e-\x1f]') AS has_control FROM documents")
+def likely_binary(spark, sf):
+    t = F.col("text")
+    return v.table(spark, sf, "documents").select("doc_id", filters.looks_binary(t).alias("is_binary"), filters.has_control(t).alias("has_control"))
+
+
+_NAMED = "f AS (SELECT doc_id, n_chars, 'a' || doc_id::VARCHAR || list_extract(['.JS', '.py', '.bin', '.md', '', '.tar.gz'], (doc_id % 6 + 1)::INTEGER) AS name FROM documents)"
+
+
+@query(f"WITH {_NAMED} SELECT doc_id, doc_id % 6 IN (0, 1, 3) AS embeddable, CASE WHEN doc_id % 6 IN (0, 1, 3) THEN n_chars * 40 <= 512000 ELSE n_chars * 40 <= 102400 END AS fits FROM f")
+def embeddable_filter(spark, sf):
+    name = F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (".JS", ".py", ".bin", ".md", "", ".tar.gz"))), (F.col("doc_id") % 6 + 1).cast("int")))
+    return v.table(spark, sf, "documents").select("doc_id", filters.is_embeddable(name).alias("embeddable"), filters.within_size(name, F.col("n_chars") * 40).alias("fits"))
+
+
+@query(f"WITH {v.BLOBS} SELECT id, size FROM v_blob WHERE (summary IS NULL OR length(summary) >= 450 OR summary NOT LIKE '%[%]%') AND size > 30 AND size < 50000")
+def tag_candidates(spark, sf):
+    return v.blobs(spark, sf).where(filters.wants_tags(F.col("summary"), F.col("size"))).select("id", "size")
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, CASE WHEN contains(url, '.html') THEN '.html' ELSE '' END AS ext FROM (SELECT page_id, regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/$', '') AS url FROM pages) p")
+def path_parts(spark, sf):
+    p = F.regexp_replace(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), "/$", "")
+    return v.table(spark, sf, "pages").select("page_id", paths.basename(p).alias("name"), paths.extname(p).alias("ext"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a/c' WHEN 1 THEN '../d' ELSE 'a/b/e.js' END AS norm FROM part")
+def path_normalise(spark, sf):
+    k = F.col("p_partkey") % 3
+    return v.table(spark, sf, "part").select("p_partkey", paths.normalise(F.when(k == 0, "./a/b/../c").when(k == 1, "x/../../d").otherwise("a//b/./e.js")).alias("norm"))
+
+
+_SHAPES = {"camel": "foldName", "pascal": "FoldName", "snake": "fold_name", "kebab": "fold-name", "dotted": "fold.name", "path": "lib/fold/name"}
+
+
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'camel' WHEN 1 THEN 'pascal' WHEN 2 THEN 'snake' WHEN 3 THEN 'kebab' WHEN 4 THEN 'dotted' WHEN 5 THEN 'path' END AS shape FROM part")
+def code_shapes(spark, sf):
+    token = F.element_at(F.array(*[F.lit(x) for x in (*_SHAPES.values(), "and/or", "fold")]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return v.table(spark, sf, "part").select("p_partkey", text.code_shape(token).alias("shape"))
+
+
+# --- formats and pages -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT conv_id, string_agg('[' || upper(role) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS full_text FROM conversations GROUP BY conv_id)
+  SELECT conv_id, left(full_text, 8000) AS text, 'agent_' || left(md5(left(full_text, 500)), 12) AS id FROM t""")
+def conversation_trajectory(spark, sf):
+    return formats.trajectories(v.table(spark, sf, "conversations")).select("conv_id", "text", "id")
+
+
+@query("""SELECT 'p_name: ' || p_name || chr(10) || chr(10) || 'p_brand: ' || p_brand || chr(10) || chr(10) || 'p_type: ' || p_type AS text, left(md5(left(CASE WHEN length(p_name) > 5 THEN p_name ELSE p_brand END, 200)), 12) AS id FROM part""")
+def generic_row_format(spark, sf):
+    return formats.any_rows(v.table(spark, sf, "part"), ["p_name", "p_brand", "p_type"]).select("text", "id")
+
+
+@query(f"WITH {v.LINKS} SELECT id, source_path, target_path FROM v_link")
+def page_link_edges(spark, sf):
+    return v.links(spark, sf).select("id", "source_path", "target_path")
+
+
+@query("SELECT page_id, (n - 1)::INTEGER AS pos, heads[n] AS title FROM (SELECT page_id, regexp_extract_all(html, '<h[1-4][^>]*>([^<]*)</h', 1) AS heads FROM pages) p, LATERAL (SELECT unnest(range(1, len(heads) + 1)) AS n) u")
+def page_sections(spark, sf):
+    return v.table(spark, sf, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<h[1-4][^>]*>([^<]*)</h"), F.lit(1))).alias("pos", "title"))
+
+
+# --- writes ------------------------------------------------------------------------------------------------------------
+
+_COLS = ["id", "repo", "file_path", "summary"]
+
+
+@query(f"""WITH {v.BLOBS}, old AS (SELECT id, repo, file_path, summary FROM v_blob WHERE id % 3 <> 0), new AS (SELECT id, repo || '-x' AS repo, file_path, CASE WHEN id % 2 = 0 THEN 'new' END AS summary FROM v_blob WHERE id % 3 <> 1)
+  SELECT coalesce(n.id, o.id) AS id, coalesce(n.repo, o.repo) AS repo, CASE WHEN n.id IS NULL THEN o.file_path ELSE n.file_path END AS file_path, coalesce(n.summary, o.summary) AS summary FROM old o FULL JOIN new n ON o.id = n.id""")
+def upsert_blobs(spark, sf):
+    b = v.blobs(spark, sf).select(*_COLS)
+    new = b.where("id % 3 <> 1").select("id", F.concat("repo", F.lit("-x")).alias("repo"), "file_path", F.when(F.col("id") % 2 == 0, "new").alias("summary"))
+    return upserts.upsert(b.where("id % 3 <> 0"), new)
+
+
+@query(f"WITH {v.BLOBS} SELECT id, repo FROM v_blob WHERE id % 3 <> 0 UNION ALL SELECT id, repo || '-x' FROM v_blob WHERE id % 3 = 0")
+def insert_absent(spark, sf):
+    b = v.blobs(spark, sf).select("id", "repo")
+    return upserts.insert_absent(b.where("id % 3 <> 0"), b.select("id", F.concat("repo", F.lit("-x")).alias("repo")))
+
+
+@query(f"WITH {v.BLOBS} SELECT id, CASE WHEN id % 4 = 0 THEN TIMESTAMP '2024-02-01' ELSE last_seen_at END AS last_seen_at, CASE WHEN id % 4 = 0 THEN coalesce(file_path, 'found') ELSE file_path END AS file_path FROM v_blob")
+def touch_last_seen(spark, sf):
+    b = v.blobs(spark, sf).select("id", "file_name", "file_path", "last_seen_at")
+    seen = b.where("id % 4 = 0").select("id", "file_name", F.lit("found").alias("file_path"))
+    return upserts.touch(b, seen, v.AS_OF).select("id", "last_seen_at", "file_path")
+
+
+@query(f"WITH {v.BLOBS} SELECT id, embedding IS NULL AS missing, embedding IS NULL OR embed_model IS DISTINCT FROM 'active' AS stale FROM v_blob WHERE regexp_matches(content, '[^ \\t\\n\\r\\f\\v]')")
+def reembed_decision(spark, sf):
+    b = v.blobs(spark, sf).where(F.rlike("content", F.lit(r"\S")))
+    return b.select("id", upserts.needs_embedding("active").alias("missing"), upserts.needs_embedding("active", True).alias("stale"))
+
+
+@query(f"WITH {v.SYMBOLS}, s AS (SELECT id, repo, blob_id, file_path FROM v_symbol) SELECT id, repo FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.id % 50 = 0 AND a.repo = b.repo AND (a.blob_id = b.blob_id OR a.file_path = b.file_path)) UNION ALL SELECT -id, repo FROM s WHERE id % 50 = 0")
+def replace_scope(spark, sf):
+    s = v.symbols(spark, sf).select("id", "repo", "blob_id", "file_path")
+    scope = s.where("id % 50 = 0")
+    return upserts.replace_scope(s, scope.withColumn("id", -F.col("id")), scope).select("id", "repo")
+
+
+@query(f"WITH {v.BLOBS} SELECT id, CASE WHEN repo NOT LIKE 'src1%' AND storage_mode <> 'pointer' THEN 'pointer' ELSE storage_mode END AS storage_mode, CASE WHEN repo NOT LIKE 'src1%' AND storage_mode <> 'pointer' THEN coalesce(summary, left(content, 500)) ELSE summary END AS summary FROM v_blob")
+def pointer_migration(spark, sf):
+    return upserts.to_pointers(v.blobs(spark, sf), ("src1%",)).select("id", "storage_mode", "summary")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def cascade_delete(spark, sf):
+    gone = v.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return upserts.cascade(v.table(spark, sf, "orders"), gone, "o_custkey").select("o_orderkey")
+
+
+@query("SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total, max(event_id) AS last_id FROM events GROUP BY user_id, event_type")
+def ingest_counters(spark, sf):
+    return v.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("event_id").alias("last_id"))
+
+
+@query("SELECT event_id, CASE WHEN props LIKE '{%' THEN (props::JSON ->> 'k')::BIGINT END AS k FROM events")
+def json_decode(spark, sf):
+    return v.table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events QUALIFY place <= 3")
+def top_per_group(spark, sf):
+    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    return v.table(spark, sf, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("place")).where("place <= 3")
