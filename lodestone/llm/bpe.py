@@ -19,15 +19,16 @@ import base64
 import functools
 import hashlib
 import heapq
-import re
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import raw, small_batches
-from lodestone.llm.tokens import UnitCache, ragged
+from lodestone.llm.common import raw, runs, small_batches
+from lodestone.llm.tokens import UnitCache, ragged, slices
 
 WIDTHS, LONG = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256), 256
 PAD = np.uint32(0xFFFF)
@@ -97,7 +98,7 @@ class Vocabulary:
     def decode(self, ids: np.ndarray) -> bytes:
         return ragged(self.bytes, self.starts[ids], self.sizes[ids]).tobytes()
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def encode_pieces(self, pieces: list[bytes]) -> list[Sequence[int]]:
         """Ids of each piece: its own if it is a token, else by merges."""
         out: list = [None] * len(pieces)
         by_width: dict[int, list[int]] = {}
@@ -118,7 +119,13 @@ class Vocabulary:
                     out[i] = ids
         return out
 
-    def _matrix(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
+    def encode_flat(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, end to end, and the number of each one's."""
+        ids = self.encode_pieces(pieces)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def _matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         cells = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
         ids = np.where(np.arange(width) < size[:, None], self.single[cells], PAD)
@@ -130,7 +137,7 @@ class Vocabulary:
             low = ranks[np.arange(len(ids)), at]
             if (over := low == _NONE).any():
                 for r in np.flatnonzero(over):
-                    out[row[r]] = ids[r, : size[r]].copy()
+                    out[row[r]] = ids[r, : size[r]].tolist()
                 ids, ranks, row, size, at, low = (x[~over] for x in (ids, ranks, row, size, at, low))
                 if not len(ids):
                     break
@@ -174,8 +181,6 @@ class Vocabulary:
         return np.array([get(piece[i : after[i]]) for i in range(len(piece)) if alive[i]], np.uint32)
 
 
-#: Texts whose white space is single blanks and line ends between words can be split at blanks.
-_UNEVEN = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 _UNIT = regex.compile(r"\s*\S+|\s+$")
 
 
@@ -184,20 +189,18 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.split = vocabulary, regex.compile(pattern)
-        self.pieces = UnitCache(vocabulary.encode_pieces, np.uint32, 400_000)
-        self.units = UnitCache(self._encode_units, np.uint32)
+        self.pieces = UnitCache(vocabulary.encode_flat, np.uint32, 300_000)
+        self.units = UnitCache(self._encode_units, np.uint32, 200_000)
 
-    def _encode_units(self, units: list) -> list[np.ndarray]:
-        pieces = [[p.encode() for p in self.split.findall(u[0] if isinstance(u, tuple) else u if u[0] == "\n" else " " + u)] for u in units]
-        flat, sizes = self.pieces.ids(pieces)
-        return np.split(flat, np.cumsum(sizes)[:-1])
+    def _encode_units(self, units: list) -> tuple[np.ndarray, np.ndarray]:
+        find = self.split.findall
+        return self.pieces.ids([[p.encode() for p in find(u[0] if isinstance(u, tuple) else u if u[0] == "\n" else " " + u)] for u in units])
 
     @staticmethod
     def split_units(text: str) -> list:
         """Units: a string stands for a blank and itself (or for itself, if it starts with a line end), a tuple for its text."""
-        if not text:
-            return []
-        if _UNEVEN.search(text):
+        words, blanks = text.split(), text.count(" ") + text.count("\n")
+        if len(words) != blanks + 1 or sum(map(len, words)) + blanks != len(text):  # not just single blanks and line ends between words
             return [(u,) for u in _UNIT.findall(text)]
         units: list = text.replace("\n", " \n").split(" ")
         units[0] = (units[0],)
@@ -212,6 +215,13 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(Vocabulary.load(path), pattern)
 
 
+def _ids(coder: Encoder, texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Ids of each text, little-endian; a few megabytes of text are in work at a time."""
+    for part in runs(texts):
+        ids, sizes = coder.encode([t.decode(errors="replace") for t in part])
+        yield from slices(ids.astype("<u4"), sizes)
+
+
 def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, ids (little-endian unsigned 32-bit)."""
     small_batches(spark)
@@ -219,9 +229,8 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> Dat
     def run(batches):
         coder = encoder(path, pattern)
         for b in batches:
-            ids, sizes = coder.encode([t.decode() for t in raw(b.column(1))])
-            parts = np.split(ids.astype("<u4"), np.cumsum(sizes)[:-1]) if len(sizes) else []
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["doc_id", "ids"])
+            ids = [x.tobytes() for x in _ids(coder, raw(b.column(1)))]
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -239,11 +248,17 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str, pattern: str) ->
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256. One Python step: each more would hold a vocabulary of its own."""
+    small_batches(spark)
+
     def run(batches):
+        coder = encoder(path, pattern)
         for b in batches:
-            ids, data = b.column(1).to_pylist(), b.column(2).to_pylist()
-            yield pa.record_batch([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in c], pa.string()) for c in (ids, data))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    both = decode(spark, encode(spark, docs, path, pattern), path, pattern)
-    return both.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            n, ids, data = [], [], []
+            for x in _ids(coder, raw(b.column(1))):
+                n.append(len(x))
+                ids.append(hashlib.sha256(x).hexdigest())
+                data.append(hashlib.sha256(coder.vocabulary.decode(x)).hexdigest())
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

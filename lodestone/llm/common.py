@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,19 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def runs(texts: list[bytes], size: int = 2 << 20) -> Iterator[list[bytes]]:
+    """Runs of texts of about ``size`` bytes, so that what is made of them stays small; a longer text is a run of its own."""
+    run, held = [], 0
+    for t in texts:
+        if run and held + len(t) > size:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += len(t)
+    if run:
+        yield run
+
+
 @functools.cache
 def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="lodestone-")

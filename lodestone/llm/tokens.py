@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Callable, Hashable
+from itertools import chain, islice
 
 import numpy as np
 
@@ -14,48 +15,57 @@ def ragged(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
+def slices(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """``flat`` cut into parts of the given sizes."""
+    ends = np.cumsum(sizes).tolist()
+    return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+class _Numbers(dict):
+    """Units to numbers; an unknown one gets the next number."""
+
+    def __missing__(self, unit: Hashable) -> int:
+        self[unit] = n = len(self)
+        return n
+
+
 class UnitCache:
-    """Ids of units. ``encode`` turns distinct unknown units into one id list each; at ``limit`` units all are forgotten."""
+    """Ids of units. ``encode`` turns distinct units into their ids, end to end, and the number of each one's; at ``limit`` units all are forgotten."""
 
-    def __init__(self, encode: Callable[[list], Sequence], dtype, limit: int = 300_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype, limit: int):
         self.encode, self.dtype, self.limit = encode, dtype, limit
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[Hashable, int] = {}
+        self.numbers = _Numbers()
+        self.known = self.used = 0
         self.starts = np.zeros(1 << 10, np.int64)
         self.lengths = np.zeros(1 << 10, np.int32)
         self.pool = np.zeros(1 << 12, self.dtype)
-        self.used = 0
 
-    def _learn(self, units: list) -> None:
+    def _learn(self) -> None:
+        units = list(islice(reversed(self.numbers), len(self.numbers) - self.known))[::-1]
         for at in range(0, len(units), 50_000):
-            part = units[at : at + 50_000]
-            ids = self.encode(part)
-            n = len(self.index)
-            lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.concatenate([np.asarray(x, self.dtype) for x in ids]) if ids else np.zeros(0, self.dtype)
-            while n + len(part) > len(self.starts):
+            flat, lengths = self.encode(units[at : at + 50_000])
+            n, m = self.known, len(lengths)
+            while n + m > len(self.starts):
                 self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.starts[n : n + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[n : n + len(part)] = lengths
+            self.starts[n : n + m] = self.used + np.cumsum(lengths) - lengths
+            self.lengths[n : n + m] = lengths
             self.pool[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
-            self.index.update(zip(part, range(n, n + len(part)), strict=True))
+            self.known += m
 
     def ids(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts' units, end to end, and the number of ids of each text."""
-        if len(self.index) > self.limit:
+        if len(self.numbers) > self.limit:
             self.clear()
-        get = self.index.get
-        found = [list(map(get, units)) for units in texts]
-        if unknown := dict.fromkeys(u for units, f in zip(texts, found, strict=True) if None in f for u, x in zip(units, f, strict=True) if x is None):
-            self._learn(list(unknown))
-            found = [list(map(get, units)) if None in f else f for units, f in zip(texts, found, strict=True)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for f in found for x in f), np.int64, int(sizes.sum()))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        flat = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+        if len(self.numbers) > self.known:
+            self._learn()
         lengths = self.lengths[flat]
         total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         ends = np.cumsum(sizes)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import raw, small_batches
+from lodestone.llm.common import raw, runs, small_batches
 from lodestone.llm.tokens import ragged
 
 WINDOW, STRIDE, THRESHOLD = 24, 16, 0.3
@@ -283,7 +283,8 @@ def judge(spark: SparkSession, docs: DataFrame, net: Network) -> DataFrame:
             _SCORERS.clear()
             _SCORERS[shared.value] = Scorer(shared.value)
         for b in batches:
-            score = _SCORERS[shared.value].scores(raw(b.column(1)))
+            parts = [_SCORERS[shared.value].scores(texts) for texts in runs(raw(b.column(1)))]
+            score = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.record_batch([b.column(0), b.column(2), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

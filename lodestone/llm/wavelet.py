@@ -24,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, raw, small_batches
-from lodestone.llm.tokens import UnitCache
+from lodestone.llm.common import Scratch, raw, runs, small_batches
+from lodestone.llm.tokens import UnitCache, slices
 
 SHARD_BYTES, SHARD_TOKENS, MAGIC = 24 << 20, 16 << 20, b"LSWM1\n"
 #: Bits in a block of the rank directory.
@@ -157,30 +158,52 @@ def load(data: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
 
 #: Letters outside these may be changed or joined by the tokenizer's normaliser: such texts take the plain path.
 _OTHER = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]|<\\|")
+#: The tokenizer's own split pattern (fixed value).
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class Encoder:
-    """Ids by the tokenizers library. Its pieces never cross white space, so words are encoded once and remembered."""
+    """Ids by the tokenizers library. Its pieces never cross white space and end with an end-of-word token, so distinct pieces
+    are encoded side by side in one text, cut at those tokens, and remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
+        vocabulary = self.tokenizer.get_vocab()
+        self.bits = max(1, max(vocabulary.values()).bit_length())
         self.dtype = np.uint16 if self.bits <= 16 else np.uint32
-        self.words = UnitCache(self._encode, self.dtype)
-
-    def _encode(self, units: list) -> list[list[int]]:
-        texts = [u[0] if isinstance(u, tuple) else u.decode() for u in units]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.pieces = UnitCache(self._encode_pieces, self.dtype, 400_000)
+        self.words = UnitCache(self._encode_words, self.dtype, 300_000)
+
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self._library(" ".join(pieces)), self.dtype)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(pieces):
+            raise ValueError("a piece has not one end of word")
+        return ids, np.diff(last, prepend=-1)
+
+    def _encode_words(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        find = _PIECE.findall
+        whole = {i: np.array(self._library(w[0]), self.dtype) for i, w in enumerate(words) if isinstance(w, tuple)}
+        flat, sizes = self.pieces.ids([[] if i in whole else find(w.decode()) for i, w in enumerate(words)])
+        if whole:
+            parts = [whole.get(i, x) for i, x in enumerate(slices(flat, sizes))]
+            flat, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return flat, sizes
 
     @staticmethod
     def split_units(text: bytes) -> list:
         """Lower-cased words; a tuple holds a whole text for the library."""
         if text.isascii():
             return text.lower().split() if b"<|" not in text else [(text.decode(),)]
-        s = text.decode()
+        s = text.decode(errors="replace")
         return [(s,)] if _OTHER.search(s) else s.lower().encode().split()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -238,11 +261,12 @@ def write_shards(spark: SparkSession, docs: DataFrame, scratch: Scratch, tokeniz
             return pa.record_batch([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (path, pa.string()), (len(doc_ids), pa.int64()), (matrix.n, pa.int64()))], ["part", "seq", "path", "n_docs", "n_tokens"])
 
         for b in batches:
-            got, n = coder.encode(raw(b.column(1)))
+            for texts in runs(raw(b.column(1))):
+                got, n = coder.encode(texts)
+                ids.append(with_end(got, n, end))
+                sizes.append(n + 1)
+                held += len(ids[-1])
             doc_ids += b.column(0).to_pylist()
-            ids.append(with_end(got, n, end))
-            sizes.append(n + 1)
-            held += len(ids[-1])
             if held >= SHARD_TOKENS:
                 yield flush()
                 doc_ids, sizes, ids, held, seq = [], [], [], 0, seq + 1
