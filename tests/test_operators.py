@@ -122,3 +122,17 @@ def test_stream(spark, tmp_path):
         ingest.start(spark, ingest.new_blobs(ingest.read(spark, str(src))), str(out), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(f"{out}/blobs").count() == 2
     assert sorted(r.symbol_name for r in spark.read.parquet(f"{out}/symbols").collect()) == ["f", "g"]
+
+
+def test_cover_density(spark):
+    from lodestone.operators import lexical
+
+    rows = [(1, "~a", "A"), (2, "~b", "A"), (5, "~a", "C"), (9, "~b", "D")]
+    assert lexical.density(rows, {"~a", "~b"}, False) == pytest.approx(2.3)
+    want = 2 / 2 + (2 / (1 + 5)) / (1 + 2) + (2 / (5 + 10)) / (1 + 3)
+    assert lexical.density(rows, {"~a", "~b"}, True) == pytest.approx(want)
+    assert lexical.density(rows, {"~a", "~c"}, True) == 0
+    got = {r.id: r.score for r in lexical.cover_density(blobs(spark), "episode rollups").collect()}
+    assert set(got) == {1, 2} and got[1] == got[2]
+    assert lexical.score(lexical.index_rows("episode-rollup.js", None, None, "about rollups"), "episode rollups") > lexical.score(lexical.index_rows("rollup.js", None, None, None), "episode rollups") > 0
+    assert lexical.cover_density(blobs(spark), "zzz").count() == 0
