@@ -69,3 +69,12 @@ def whole_names(path: Column) -> Column:
     cut = F.when(dots > 0, F.transform(F.sequence(F.lit(1), dots), lambda n: F.concat(folder, F.array_join(F.slice(F.split(base, r"\."), 1, n), ".")))).otherwise(F.array().cast("array<string>"))
     index = F.when(F.startswith(base, F.lit("index.")) & (folder != ""), F.left(path, F.length(folder) - 1))
     return F.array_distinct(F.array_compact(F.concat(F.array(path, index), F.filter(cut, lambda c: c != folder))))
+
+
+def document_id(repo: Column, source_path: Column, target: Column) -> Column:
+    """'repo::path' of an import's target inside the repository, 'repo::pkg:name' of an external one; null for nothing."""
+    t = F.replace(F.trim(target), F.lit("\\"), F.lit("/"))
+    name = F.coalesce(F.nullif(F.regexp_replace(F.trim(repo), "[^a-zA-Z0-9._-]+", "_"), F.lit("")), F.lit("default"))
+    inside = F.startswith(t, F.lit("./")) | F.startswith(t, F.lit("../"))
+    at = F.when(inside, F.regexp_replace(resolved(source_path, t), r"^(\.\./)+", "")).when(F.startswith(t, F.lit("/")), F.regexp_replace(t, "^/+", "")).otherwise(F.concat(F.lit("pkg:"), t))
+    return F.when(t != "", F.concat(name, F.lit("::"), at))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import hashing, paths, text, vector
 from lodestone.operators import filters, graph, ranking, upserts, versions
 from lodestone.plans import views as v
-from lodestone.sources import formats
+from lodestone.sources import files, formats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -592,3 +592,79 @@ def json_decode(spark, sf):
 def top_per_group(spark, sf):
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
     return v.table(spark, sf, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("place")).where("place <= 3")
+
+
+# --- sources and the rest of the inventory -----------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS snippet FROM documents")
+def snippet_lines(spark, sf):
+    return v.table(spark, sf, "documents").select("doc_id", files.snippet(F.col("text"), F.lit(2), F.lit(4)).alias("snippet"))
+
+
+@query("SELECT doc_id, length(CASE WHEN length(text) * 40 > 500000 THEN left(repeat(text, 40), 500000) || chr(10) || '... (truncated)' ELSE repeat(text, 40) END)::INTEGER AS n FROM documents")
+def shown_content(spark, sf):
+    return v.table(spark, sf, "documents").select("doc_id", F.length(files.shown(F.repeat("text", F.lit(40)))).alias("n"))
+
+
+@query("SELECT event_id, sha1(encode(event_id::VARCHAR)) AS id, CASE WHEN event_id % 3 <> 0 THEN sha1(encode((event_id - 1)::VARCHAR)) END AS parent_id, event_type AS author, 'a|b ' || props AS message FROM events")
+def git_log_lines(spark, sf):
+    e = v.table(spark, sf, "events")
+    sha = lambda c: F.sha1(c.cast("string"))
+    parents = F.when(F.col("event_id") % 3 != 0, F.concat_ws(" ", sha(F.col("event_id") - 1), sha(F.col("event_id") - 2))).otherwise("")
+    lines = e.select("event_id", F.concat_ws("|", sha(F.col("event_id")), parents, "event_type", F.concat(F.lit("a|b "), "props")).alias("value"))
+    parsed = files.git_log(lines.select("value"))
+    return parsed.join(e.select("event_id", sha(F.col("event_id")).alias("id")), "id").select("event_id", "id", "parent_id", "author", "message")
+
+
+@query("SELECT page_id, NOT (contains(url, '/en/')) AS walked FROM pages")
+def walk_filter(spark, sf):
+    p = F.regexp_replace(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), "/en/", "/node_modules/")
+    return v.table(spark, sf, "pages").select("page_id", filters.is_walked(p).alias("walked"))
+
+
+@query(f"""WITH {v.BLOBS}, {v.IMPORTS} SELECT id, repo || '::' || CASE id % 5 WHEN 0 THEN 'src/d' || (id // 60 + id % 3)::VARCHAR WHEN 1 THEN 'src/d' || (id // 60 + id % 3)::VARCHAR || '.txt'
+  WHEN 3 THEN 'src/d' || (id // 60 + id % 3)::VARCHAR || '.txt' WHEN 2 THEN 'pkg:d' || (id // 60 + id % 3)::VARCHAR || '.txt' ELSE 'pkg:node:fs' END AS target_id FROM v_import""")
+def import_doc_ids(spark, sf):
+    return v.imports(spark, sf).select("id", paths.document_id(F.col("repo"), F.col("source_path"), F.col("target_path")).alias("target_id"))
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS raw FROM embeddings, q),
+  t AS (SELECT * FROM s ORDER BY raw DESC, vec_id LIMIT 40), c AS (SELECT *, """ + _CALIBRATED + """ AS calibrated FROM t) SELECT vec_id, round(raw, 6) AS raw FROM c WHERE raw >= 0.35 OR calibrated >= 0.55""")
+def semantic_symbol_floor(spark, sf):
+    e = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.lit(None).cast("string").alias("embed_model"))
+    return ranking.semantic_symbols(e, v.query_vector(spark, sf), 40).select(F.col("id").alias("vec_id"), r6("raw").alias("raw"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_name || ' [' || p_brand || ', ' || p_type || ']' END AS summary FROM part")
+def tagged_answers(spark, sf):
+    body = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("p_name").alias("summary"), F.array("p_brand", "p_type").alias("tags"))), F.lit("\n``` done"))
+    return v.table(spark, sf, "part").select("p_partkey", formats.tagged_summary(F.when(F.col("p_partkey") % 4 != 0, body).otherwise("no answer")).alias("summary"))
+
+
+@query("""SELECT 'lc_' || p_partkey::VARCHAR AS id, left('# ' || p_partkey::VARCHAR || ' [' || p_brand || ']' || chr(10) || 'Tags: ' || p_type || ', x' || chr(10) || chr(10) || 'Problem:' || chr(10) || p_name || chr(10) || chr(10) || 'Solution:' || chr(10) || p_type
+  || chr(10) || chr(10) || 'Explanation:' || chr(10), 8000) AS text FROM part""")
+def exercise_format(spark, sf):
+    rows = v.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("task_id"), F.col("p_brand").alias("difficulty"), F.array("p_type", F.lit("x")).alias("tags"), F.col("p_name").alias("problem_description"), F.col("p_type").alias("completion"), F.lit(None).cast("string").alias("response"))
+    return formats.exercises(rows).select("id", "text")
+
+
+@query("""SELECT 'Commit Message:' || chr(10) || event_type || chr(10) || chr(10) || 'File: f' || user_id::VARCHAR || chr(10) || chr(10) || 'Before:' || chr(10) || '(new file)' || chr(10) || chr(10) || 'After:' || chr(10) || props AS text FROM events""")
+def commit_pack_format(spark, sf):
+    none = F.lit(None).cast("string")
+    rows = v.table(spark, sf, "events").select(F.col("event_type").alias("subject"), none.alias("message"), none.alias("old_contents"), F.col("props").alias("new_contents"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("old_file"), none.alias("new_file"))
+    return formats.commit_packs(rows).select("text")
+
+
+@query(f"""WITH {v.BLOBS} SELECT b.id, b.repo, r.n FROM v_blob b JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) r ON r.source = b.repo WHERE b.id = 5""")
+def blob_by_id(spark, sf):
+    repos = v.table(spark, sf, "documents").groupBy(F.col("source").alias("repo")).agg(F.count(F.lit(1)).alias("n"))
+    return v.blobs(spark, sf).where("id = 5").select("id", "repo").join(repos, "repo").select("id", "repo", "n")
+
+
+@query("""WITH b AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS head FROM events GROUP BY user_id) SELECT b.user_id, e.event_id AS commit_id, md5(e.props) AS tree_id FROM b JOIN events e ON e.event_id = b.head""")
+def root_trees(spark, sf):
+    """Heads of branches (the last event of each user) and their trees."""
+    e = v.table(spark, sf, "events")
+    heads = e.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("head"))
+    return heads.join(e.select("event_id", "props"), F.col("head") == F.col("event_id")).select("user_id", F.col("event_id").alias("commit_id"), F.md5("props").alias("tree_id"))
