@@ -33,6 +33,8 @@ IDENTIFIER = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\
 ROUNDS, SMOOTHING, MIN_SUPPORT, MIN_CONFIDENCE = 3, 2, 8, 0.8
 #: Characters of the text beside an identifier in which its neighbouring words are looked for.
 CONTEXT = 64
+#: Matches of a text that are placed together.
+BLOCK = 256
 
 _MATCH = "array<struct<start:int,kind:int,end:int,value:string>>"
 _FOUND = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
@@ -45,14 +47,20 @@ def _located(text: Column, pattern: str, make, kind: str) -> Column:
     """
     def place(hits: Column) -> Column:
         pieces = F.split(text, pattern, -1)
-        rows = F.arrays_zip(hits.alias("m"), pieces.alias("before"), F.slice(pieces, 2, F.size(pieces)).alias("after"))
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        rows = F.slice(F.arrays_zip(hits.alias("m"), pieces.alias("before"), F.slice(pieces, 2, F.size(pieces)).alias("after")), 1, F.size(hits))
+        none = F.array().cast(kind)
 
         def step(acc: Column, x: Column) -> Column:
             start = acc["at"] + F.length(x["before"])
             return F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(make(start, x["m"], x["before"], x["after"])).cast(kind)).alias("out"))
 
-        return F.aggregate(F.slice(rows, 1, F.size(hits)), first, step, lambda acc: acc["out"])
+        def block_step(acc: Column, block: Column) -> Column:
+            inner = F.aggregate(block, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return F.element_at(F.transform(F.array(inner), lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out"))), 1)
+
+        # in blocks, since an array that grows by one match at a time is copied each time
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")), lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), block_step, lambda acc: F.flatten(acc["out"]))
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.when(F.size(hits) > 0, place(hits)).otherwise(F.array().cast(kind))
@@ -114,7 +122,7 @@ def identifiers(text: Column) -> Column:
     """Identifier-shaped words without the punctuation around them, with their neighbouring words."""
     def make(start: Column, m: Column, before: Column, after: Column) -> Column:
         lead = F.length(F.regexp_extract(m, r"^[^A-Za-z0-9+]*+", 0))
-        core = F.regexp_replace(F.substring(m, lead + 1, F.length(m)), r"[^A-Za-z0-9]++$", "")
+        core = F.regexp_replace(F.substring(m, lead + 1, F.length(m)), r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", "")
         near = F.rtrim(F.regexp_replace(F.substring(before, F.greatest(F.lit(1), F.length(before) - CONTEXT + 1), F.lit(CONTEXT)), r"[\x09-\x0D]", " "))
         far = F.ltrim(F.regexp_replace(F.substring(after, 1, CONTEXT), r"[\x09-\x0D]", " "))
         return F.struct((start + lead).alias("start"), (start + lead + F.length(core)).alias("end"), core.alias("value"), _bare(F.substring_index(near, " ", -1)).alias("left"), _bare(F.substring_index(far, " ", 1)).alias("right"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -98,6 +99,14 @@ def test_context_finds_unseen_identifiers(spark):
     assert out[3].n_added == 0
 
 
+def test_long_runs_take_linear_time(spark):
+    n = 40_000
+    texts = ["a" * n, "1" * n, "9" + "!" * n + "b", "1." * n, "+" * n, "1-" * n, "a@" * n, "@" + "a." * n, " " * n + "7"]
+    began = time.time()
+    assert pii.find(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts)
+    assert time.time() - began < 90
+
+
 def test_redaction(spark, odd):
     out = {r.doc_id: r.text for r in pii.redact(spark, odd).collect()}
     assert out[15] == "mail [EMAIL], [PHONE] now"
