@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import raw, small_batches
 
-GRAM, BUCKET_BITS, THRESHOLD = 4, 16, -0.2
+GRAM, BUCKET_BITS, THRESHOLD = 4, 16, -0.3
 BUCKETS = 1 << BUCKET_BITS
 #: Bound of the labelled sample that the trusted multinomial is fitted on (those with the smallest id hashes).
 TRUSTED_ROWS = 20_000
