@@ -96,7 +96,7 @@ def bridge_scores(neighbours: DataFrame, seed_scores: DataFrame, uncovered: list
     return distinct_on(scored, ["repo", "file_path"], [F.desc("n_uncovered"), F.desc("score"), F.desc("id"), F.asc("seed_path"), F.desc("edge_id")])
 
 
-def merge_bridges(hop1: list[dict], bridges: list[dict], k: int, tokens: list[str], cover) -> list[dict]:
+def merge_bridges(hop1: list[dict], bridges: list[dict], k: int, cover) -> list[dict]:
     """At most k rows on the driver. With room, bridges join and all sort; else the top rows are safe and weak ones give way.
 
     cover(row) tells how many tokens a row holds; a row is replaced only by one that holds more.

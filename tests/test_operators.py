@@ -85,8 +85,8 @@ def test_resolution(spark):
 def test_merge_protects_the_top():
     hop1 = [{"n": i, "similarity": 1 - i / 10, "t": 1} for i in range(3)]
     strong, weak = {"n": 9, "similarity": 0.5, "bridge": True, "t": 2}, {"n": 8, "similarity": 0.4, "bridge": True, "t": 0}
-    assert [r["n"] for r in graph.merge_bridges(hop1, [strong, weak], 3, [], lambda r: r["t"])] == [0, 1, 9]
-    assert [r["n"] for r in graph.merge_bridges(hop1, [strong], 9, [], lambda r: r["t"])] == [0, 1, 2, 9]
+    assert [r["n"] for r in graph.merge_bridges(hop1, [strong, weak], 3, lambda r: r["t"])] == [0, 1, 9]
+    assert [r["n"] for r in graph.merge_bridges(hop1, [strong], 9, lambda r: r["t"])] == [0, 1, 2, 9]
 
 
 def test_writes(spark):
