@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,8 +53,11 @@ def _own_folder() -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder that driver and executors share; a local one only where the session names none and runs on this machine alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or _own_folder()).rstrip("/")
 
 
 class Scratch:
@@ -70,11 +74,16 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads; without names, all of them."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for p in [self.path(n) for n in names] or [self.root]:
-            at = jvm.org.apache.hadoop.fs.Path(p)
-            at.getFileSystem(conf).delete(at, True)
+        """Delete tables that no later step reads."""
+        for p in map(self.path, names):
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these, which lazy results still read."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)
+        self.drop(*{x.getPath().getName() for x in found} - set(names))
 
 
 def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -153,7 +153,9 @@ def groups(spark: SparkSession, docs: DataFrame, scratch: Scratch, is_old) -> tu
     equal = scratch.save(both.join(same, "digest").select("digest", F.greatest("keep_id", "old_id").alias("best"), (F.col("n") + F.col("old_n")).alias("all")), "equal")
     sides = snapshot.select("digest", F.lit(True).alias("old"), "keep_id", "n").unionByName(new.select("digest", F.lit(False).alias("old"), "keep_id", "n"))
     whole_groups = sides.join(equal, "digest", "left").select("digest", "old", F.coalesce("best", "keep_id").alias("keep_id"), F.coalesce("all", "n").alias("n"))
-    return rows, scratch.save(whole_groups, "groups")
+    done = scratch.save(whole_groups, "groups")
+    scratch.keep("rows", "groups")
+    return rows, done
 
 
 def default_split():

@@ -171,7 +171,9 @@ def analyse(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     sure = score_patterns(edges, scratch)
     best = met.where("seed is null").join(sure, "pattern").groupBy("doc_id", "h", "start", "end").agg(F.min(F.struct(-F.col("confidence"), F.col("kind")))["kind"].alias("kind"))
     extra = best.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "kind", "end", F.lit("").alias("value"))).cast(_MATCH).alias("more"))
-    return rows, scratch.save(extra, "extra")
+    done = scratch.save(extra, "extra")
+    scratch.keep("rows", "extra")
+    return rows, done
 
 
 def _with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:

@@ -164,6 +164,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     else:
         nodes = nodes.withColumnRenamed("id", "component_id")
     found = scratch.save(nodes, "found")
+    scratch.keep("rows", "found")
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
