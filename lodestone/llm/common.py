@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it was counted and has no more rows than this; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Arrow batches stay under this size, so that a Python worker's memory does not follow the length of the texts.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
