@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import bound
+
 DEFAULT_MODEL = "snowflake-arctic-embed2"
 #: Models whose cosines are calibrated, and the line pieces (up to, from, per, to) that do it.
 CALIBRATED = ("snowflake-arctic-embed2", "qwen3-embedding")
@@ -56,10 +58,13 @@ def validated(v: Column, dim: int) -> Column:
 
 def deterministic(text: Column, dim: int) -> Column:
     """A unit vector from the SHA-256 of a text: coordinate i from the bytes 2i and 2i + 1, modulo 32, rounded to 6 places."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substring(digest, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65535.0 * 2.0 - 1.0)
-    size = norm(raw)
-    return F.when(F.length(text) > 0, F.transform(raw, lambda x: F.round(x / F.when(size == 0, 1.0).otherwise(size), 6))).otherwise(F.array_repeat(F.lit(0.0), dim))
+    def raw(digest: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substring(digest, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65535.0 * 2.0 - 1.0)
+
+    def unit(v: Column) -> Column:
+        return bound(F.struct(v.alias("v"), norm(v).alias("size")), lambda s: F.transform(s["v"], lambda x: F.round(x / F.when(s["size"] == 0, 1.0).otherwise(s["size"]), 6)))
+
+    return F.when(F.length(text) > 0, bound(bound(F.sha2(text, 256), raw), unit)).otherwise(F.array_repeat(F.lit(0.0), dim))
 
 
 def canonical_model(name: Column) -> Column:

@@ -97,9 +97,9 @@ def dense_search(blobs: DataFrame, query: Sequence[float], as_of: datetime, k: i
 def keyword_search(blobs: DataFrame, query: str, as_of: datetime, k: int = 10) -> DataFrame:
     """Lexical score with a floor, or a name that contains the query, decayed; one cut, then the version check."""
     named = F.contains(F.lower("file_name"), F.lit(query.lower())) | F.contains(F.lower("file_path"), F.lit(query.lower()))
-    hit = text.hit_ratio(haystack(), query)
+    blobs_hit, hit = blobs.withColumn("__hit", text.hit_ratio(haystack(), query)), F.col("__hit")
     score = F.when(hit.isNotNull() | F.coalesce(named, F.lit(False)), F.greatest(F.coalesce(hit, F.lit(0.0)), F.lit(FLOOR))) * decay(as_of)
-    top = drop_superseded(_narrow(blobs, score, k, F.lit(True)), blobs, first_cut(k))
+    top = drop_superseded(_narrow(blobs_hit, score, k, F.lit(True)), blobs, first_cut(k))
     return top.orderBy(F.desc("raw"), "id").limit(k).select("id", "repo", "file_path", F.col("raw").alias("similarity"))
 
 
