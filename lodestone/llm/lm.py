@@ -1,13 +1,14 @@
 """Language-model scores: prediction by partial matching (PPM) over bytes, beside a smoothed word unigram.
 
-PPM. The trie holds the counts of every byte context up to two bytes and of the symbol behind it, over all training texts
-(A-Z lower-cased, two start marks in front, one end mark behind, so there are 257 symbols and at most 257^3 leaves, which
-bounds what is sent to every worker). A symbol's probability starts in the longest context. Where it was not seen there,
+PPM. The model holds the counts of every byte context up to ``ORDER`` bytes and of the symbol behind it, over all training
+texts (A-Z lower-cased, ``ORDER`` start marks in front, one end mark behind, so there are 257 symbols), as a written table
+of grams that grows with the corpus. A symbol's probability starts in the longest context. Where it was not seen there,
 the escape (method C: the number of distinct symbols over that number plus their counts) leads to the next shorter context,
-from which all symbols of the longer one are excluded; the last resort is uniform over what remains. A model trained in
-advance never changes while it scores, so all this depends on three symbols only and is worked out once, as one table.
+from which all symbols of the longer one are excluded; the last resort is uniform over what remains. Grams meet by the last
+three symbols of their context, hashed to ``BUCKETS`` groups: longer contexts lie in one group, and the counts of the
+shorter ones (at most 257^3) are sent to every worker. A chunk asks for its distinct grams once.
 
-Words. Each chunk of a task's texts has a vocabulary of its own; documents become arrays of its numbers, in a written
+Words. Each chunk of a task's texts has a vocabulary of its own, numbered as they come; documents are in a written
 table. Vocabularies, not documents, meet the global word counts, and the counts return to their chunk.
 
 Defined results: a null text counts as empty (one token, the end); a null doc_id counts as the empty string in the split;
@@ -21,7 +22,9 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,10 @@ from lodestone.llm.common import Scratch, raw, runs, small_batches
 
 #: Symbols: the bytes, and 256 for either end of a text.
 END, SYMBOLS = 256, 257
+#: Bytes of context, bits of a symbol in a gram (context and symbol, the symbol lowest), groups of grams.
+ORDER, BITS, BUCKETS = 5, 9, 512
+#: Grams that a task holds before it passes them on, or looks up at once.
+HELD = 1 << 20
 #: Bytes of text in a chunk; a chunk's vocabulary and documents are one task's work.
 CHUNK_BYTES = 12 << 20
 
@@ -52,15 +59,61 @@ def places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out[told], starts - np.arange(len(texts))
 
 
-def _trie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SYMBOLS**3, np.uint32)
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of all texts, end to end, and where each text's begin."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes + ORDER) - (sizes + ORDER)
+    a = np.full(int(sizes.sum()) + ORDER * len(texts) + 1, END, np.int64)
+    own = np.ones(len(a), bool)
+    for i in range(ORDER):
+        own[starts + i] = False
+    own[-1] = False
+    a[own] = np.frombuffer(b"".join(texts), np.uint8)
+    n = len(a) - ORDER
+    out = np.zeros(n, np.int64)
+    for i in range(ORDER + 1):
+        out = out << BITS | a[i : n + i]
+    told = np.ones(n, bool)
+    for i in range(1, ORDER):
+        told[starts[1:] - i] = False  # of the next text's start marks only the first, as this one's end, is predicted
+    return out[told], starts - (ORDER - 1) * np.arange(len(texts))
+
+
+def _low(gram: np.ndarray, order: int) -> np.ndarray:
+    """The gram with the last ``order`` symbols of its context."""
+    return gram & ((1 << BITS * (order + 1)) - 1)
+
+
+def buckets(gram: np.ndarray) -> np.ndarray:
+    context = (_low(gram, 3) >> BITS).astype(np.uint64)
+    return ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def _added(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, and the sums of their counts."""
+    found, at = np.unique(gram, return_inverse=True)
+    return found, np.bincount(at, n, len(found)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def out():
+        gram, n = _added(*map(np.concatenate, zip(*held, strict=True)))
+        return pa.record_batch([pa.array(buckets(gram).astype(np.int32)), pa.array(gram), pa.array(n)], ["bucket", "gram", "n"])
+
     for b in batches:
-        texts = [t.lower() for t in raw(b.column(0))]
-        for part in runs(texts):
-            np.add.at(counts, places(part)[0], 1)
-    used = np.flatnonzero(counts)
-    if len(used):
-        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(counts[used].astype(np.int64))], ["place", "n"])
+        for part in runs([t.lower() for t in raw(b.column(0))]):
+            held.append(np.unique(grams(part)[0], return_counts=True))
+            size += len(held[-1][0])
+            if size > 4 * HELD:
+                held = [_added(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > 2 * HELD:
+                    yield out()
+                    held, size = [], 0
+    if held:
+        yield out()
 
 
 def table(place: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -90,7 +143,7 @@ def table(place: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """The trie's leaves as sent to the workers; each worker makes the probability table once."""
+    """A model of two bytes of context as one dense table, against which short orders can be checked."""
 
     def __init__(self, place: np.ndarray, n: np.ndarray):
         self.place, self.n = place, n
@@ -105,72 +158,189 @@ class Trie:
         return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def fit(spark: SparkSession, docs: DataFrame) -> Trie:
-    """The trie of all texts in ``docs``."""
+class Level:
+    """The counts of one order: grams, their counts, and of each context how many symbols and occurrences it has."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, lower: Level | None):
+        self.gram, self.n, self.order = gram, n, 0 if lower is None else lower.order + 1
+        self.context, at = np.unique(gram >> BITS, return_inverse=True)
+        self.kinds, self.total = np.bincount(at, minlength=len(self.context)), np.bincount(at, n, len(self.context))
+        if lower is not None and len(gram):  # what the next shorter context keeps once the symbols seen here are excluded
+            mask = (1 << BITS * lower.order) - 1
+            under = np.searchsorted(lower.context, self.context & mask)
+            own = lower.n[np.searchsorted(lower.gram, gram & ((1 << BITS * (lower.order + 1)) - 1))]
+            self.left_total = lower.total[under] - np.bincount(at, own, len(self.context))
+            self.left_kinds = lower.kinds[under] - self.kinds
+        else:
+            self.left_total = self.left_kinds = np.zeros(len(self.context))
+
+
+def levels(gram: np.ndarray, n: np.ndarray, orders: range, lower: Level | None = None) -> list[Level]:
+    """The levels of ``orders`` (ascending) above ``lower``, from counted grams."""
+    out = []
+    for k in orders:
+        lower = Level(*_added(_low(gram, k), n), lower)
+        out.append(lower)
+    return out
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x is in the sorted keys, and whether it is there at all."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+def log10_of(asked: np.ndarray, ladder: list[Level]) -> np.ndarray:
+    """log10 probability of each gram's symbol behind its context; ``ladder``: the levels from order 0 up."""
+    p, open_ = np.ones(len(asked)), np.ones(len(asked), bool)
+    above, was = np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    for k in range(len(ladder) - 1, -1, -1):
+        x, key = ladder[k], _low(asked, k)
+        at, seen = _find(x.gram, key)
+        context, met = _find(x.context, key >> BITS)
+        total, kinds = np.zeros(len(asked)), np.zeros(len(asked))
+        total[met], kinds[met] = x.total[context[met]], x.kinds[context[met]]
+        if was.any():
+            total[was], kinds[was] = ladder[k + 1].left_total[above[was]], ladder[k + 1].left_kinds[above[was]]
+        hit, miss = open_ & seen, open_ & ~seen & (kinds > 0)
+        p[hit] *= x.n[at[hit]] / (total[hit] + kinds[hit])
+        p[miss] *= kinds[miss] / (total[miss] + kinds[miss])
+        open_ &= ~seen
+        above, was = context, met
+    p[open_] /= SYMBOLS - len(ladder[0].gram)
+    return np.log10(np.maximum(p, 1e-300)).astype(np.float32)
+
+
+class Short:
+    """The counts of the contexts up to two bytes, as sent to the workers; each worker makes the levels once."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.gram, self.n = gram, n
+
+    @functools.cached_property
+    def ladder(self) -> list[Level]:
+        return levels(self.gram, self.n, range(3))
+
+
+def fit(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Short]:
+    """The counted grams (bucket, gram, n) of all texts in ``docs``, as a written table, and the short contexts."""
     small_batches(spark)
-    rows = docs.select("text").mapInArrow(_trie, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    return Trie(rows["place"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+    counted = docs.select("text").mapInArrow(_counted, "bucket int, gram long, n long")
+    found = scratch.save(counted.groupBy("bucket", "gram").agg(F.sum("n").alias("n")), "grams")
+    rows = found.groupBy(F.col("gram").bitwiseAND((1 << 3 * BITS) - 1).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
+    return found, Short(rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+
+
+def answered(asked: DataFrame, counted: DataFrame, short: Short) -> DataFrame:
+    """(part, bucket, logs): the log10 probabilities of the grams that ``asked`` (chunk, bucket, grams) holds, in their order."""
+    shared = asked.sparkSession.sparkContext.broadcast(short)
+
+    def run(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        low = shared.value.ladder
+        ladder = low + levels(counted.column("gram").to_numpy(), counted.column("n").to_numpy(), range(3, ORDER + 1), low[-1])
+        lists, logs = asked.column("grams").to_pylist(), []
+        for part in runs(lists, 8 * HELD):
+            x, at = np.unique(np.frombuffer(b"".join(part), np.int64), return_inverse=True)
+            y = log10_of(x, ladder)[at]
+            logs += [z.tobytes() for z in np.split(y, np.cumsum([len(g) // 8 for g in part])[:-1])]
+        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(logs, pa.binary())], ["part", "bucket", "logs"])
+
+    return asked.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(run, "part long, bucket int, logs binary")
 
 
-_CHUNKS = "chunk long, doc_id long, held_out boolean, score double, ids binary, word binary, number int, n long"
+_CHUNKS = "chunk long, at int, doc_id long, held_out boolean, text binary, word binary, number int, n long, bucket int, grams binary"
 
 
-def chunked(spark: SparkSession, docs: DataFrame, trie: Trie) -> DataFrame:
-    """Rows of two kinds: documents (doc_id, held_out, score, ids) and vocabulary (word, number, n: training occurrences)."""
+def _ordered(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct, sorted grams by bucket, and their buckets in that order."""
+    place = buckets(found)
+    order = np.argsort(place, kind="stable")
+    return order, place[order]
+
+
+def chunked(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Rows of three kinds: documents (at, doc_id, held_out, text), vocabulary (word, number, n: training occurrences), grams asked for (bucket, grams)."""
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(trie)
+    names, kinds = zip(*[x.split() for x in _CHUNKS.split(", ")], strict=True)
+    arrow = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "int": pa.int32()}
+
+    def rows(chunk: int, size: int, **columns) -> pa.RecordBatch:
+        columns["chunk"] = pa.array(np.full(size, chunk))
+        return pa.record_batch([columns.get(c, pa.nulls(size, arrow[k])) for c, k in zip(names, kinds, strict=True)], list(names))
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         numbers: dict[bytes, int] = {}
-        counts, held = [], 0
+        counts, asked, held, at = [], [], 0, 0
 
         def close():
             total = np.zeros(len(numbers), np.int64)
             for ids in counts:
                 total += np.bincount(ids, minlength=len(numbers))
-            words = list(numbers)
-            for at in range(0, len(words), 50_000):
-                w, k = words[at : at + 50_000], min(50_000, len(words) - at)
-                none = [pa.nulls(k, t) for t in (pa.int64(), pa.bool_(), pa.float64(), pa.binary())]
-                yield pa.record_batch([pa.array(np.full(k, part << 24 | seq)), *none, pa.array(w, pa.binary()), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array(total[at : at + k])], names)
+            words, chunk = list(numbers), part << 24 | seq
+            for i in range(0, len(words), 50_000):
+                w = words[i : i + 50_000]
+                yield rows(chunk, len(w), word=pa.array(w, pa.binary()), number=pa.array(np.arange(i, i + len(w), dtype=np.int32)), n=pa.array(total[i : i + len(w)]))
+            found = np.unique(np.concatenate([np.zeros(0, np.int64), *asked]))
+            order, place = _ordered(found)
+            first = np.flatnonzero(np.diff(place, prepend=-1))
+            if len(first):
+                yield rows(chunk, len(first), bucket=pa.array(place[first].astype(np.int32)), grams=pa.array([x.tobytes() for x in np.split(found[order], first[1:])], pa.binary()))
 
-        names = [x.split()[0] for x in _CHUNKS.split(", ")]
         for b in batches:
-            texts, out = raw(b.column(1)), b.column(2).to_pylist()
-            scores, ids = shared.value.scores(texts), []
+            texts, out = [t.lower() for t in raw(b.column(1))], b.column(2).to_pylist()
             for t, o in zip(texts, out, strict=True):
-                x = np.array([numbers.setdefault(w, len(numbers)) for w in t.lower().split()], np.uint32)
-                ids.append(x.tobytes())
+                x = np.array([numbers.setdefault(w, len(numbers)) for w in t.split()], np.uint32)
                 if not o:
                     counts.append(x)
                 held += len(t)
-            none = [pa.nulls(len(ids), t) for t in (pa.binary(), pa.int32(), pa.int64())]
-            yield pa.record_batch([pa.array(np.full(len(ids), part << 24 | seq)), b.column(0), b.column(2), pa.array(scores), pa.array(ids, pa.binary()), *none], names)
-            counts = [np.concatenate(counts)] if counts else []
+            for some in runs(texts):
+                asked.append(pd.unique(grams(some)[0]))
+            yield rows(part << 24 | seq, len(texts), at=pa.array(np.arange(at, at + len(texts), dtype=np.int32)), doc_id=b.column(0), held_out=b.column(2), text=pa.array(texts, pa.binary()))
+            counts, at = [np.concatenate(counts)] if counts else [], at + len(texts)
             if held >= CHUNK_BYTES:
                 yield from close()
-                numbers, counts, held, seq = {}, [], 0, seq + 1
+                numbers, counts, asked, held, at, seq = {}, [], [], 0, 0, seq + 1
         yield from close()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out")).mapInArrow(run, _CHUNKS)
 
 
+def ppm(texts: list[bytes], logs: list[bytes]) -> np.ndarray:
+    """log10 probability of each lower-cased text of a chunk from the answers to its grams, by bucket."""
+    told = []
+    for some in runs(texts):
+        gram, starts = grams(some)
+        codes, own = pd.factorize(gram)
+        told.append((codes.astype(np.int32), own, starts))
+    found = np.unique(np.concatenate([np.zeros(0, np.int64), *[own for _, own, _ in told]]))
+    value = np.empty(len(found), np.float32)
+    value[_ordered(found)[0]] = np.frombuffer(b"".join(logs), np.float32)
+    parts = [np.add.reduceat(value[np.searchsorted(found, own)][codes], starts, dtype=np.float64) for codes, own, starts in told]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def _score(train_tokens: int, kinds: int, ends: int):
     size = train_tokens + kinds + 1
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        number = words.column("number").to_numpy()
-        texts = [np.frombuffer(x, np.uint32) for x in docs.column("ids").to_pylist()]
-        top = max((int(x.max()) for x in [number, *texts] if len(x)), default=0)  # words unseen in training have no row
-        c = np.zeros(top + 1, np.int64)
-        c[number] = words.column("c").to_numpy()
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        docs = docs.sort_by("at")  # so that the words get the numbers that they had
+        texts = docs.column("text").to_pylist()
+        logs = told.filter(pc.is_valid(told.column("logs"))).sort_by("bucket").column("logs").to_pylist()
+        words = told.filter(pc.is_valid(told.column("number")))
+        score = ppm(texts, logs)
+        numbers: dict[bytes, int] = {}
+        lists = [np.array([numbers.setdefault(w, len(numbers)) for w in t.split()], np.uint32) for t in texts]
+        c = np.zeros(len(numbers), np.int64)  # words unseen in training have no row
+        c[words.column("number").to_numpy()] = words.column("c").to_numpy()
         log = np.log10((c + 1) / size)
         out = []
-        for ids in texts:
+        for ids in lists:
             out.append((len(ids) + 1, int((c[ids] > 0).sum()) + (ends > 0), float(log[ids].sum() + np.log10((ends + 1) / size))))
         n, known, base = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table([docs.column("doc_id"), docs.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([train_tokens] * len(n), pa.int64()), pa.array(base, pa.float64()), docs.column("score")], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([docs.column("doc_id"), docs.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([train_tokens] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -178,15 +348,17 @@ def _score(train_tokens: int, kinds: int, ends: int):
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     scratch = Scratch(spark, "lm")
-    trie = fit(spark, docs.where(~held_out()))
-    rows = scratch.save(chunked(spark, docs, trie), "chunks")
-    words, texts = rows.where("word is not null"), rows.where("word is null")
+    counted, short = fit(spark, docs.where(~held_out()), scratch)
+    rows = scratch.save(chunked(spark, docs), "chunks")
+    words, texts = rows.where("word is not null"), rows.where("text is not null")
     counts = scratch.save(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     kinds, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     ends = texts.where("not held_out").count()
+    logs = scratch.save(answered(rows.where("grams is not null").select("chunk", "bucket", "grams"), counted, short), "logs")
     known = words.select(F.col("chunk").alias("part"), "word", "number").join(counts, "word").select("part", "number", "c")
+    told = known.unionByName(logs, allowMissingColumns=True)
     run = _score(total + ends, kinds + (ends > 0), ends)
     return (
-        texts.select("chunk", "doc_id", "held_out", "score", "ids").groupBy("chunk").cogroup(known.groupBy("part"))
+        texts.select("chunk", "at", "doc_id", "held_out", "text").groupBy("chunk").cogroup(told.groupBy("part"))
         .applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )

@@ -98,6 +98,42 @@ def test_language_model(spark, name, request, monkeypatch):
     assert all(np.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def long_ppm(texts, t):
+    """log10 probability of t after training on texts, order by order, straight from the definition."""
+    pad = [lm.END] * lm.ORDER
+    seen = {}
+    for x in texts:
+        x = [*pad, *x, lm.END]
+        for i in range(lm.ORDER, len(x)):
+            for k in range(lm.ORDER + 1):
+                seen.setdefault(tuple(x[i - k : i]), Counter())[x[i]] += 1
+    x, total = [*pad, *t, lm.END], 0.0
+    for i in range(lm.ORDER, len(x)):
+        p, out = 1.0, set()
+        for k in range(lm.ORDER, -1, -1):
+            c = seen.get(tuple(x[i - k : i]), Counter())
+            left = {s: n for s, n in c.items() if s not in out}
+            if x[i] in left:
+                p *= left[x[i]] / (sum(left.values()) + len(left))
+                break
+            if left:
+                p *= len(left) / (sum(left.values()) + len(left))
+            out |= set(c)
+        else:
+            p /= lm.SYMBOLS - len(out)
+        total += np.log10(p)
+    return total
+
+
+def test_ppm_uses_long_contexts(spark):
+    texts = ["abcdeX abcdfY abcdeX", "", None, "banana bandana", "été", "zbcdeZ zbcdfW zbcdeZ", "abcdeZ"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    forms = [(t or "").translate(FOLD).encode() for t in texts]
+    train = [t for i, t in enumerate(forms) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for r in lm.score(spark, docs).collect():
+        assert r.score == pytest.approx(long_ppm(train, forms[r.doc_id]), rel=1e-5)
+
+
 def test_network_gradients():
     """Backpropagation against finite differences."""
     net, rng = toxicity.Network(1), np.random.default_rng(1)
