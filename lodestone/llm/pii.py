@@ -1,7 +1,7 @@
 r"""Personal data by regular expressions and bootstrapped contextual extraction, in DataFrame functions only.
 
-Base spans (kinds ``KINDS``) come from fixed expressions. They are the seed entities: each identifier-shaped word (one
-with a digit or ``@``) is an instance, its neighbouring words are lexical patterns, and a pattern-instance graph is scored
+Base spans (kinds ``KINDS``) come from fixed expressions. They are the seed entities, blanks inside included; beside them
+each identifier-shaped word (one with a digit or ``@``) and each run of such words is an instance; their neighbouring words are lexical patterns, and a pattern-instance graph is scored
 for ``ROUNDS`` rounds. A pattern's confidence for a kind is the summed score of its distinct instances over their number
 plus ``SMOOTHING``; an instance's score is 1 for a seed of the kind, else the noisy-or of the confidences of the patterns
 that point to it. Patterns of at least ``MIN_SUPPORT`` seeds and ``MIN_CONFIDENCE`` mark further instances that touch no base span;
@@ -16,7 +16,7 @@ null doc_id is carried; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, bounded, whole
@@ -30,6 +30,8 @@ PATTERNS = (
 )
 #: A word with a digit or an @; words end at ASCII white space.
 IDENTIFIER = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
+#: Two or more such words with blanks between, none but the last ending in a mark of punctuation.
+RUN = IDENTIFIER + r"(?:(?<![.,;:!?])\x20++(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++)++"
 ROUNDS, SMOOTHING, MIN_SUPPORT, MIN_CONFIDENCE = 3, 2, 8, 0.8
 #: Characters of the text beside an identifier in which its neighbouring words are looked for.
 CONTEXT = 64
@@ -38,6 +40,7 @@ BLOCK = 256
 
 _MATCH = "array<struct<start:int,kind:int,end:int,value:string>>"
 _FOUND = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+_SEEDS = "array<struct<start:int,end:int,value:string,left:string,right:string,kind:int>>"
 
 
 def _located(text: Column, pattern: str, make, kind: str) -> Column:
@@ -101,12 +104,15 @@ def _of_kind(spans: str, kind: int) -> Column:
     return F.filter(spans, lambda b: b["kind"] == kind)
 
 
+_CHECKS = (None, _valid_ip, _valid_card, _valid_phone)
+#: Without this character there is nothing to match.
+_SIGNS = ("@", ".", None, "+")
+
+
 def base_spans(text: Column) -> Column:
     """Base spans as array<struct<start, kind, end, value>>, by start, then kind; places are code points from 0."""
-    checks = (None, _valid_ip, _valid_card, _valid_phone)
-    signs = ("@", ".", None, "+")  # without this character there is nothing to match
     found = []
-    for kind, (pattern, check, sign) in enumerate(zip(PATTERNS, checks, signs, strict=True)):
+    for kind, (pattern, check, sign) in enumerate(zip(PATTERNS, _CHECKS, _SIGNS, strict=True)):
         one = _located(text, pattern, lambda s, m, _b, _a, k=kind: F.struct(s.alias("start"), F.lit(k).alias("kind"), (s + F.length(m)).alias("end"), m.alias("value")), _MATCH)
         if sign:
             one = F.when(F.contains(text, F.lit(sign)), one).otherwise(F.array().cast(_MATCH))
@@ -118,16 +124,38 @@ def _bare(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}@+=]+|[^\p{L}\p{N}@+=]+$", ""))
 
 
+def _beside(before: Column, after: Column) -> tuple[Column, Column]:
+    """The words next to a match."""
+    near = F.rtrim(F.regexp_replace(F.substring(before, F.greatest(F.lit(1), F.length(before) - CONTEXT + 1), F.lit(CONTEXT)), r"[\x09-\x0D]", " "))
+    far = F.ltrim(F.regexp_replace(F.substring(after, 1, CONTEXT), r"[\x09-\x0D]", " "))
+    return _bare(F.substring_index(near, " ", -1)).alias("left"), _bare(F.substring_index(far, " ", 1)).alias("right")
+
+
 def identifiers(text: Column) -> Column:
-    """Identifier-shaped words without the punctuation around them, with their neighbouring words."""
+    """Identifier-shaped words and runs of them without the punctuation around them, with their neighbouring words."""
     def make(start: Column, m: Column, before: Column, after: Column) -> Column:
         lead = F.length(F.regexp_extract(m, r"^[^A-Za-z0-9+]*+", 0))
         core = F.regexp_replace(F.substring(m, lead + 1, F.length(m)), r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", "")
-        near = F.rtrim(F.regexp_replace(F.substring(before, F.greatest(F.lit(1), F.length(before) - CONTEXT + 1), F.lit(CONTEXT)), r"[\x09-\x0D]", " "))
-        far = F.ltrim(F.regexp_replace(F.substring(after, 1, CONTEXT), r"[\x09-\x0D]", " "))
-        return F.struct((start + lead).alias("start"), (start + lead + F.length(core)).alias("end"), core.alias("value"), _bare(F.substring_index(near, " ", -1)).alias("left"), _bare(F.substring_index(far, " ", 1)).alias("right"))
+        return F.struct((start + lead).alias("start"), (start + lead + F.length(core)).alias("end"), core.alias("value"), *_beside(before, after))
+
+    return F.filter(F.concat(_located(text, IDENTIFIER, make, _FOUND), _located(text, RUN, make, _FOUND)), lambda x: F.length(x["value"]) >= 4)
 
-    return F.filter(_located(text, IDENTIFIER, make, _FOUND), lambda x: F.length(x["value"]) >= 4)
+
+def seeds(text: Column) -> Column:
+    """The base spans with their neighbouring words and kinds."""
+    glued = r"[^\p{L}\p{N}\x20\x09-\x0D]+"
+    found = []
+    for kind, (pattern, check, sign) in enumerate(zip(PATTERNS, _CHECKS, _SIGNS, strict=True)):
+        def make(s: Column, m: Column, before: Column, after: Column, k: int = kind) -> Column:
+            before = F.regexp_replace(F.substring(before, F.greatest(F.lit(1), F.length(before) - CONTEXT + 1), F.lit(CONTEXT)), f"{glued}$", "")
+            after = F.regexp_replace(F.substring(after, 1, CONTEXT), f"^{glued}", "")
+            return F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("value"), *_beside(before, after), F.lit(k).alias("kind"))
+
+        one = _located(text, pattern, make, _SEEDS)
+        if sign:
+            one = F.when(F.contains(text, F.lit(sign)), one).otherwise(F.array().cast(_SEEDS))
+        found.append(_passing(one, check) if check else one)
+    return F.concat(*found)
 
 
 def joined(spans: Column) -> Column:
@@ -158,18 +186,21 @@ def _key() -> list[Column]:
 
 def analyse(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, h, base), (extra: doc_id, h, more); both written. h tells rows of one id apart by their text."""
-    scanned = docs.select(*_key(), base_spans(whole()).alias("base"), identifiers(whole()).alias("ids"))
+    scanned = docs.select(*_key(), base_spans(whole()).alias("base"), identifiers(whole()).alias("ids"), seeds(whole()).alias("seeds"))
     rows = scratch.save(scanned, "rows")
     marked = rows.where(F.size("ids") > 0).select("doc_id", "h", "base", F.explode("ids").alias("x"))
     inside = marked.withColumn("near", F.filter("base", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"])))
-    same = F.filter("near", lambda b: (b["start"] == F.col("x.start")) & (b["end"] == F.col("x.end")))
-    told = inside.select("doc_id", "h", F.get(same, F.lit(0))["kind"].alias("seed"), (F.size("near") > 0).alias("touch"), "x.*").where("seed is not null or not touch")
+    free = inside.where(F.size("near") == 0).select("doc_id", "h", F.lit(None).cast("int").alias("seed"), "x.*")
+    told = free.unionByName(rows.where(F.size("seeds") > 0).select("doc_id", "h", F.explode("seeds").alias("x")).select("doc_id", "h", F.col("x.kind").alias("seed"), F.col("x").dropFields("kind").alias("x")).select("doc_id", "h", "seed", "x.*"))
     word = lambda side: F.when(F.length(side) > 0, F.concat(F.lit(f"{side}:"), F.col(side)))
     two = F.when((F.length("left") > 0) & (F.length("right") > 0), F.concat(F.lit("both:"), F.col("left"), F.lit(" "), F.col("right")))
     met = scratch.save(told.select("doc_id", "h", "start", "end", "seed", F.col("value").alias("instance"), F.explode(F.array_compact(F.array(word("left"), word("right"), two))).alias("pattern")), "met")
     edges = scratch.save(met.groupBy("pattern", "instance").agg(F.min("seed").alias("seed")), "edges")
     sure = score_patterns(edges, scratch)
     best = met.where("seed is null").join(sure, "pattern").groupBy("doc_id", "h", "start", "end").agg(F.min(F.struct(-F.col("confidence"), F.col("kind")))["kind"].alias("kind"))
+    # of a run and a word in it that are both marked the run stays
+    before = Window.partitionBy("doc_id", "h").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("over", F.max("end").over(before)).where("over is null or end > over")
     extra = best.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "kind", "end", F.lit("").alias("value"))).cast(_MATCH).alias("more"))
     done = scratch.save(extra, "extra")
     scratch.keep("rows", "extra")
@@ -185,7 +216,7 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
     rows, extra = analyse(docs, Scratch(spark, "pii"))
     counts = [F.size(_of_kind("base", k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return _with_extra(rows.drop("ids"), extra).select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("__all")).alias("spans"), (F.size("__all") - F.size("base")).cast("long").alias("n_added"))
+    return _with_extra(rows.drop("ids", "seeds"), extra).select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("__all")).alias("spans"), (F.size("__all") - F.size("base")).cast("long").alias("n_added"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

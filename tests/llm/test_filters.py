@@ -99,6 +99,13 @@ def test_context_finds_unseen_identifiers(spark):
     assert out[3].n_added == 0
 
 
+def test_context_finds_identifiers_with_blanks(spark):
+    rows = [(i, f"Dial hotline +1 (212) 555-{1000 + i} today.") for i in range(20)] + [(100, "Dial hotline 212 555 9999 today."), (101, "Of 212 555 9999 none.")]
+    out = {r.doc_id: r for r in pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[100].spans == "phone:13:25" and out[100].n_phone == 0 and out[100].n_added == 1
+    assert out[3].n_added == 0
+
+
 def test_long_runs_take_linear_time(spark):
     n = 40_000
     texts = ["a" * n, "1" * n, "9" + "!" * n + "b", "1." * n, "+" * n, "1-" * n, "a@" * n, "@" + "a." * n, " " * n + "7"]
