@@ -4,7 +4,7 @@ Base spans (kinds ``KINDS``) come from fixed expressions. They are the seed enti
 each identifier-shaped word (one with a digit or ``@``) and each run of such words is an instance; their neighbouring words are lexical patterns, and a pattern-instance graph is scored
 for ``ROUNDS`` rounds. A pattern's confidence for a kind is the summed score of its distinct instances over their number
 plus ``SMOOTHING``; an instance's score is 1 for a seed of the kind, else the noisy-or of the confidences of the patterns
-that point to it. Patterns of at least ``MIN_SUPPORT`` seeds and ``MIN_CONFIDENCE`` mark further instances that touch no base span;
+that point to it. Patterns whose instances, seeds or found, score at least ``MIN_SUPPORT`` in sum and ``MIN_CONFIDENCE`` mark further instances that touch no base span;
 their kind is the pattern's.
 
 The expressions below are written so that each starts only at the head of a run (or where the last match ended) and never
@@ -32,7 +32,7 @@ PATTERNS = (
 IDENTIFIER = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 #: Two or more such words with blanks between, none but the last ending in a mark of punctuation.
 RUN = IDENTIFIER + r"(?:(?<![.,;:!?])\x20++(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++)++"
-ROUNDS, SMOOTHING, MIN_SUPPORT, MIN_CONFIDENCE = 3, 2, 8, 0.8
+ROUNDS, SMOOTHING, MIN_SUPPORT, MIN_CONFIDENCE = 3, 0.5, 3, 0.8
 #: Characters of the text beside an identifier in which its neighbouring words are looked for.
 CONTEXT = 64
 #: Matches of a text that are placed together.
@@ -171,8 +171,8 @@ def score_patterns(edges: DataFrame, scratch: Scratch) -> DataFrame:
     for i in range(ROUNDS):
         scores = seeds if scores is None else seeds.unionByName(scores)
         patterns = (
-            edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count(F.when(F.col("score") == 1, 1)).alias("own"))
-            .where(F.col("own") >= MIN_SUPPORT).join(sizes, "pattern").select("pattern", "kind", (F.col("s") / (F.col("n") + SMOOTHING)).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE / 2)
+            edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
+            .where(F.col("s") >= MIN_SUPPORT).join(sizes, "pattern").select("pattern", "kind", (F.col("s") / (F.col("n") + SMOOTHING)).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE / 2)
         )
         patterns = scratch.save(patterns, f"patterns{i}")
         new = edges.where("seed is null").join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999999)))))).alias("score"))

@@ -106,6 +106,20 @@ def test_context_finds_identifiers_with_blanks(spark):
     assert out[3].n_added == 0
 
 
+def test_context_learns_from_what_it_found(spark):
+    rows = [(i, f"Server address 10.0.{i}.7 is up.") for i in range(20)]
+    rows += [(100 + i, f"Server address fe80:{i}::9 is up.") for i in range(12)] + [(200 + i, f"Behind gateway fe80:{i}::9 sits.") for i in range(12)]
+    rows += [(300, "Behind gateway fe80:77::9 sits.")]
+    out = {r.doc_id: r for r in pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[300].spans == "ip:15:25"
+
+
+def test_few_seeds_are_enough(spark):
+    rows = [(i, f"Server address 10.0.{i}.7 is up.") for i in range(5)] + [(100, "Server address fe80:1::9 is up.")]
+    out = {r.doc_id: r for r in pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[100].spans == "ip:15:24"
+
+
 def test_long_runs_take_linear_time(spark):
     n = 40_000
     texts = ["a" * n, "1" * n, "9" + "!" * n + "b", "1." * n, "+" * n, "1-" * n, "a@" * n, "@" + "a." * n, " " * n + "7"]
