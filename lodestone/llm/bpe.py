@@ -3,8 +3,9 @@
 Pieces of the split pattern are gathered by byte length into matrices, one row per piece, padded to the bucket's width.
 In each round every row merges its leftmost pair of minimum rank: the pair's rank comes from an open-addressing hash
 table of (left id, right id), the merged cell is written, and the cell behind it is squeezed out; rows without a pair
-left leave the matrix. Only the two pairs beside a merge are looked up again. A piece longer than ``LONG`` bytes is merged
-with a heap instead, which gives the same ids in O(n log n).
+left leave the matrix. Only the two pairs beside a merge are looked up again. A piece longer than ``LONG`` bytes is a row of its
+own, in which a round merges all places of the minimum-rank pair that leftmost-first merging would come to in turn, so
+that its rounds follow the number of distinct merges and not its length.
 
 Units of text (a run of white space and the word behind it) are remembered with their ids, since no piece crosses from a
 word into white space.
@@ -18,7 +19,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -106,7 +106,7 @@ class Vocabulary:
             if (own := self.ranks.get(p)) is not None:
                 out[i] = (own,)
             elif len(p) > LONG:
-                out[i] = self._heap(p)
+                out[i] = self._row(p)
             elif p:
                 by_width.setdefault(next(w for w in WIDTHS if w >= len(p)), []).append(i)
             else:
@@ -153,32 +153,33 @@ class Vocabulary:
             ranks[ahead, at[ahead] - 1] = self.pairs.merged(ids[ahead, at[ahead] - 1], low[ahead])
         return out
 
-    def _heap(self, piece: bytes) -> np.ndarray:
-        """The same merges by a heap of (rank, place) over a linked list."""
-        get, spans = self.ranks.get, list(range(len(piece) + 1))  # spans[i]: end of the part that starts at i
-        after = [i + 1 for i in range(len(piece))]
-        before = [i - 1 for i in range(len(piece))]
-        alive = [True] * len(piece)
-        heap = []
-
-        def offer(i: int) -> None:
-            if (j := after[i]) < len(piece) and (r := get(piece[i : after[j]])) is not None:
-                heapq.heappush(heap, (r, i, j, after[j]))
-
-        for i in spans[:-1]:
-            offer(i)
-        while heap:
-            _, i, j, end = heapq.heappop(heap)
-            if not alive[i] or after[i] != j or j >= len(piece) or not alive[j] or after[j] != end:
-                continue
-            alive[j] = False
-            after[i] = end
-            if end < len(piece):
-                before[end] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return np.array([get(piece[i : after[i]]) for i in range(len(piece)) if alive[i]], np.uint32)
+    def _row(self, piece: bytes) -> np.ndarray:
+        """The merges of one long piece. Merging the leftmost place may bring up a pair of lower rank beside it, which then comes
+        first; the round ends at the first such place."""
+        ids = self.single[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.merged(ids[:-1], ids[1:])
+        while len(ranks) and (low := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == low)
+            # of places in a row, which share a cell, each second one is taken
+            head = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            at = at[(np.arange(len(at)) - np.repeat(head, np.diff(head, append=len(at)))) % 2 == 0]
+            after = np.diff(at, prepend=-2) == 2  # the cell before is the one merged just now
+            left = np.where(after, low, ids[at - 1])
+            first, last = (0 if at[0] else 1), len(at) - (at[-1] + 2 >= len(ids))
+            lower = np.zeros(len(at), bool)
+            lower[first:] = self.pairs.merged(left[first:], np.full(len(at) - first, low)) < low
+            lower[:last] |= self.pairs.merged(np.full(last, low), ids[at[:last] + 2]) < low
+            if lower.any():
+                at = at[: int(lower.argmax()) + 1]
+            ids[at] = low
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, ranks = ids[keep], np.append(ranks, _NONE)[keep][:-1]
+            now = at - np.arange(len(at))
+            right, before = now[now + 1 < len(ids)], now[now > 0] - 1
+            ranks[right] = self.pairs.merged(ids[right], ids[right + 1])
+            ranks[before] = self.pairs.merged(ids[before], ids[before + 1])
+        return ids
 
 
 _UNIT = regex.compile(r"\s*\S+|\s+$")

@@ -6,7 +6,8 @@ of grams that grows with the corpus. A symbol's probability starts in the longes
 the escape (method C: the number of distinct symbols over that number plus their counts) leads to the next shorter context,
 from which all symbols of the longer one are excluded; the last resort is uniform over what remains. Grams meet by the last
 three symbols of their context, hashed to ``BUCKETS`` groups: longer contexts lie in one group, and the counts of the
-shorter ones (at most 257^3) are sent to every worker. A chunk asks for its distinct grams once.
+shorter ones (at most 257^3) are sent to every worker. A chunk asks for its distinct grams once. What is asked of a group grows
+with the corpus and is cut at ``SLICE_BYTES``; each slice meets a copy of the group's counts, which the alphabet bounds.
 
 Words. Each chunk of a task's texts has a vocabulary of its own, numbered as they come; documents are in a written
 table. Vocabularies, not documents, meet the global word counts, and the counts return to their chunk.
@@ -37,6 +38,8 @@ END, SYMBOLS = 256, 257
 ORDER, BITS, BUCKETS = 5, 9, 512
 #: Grams that a task holds before it passes them on, or looks up at once.
 HELD = 1 << 20
+#: Bytes of asked-for grams that one group takes at once, on average.
+SLICE_BYTES = 48 << 20
 #: Bytes of text in a chunk; a chunk's vocabulary and documents are one task's work.
 CHUNK_BYTES = 12 << 20
 
@@ -247,7 +250,11 @@ def answered(asked: DataFrame, counted: DataFrame, short: Short) -> DataFrame:
             logs += [z.tobytes() for z in np.split(y, np.cumsum([len(g) // 8 for g in part])[:-1])]
         return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(logs, pa.binary())], ["part", "bucket", "logs"])
 
-    return asked.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(run, "part long, bucket int, logs binary")
+    held = dict(asked.groupBy("bucket").agg(F.sum(F.octet_length("grams"))).collect())  # at most BUCKETS rows
+    slices = F.element_at(F.array(*[F.lit(1 + (held.get(b) or 0) // SLICE_BYTES) for b in range(BUCKETS)]), F.col("bucket") + 1)
+    dealt = asked.withColumn("slice", F.pmod(F.xxhash64("chunk"), slices.cast("long")).cast("int"))
+    copied = counted.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    return dealt.groupBy("bucket", "slice").cogroup(copied.groupBy("bucket", "slice")).applyInArrow(run, "part long, bucket int, logs binary")
 
 
 _CHUNKS = "chunk long, at int, doc_id long, held_out boolean, text binary, word binary, number int, n long, bucket int, grams binary"
@@ -358,7 +365,8 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     known = words.select(F.col("chunk").alias("part"), "word", "number").join(counts, "word").select("part", "number", "c")
     told = known.unionByName(logs, allowMissingColumns=True)
     run = _score(total + ends, kinds + (ends > 0), ends)
+    tasks = max(1, texts.select("chunk").distinct().count())  # a chunk each, whatever the session's setting
     return (
-        texts.select("chunk", "at", "doc_id", "held_out", "text").groupBy("chunk").cogroup(told.groupBy("part"))
+        texts.select("chunk", "at", "doc_id", "held_out", "text").repartition(tasks, "chunk").groupBy("chunk").cogroup(told.repartition(tasks, "part").groupBy("part"))
         .applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )

@@ -5,13 +5,15 @@ Fingerprints: 64 bits over the XXH64 (seed 42) of the 3-word shingles of the low
 blocks; joining on every such choice loses no pair for any b. ``b`` follows the number of fingerprints, which keeps
 chance meetings rare at every size.
 
-Equal fingerprints are folded into one node first. A block bucket is never expanded into pairs: one pass over it yields
-a spanning forest of its links, and a bucket that is too large is cut into chunks, of which each two meet in a task of
-their own. Components spread by the smallest id with pointer jumping, written to the shared folder after each round.
-
-Defined results: a null text counts as empty; texts without words have fingerprint zero and link like any other; null ids
-never name a component (theirs is the smallest id of its members, null if there is none); repeated rows are members of
-one node; an empty table gives an empty result; other columns are not read (or pass through ``keep_one`` unchanged).
+Equal fingerprints are folded into one node first; nodes are known by their fingerprint, ids come in at the end. A block
+bucket is never expanded into pairs: one pass over it yields a spanning forest of its links. The fingerprints of a bucket
+with more than ``CROWDED`` go by the finest choices instead, whole blocks of 52 bits, whose buckets cannot hold more than
+2^12 fingerprints. Components spread by the smallest node with pointer jumping, written to the shared folder after each round.
+
+Defined results: a null text counts as empty; texts without words have fingerprint zero and link like any other; rows with
+a null id link like any other, but never name a component (theirs is the smallest id of its members, null if there is
+none); repeated rows are members of one node; an empty table gives an empty result; other columns are not read (or pass
+through ``keep_one`` unchanged, which keeps rows that repeat both id and text alike).
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, raw, small_batches, without
+from lodestone.llm.common import Scratch, hot_keys, join_hot, raw, small_batches, text_hash, without
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
-#: Fingerprints in a chunk of a bucket: at least the first, at most the second, else an eighth of the bucket.
-CHUNK = (256, 1 << 15)
+#: Fingerprints that one block bucket may hold before it goes by the finest choices of blocks.
+CROWDED, FINEST = 1 << 15, 16
 
 
 def fingerprint(text: bytes) -> int:
@@ -53,7 +55,7 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = np.array([fingerprint(t) for t in raw(b.column(1))], np.uint64).view(np.int64)
-        yield pa.record_batch([b.column(0), pa.array(prints)], ["doc_id", "fp"])
+        yield pa.record_batch([b.column(0), b.column(2), pa.array(prints)], ["doc_id", "h", "fp"])
 
 
 def forest(prints: np.ndarray) -> tuple[list[int], list[int]]:
@@ -78,59 +80,68 @@ def forest(prints: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (five group columns, fp, id): the links of each group. Only the group under way is held."""
+    """Sorted rows (choice, block, fp): the links of each bucket. Only the bucket under way is held."""
 
     def out(groups):
         a, b = [], []
-        for prints, ids in groups:
+        for prints in groups:
             x, y = forest(prints)
             if x:
-                a.append(ids[x])
-                b.append(ids[y])
+                a.append(prints[x])
+                b.append(prints[y])
         if a:
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            yield pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
     held = None
     for batch in batches:
-        keys = np.stack([c.to_numpy() for c in batch.columns[:4]], 1)
-        rows = np.stack([c.to_numpy() for c in batch.columns[4:6]], 1)
+        keys = np.stack([c.to_numpy() for c in batch.columns[:2]], 1)
+        prints = batch.column(2).to_numpy().view(np.uint64)
         if held is not None:
-            keys, rows = np.concatenate([held[0], keys]), np.concatenate([held[1], rows])
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        spans = list(zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False)) if len(cuts) else []
-        yield from out((rows[i:j, 0].view(np.uint64), rows[i:j, 1]) for i, j in ((i, j) for i, j in spans if j - i > 1))
-        last = cuts[-1] if len(cuts) else 0
-        held = keys[last:], rows[last:]
+            keys, prints = np.concatenate([held[0], keys]), np.concatenate([held[1], prints])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+        yield from out(prints[i:j] for i, j in itertools.pairwise(cuts) if j - i > 1)
+        held = keys[cuts[-1] :], prints[cuts[-1] :]
     if held is not None and len(held[1]) > 1:
-        yield from out([(np.ascontiguousarray(held[1][:, 0]).view(np.uint64), held[1][:, 1])])
+        yield from out([held[1]])
 
 
-def masks(n: int) -> list[int]:
-    """The choices of whole blocks for ``n`` fingerprints: the fewest blocks whose choices have log2(n) + 2 bits."""
-    need = max(1, n).bit_length() + 2
-    blocks = next(b for b in (*range(DISTANCE + 2, 16), 16) if 64 * (b - DISTANCE) / b >= need or b == 16)
+def _choices(blocks: int) -> list[int]:
     edges = [64 * i // blocks for i in range(blocks + 1)]
     parts = [((1 << j) - 1) ^ ((1 << i) - 1) for i, j in itertools.pairwise(edges)]
     return [sum(c) for c in itertools.combinations(parts, blocks - DISTANCE)]
 
 
+def masks(n: int) -> list[int]:
+    """The choices of whole blocks for ``n`` fingerprints: the fewest blocks whose choices have log2(n) + 2 bits."""
+    need = max(1, n).bit_length() + 2
+    return _choices(next((b for b in range(DISTANCE + 2, FINEST) if 64 * (b - DISTANCE) / b >= need), FINEST))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) between node ids that connect all fingerprints within ``DISTANCE`` bits; ``nodes``: fp, id."""
-    choices = masks(nodes.count())
-    # id comes second, so that a chunk is told apart by its fingerprints alone
-    keyed = nodes.select("fp", "id", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("block")) for i, m in enumerate(choices)])).alias("k")).select("k.*", "fp", "id")
-    crowded = scratch.save(keyed.groupBy("choice", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
-    size = F.greatest(F.lit(CHUNK[0]), F.least(F.lit(CHUNK[1]), F.ceil(F.col("n") / 8)))
-    chunks = F.ceil(F.col("n") / size).cast("int")
-    met = keyed.join(crowded, ["choice", "block"]).withColumn("g", chunks).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
-    pairs = met.select("choice", "block", "fp", "id", "c", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
-    dealt = pairs.select(F.col("choice").cast("long"), "block", F.least("c", "o").cast("long").alias("i"), F.greatest("c", "o").cast("long").alias("j"), "fp", "id")
-    group = ["choice", "block", "i", "j"]
-    found = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_links, "a long, b long")
+def _keyed(prints: DataFrame, choices: list[int]) -> DataFrame:
+    """Each fingerprint with its whole blocks under every choice."""
+    blocks = F.array(*[F.struct(F.lit(i).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("block")) for i, m in enumerate(choices)])
+    return prints.select("fp", F.explode(blocks).alias("k")).select("k.*", "fp")
+
+
+def _linked(keyed: DataFrame) -> DataFrame:
+    dealt = keyed.select("choice", "block", "fp").repartition("choice", "block").sortWithinPartitions("choice", "block")
+    return dealt.mapInArrow(_links, "a long, b long")
+
+
+def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints within ``DISTANCE`` bits; ``prints``: distinct fp, as a written table."""
+    keyed = _keyed(prints, masks(prints.count()))
+    met = scratch.save(keyed.groupBy("choice", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "met")
+    found = _linked(keyed.join(met.where(F.col("n") <= CROWDED), ["choice", "block"]))
+    if met.where(F.col("n") > CROWDED).limit(1).count():
+        crowd = scratch.save(keyed.join(met.where(F.col("n") > CROWDED), ["choice", "block"], "left_semi").select("fp").distinct(), "crowd")
+        finest = _keyed(crowd, _choices(FINEST))
+        twice = scratch.save(finest.groupBy("choice", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
+        found = found.union(_linked(finest.join(twice, ["choice", "block"])))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -138,37 +149,47 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of the written table ``edges`` (a, b); root: the smallest node it can reach."""
     both = scratch.save(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), "both")
     labels = scratch.save(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "labels0")
-    step = 0
+    hubs, step = hot_keys(both, "v"), 0
     while True:
         step += 1
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("root").alias("best"))
-        lower = scratch.save(labels.join(near, labels.node == near.u).select("node", F.least("root", "best").alias("root"), (F.col("best") < F.col("root")).alias("moved")), f"lower{step}")
+        near = join_hot(both, labels.select(F.col("node").alias("v"), "root"), "v", hubs).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("best"))
+        lower = scratch.save(labels.join(near, "node").select("node", F.least("root", "best").alias("root"), (F.col("best") < F.col("root")).alias("moved")), f"lower{step}")
         if not lower.where("moved").limit(1).count():
             return labels
-        jump = lower.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        labels = scratch.save(lower.join(jump, lower.root == jump.mid).select("node", F.col("far").alias("root")), f"labels{step}")
+        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        labels = scratch.save(join_hot(lower, jump, "root", hot_keys(lower, "root")).select("node", F.col("far").alias("root")), f"labels{step}")
         scratch.drop(f"lower{step}", f"labels{step - 1}")
 
 
-def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
+def _members(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, h, fp), (classes: fp, best); best: the id and text hash of the class's first row. Both written."""
     small_batches(spark)
     scratch = Scratch(spark, "simhash")
-    rows = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "rows")
-    nodes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    named = nodes.where("id is not null")
-    edges = scratch.save(links(named, scratch), "edges")
+    rows = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("h")).mapInArrow(_fingerprints, "doc_id long, h long, fp long"), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h"))
+    nodes = scratch.save(rows.groupBy("fp").agg(first.alias("best")), "nodes")
+    edges = scratch.save(links(nodes.select("fp"), scratch), "edges")
     if edges.limit(1).count():
         roots = components(edges, scratch)
-        nodes = nodes.join(roots, nodes.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    else:
-        nodes = nodes.withColumnRenamed("id", "component_id")
+        linked = scratch.save(nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "best"), "linked")
+        heads = linked.groupBy("root").agg(F.min("best").alias("best"))
+        classes_ = join_hot(linked.drop("best"), heads, "root", hot_keys(linked, "root")).select("fp", "best")
+        nodes = nodes.join(roots, nodes.fp == roots.node, "left_anti").select("fp", "best").unionByName(classes_)
     found = scratch.save(nodes, "found")
     scratch.keep("rows", "found")
-    return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows, found
+
+
+def _told(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return join_hot(rows, found, "fp", hot_keys(rows, "fp"))
+
+
+def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
+    return _told(*_members(spark, docs)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component only."""
-    gone = classes(spark, docs).where("doc_id > component_id").select("doc_id")
-    return without(docs, Scratch(spark, "simhash-drop").save(gone, "gone"))
+    """``docs`` with one document of each component only: that with the smallest doc_id, any id before null, then by text hash."""
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
+    return without(docs, Scratch(spark, "simhash-drop").save(_told(*_members(spark, docs)).where(~same).select("doc_id", "h"), "gone"))

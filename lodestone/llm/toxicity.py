@@ -6,8 +6,8 @@ states are pooled by attention, and a logistic unit gives the window's probabili
 highest window. The network is trained here, in numpy, from document labels alone: the loss takes a document as toxic if
 any of its windows is (noisy or). Only the text is an input.
 
-Trained on at most ``TRAIN_DOCS`` labelled documents of at most ``TRAIN_WORDS`` words, those with the smallest id hashes whose
-crc32 is not set aside; scored are all windows of all documents.
+Trained on a bounded sample: of the labelled rows whose crc32 is not set aside and whose text has at most ``TRAIN_WORDS`` words,
+the ``TRAIN_DOCS`` with the smallest id hashes. Scored are all windows of all documents, however long.
 
 Defined results: a null text counts as empty; a text without words is one window of blanks; repeated rows get equal scores;
 an empty table gives an empty result; without labels of both kinds every score is the untrained bias; other columns are
@@ -16,6 +16,8 @@ not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import raw, runs, small_batches
 from lodestone.llm.tokens import ragged
 
-WINDOW, STRIDE, THRESHOLD = 24, 16, 0.3
-TRAIN_DOCS, TRAIN_WORDS, EPOCHS, BATCH, RATE = 4000, 600, 8, 64, 0.01
+WINDOW, STRIDE, THRESHOLD = 24, 12, 0.3
+#: Bounds of the training sample; a batch ends at ``BATCH`` documents or ``BATCH_WORDS`` words.
+TRAIN_DOCS, TRAIN_WORDS, EPOCHS, BATCH, BATCH_WORDS, RATE = 4000, 2000, 8, 64, 16_000, 0.01
 HIDDEN, WIDTH, WORD_SLOTS, CHAR_SLOTS = 8, 16, 1 << 14, 1 << 14
 _EDGE = bytes(i for i in range(128) if not chr(i).isalnum())
 
@@ -182,6 +185,18 @@ def _gradients(net: Network, docs: list[np.ndarray], toxic: np.ndarray, vectors:
     return g, d_vec, float(loss)
 
 
+def _batches(order: np.ndarray, docs: list[np.ndarray]) -> Iterator[np.ndarray]:
+    batch, held = [], 0
+    for i in order.tolist():
+        if batch and (len(batch) == BATCH or held + len(docs[i]) > BATCH_WORDS):
+            yield np.array(batch)
+            batch, held = [], 0
+        batch.append(i)
+        held += len(docs[i])
+    if batch:
+        yield np.array(batch)
+
+
 def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Network:
     """Adam over batches of documents."""
     net, rng = Network(seed), np.random.default_rng(seed)
@@ -197,8 +212,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Network:
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         order = rng.permutation(len(whole))
-        for lo in range(0, len(order), BATCH):
-            batch = order[lo : lo + BATCH]
+        for batch in _batches(order, whole):
             words, flat = np.unique(np.concatenate([whole[i] for i in batch]), return_inverse=True)
             docs = np.split(flat, np.cumsum([len(whole[i]) for i in batch])[:-1])
             slot, sizes = all_slots[words], all_sizes[words]
@@ -262,12 +276,14 @@ class Scorer:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Network:
-    """Train on the bounded sample, on the driver."""
-    told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("__toxic"))
-    sample = told.orderBy(F.xxhash64("__id"), "__id").limit(TRAIN_DOCS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).where(F.length("text") < 12 * TRAIN_WORDS).select("text", "__toxic", "__id")
-    got = sorted(rows.collect(), key=lambda r: (r["__id"], r["text"]))[: 2 * TRAIN_DOCS]
-    return train([r["text"].encode() for r in got], np.array([r["__toxic"] == 1 for r in got], bool))
+    """Train on the bounded sample, on the driver; an id on several rows counts with its first text in order."""
+    told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max("toxic").alias("toxic"))
+    # ids meet labels without their texts; the texts of the sample alone follow
+    short = docs.select(F.col("doc_id").cast("long").alias("i"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")).alias("n")).where(F.col("n") <= TRAIN_WORDS).groupBy("i").agg(F.max("n").alias("n"))
+    sample = short.join(told, "i").orderBy(F.xxhash64("i"), "i").limit(TRAIN_DOCS).select("i", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(F.broadcast(sample), "i").where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")) <= TRAIN_WORDS)
+    got = texts.groupBy("i", "toxic").agg(F.min("text").alias("text")).orderBy("i").collect()
+    return train([r["text"].encode() for r in got], np.array([r["toxic"] == 1 for r in got], bool))
 
 
 _SCORERS: dict = {}

@@ -9,7 +9,7 @@ run behind the last plane.
 Writes are idempotent (a file is written aside and renamed), so a task that runs again after a lost executor leaves the
 same bytes.
 
-Defined results: a null text counts as empty (the end id alone); documents order by doc_id (null first), then by text;
+Defined results: a null text counts as empty (the end id alone); documents order by doc_id (null first), then by a hash of the text;
 repeated rows are documents of their own; an empty table gives an empty result; other columns are not read.
 """
 

@@ -3,7 +3,9 @@ import random
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, bucket int, fp string"
+#: The extra columns have names that the operators use themselves.
+CLASHING = "digest string, bucket int, fp string, h long, base string, more string, `all` int, gone_id long, GONE_H string, found string, ids int, doc string, old boolean, key string, __dropped long, __more int, i int, k int"
+SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
 
 
 def awkward():
@@ -16,8 +18,9 @@ def awkward():
     texts += ["a@b.co_x@y.zz +12345678901+123 1.2.3", "ip 010.001.000.255 4111-1111-1111-1112 <|endoftext|> it's", passage.replace("quick", "slow", 1)]
     texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 80))) for _ in range(25)]
     texts += [" ".join(rng.choice(words) for _ in range(30_000))]
-    rows = [(i, t, "en" if i % 3 else None, None if i % 5 == 0 else "s", None, "d", 1, "f") for i, t in enumerate(texts)]
-    return rows + [(None, "no id here", None, None, 3, None, None, None), rows[7], rows[0]]
+    extra = ("d", 1, "f", 5, "b", "m", 2, 7, "g", "x", 3, "y", True, "z", 8, 9, 4, 6)
+    rows = [(i, t, "en" if i % 3 else None, None if i % 5 == 0 else "s", None, *extra) for i, t in enumerate(texts)]
+    return rows + [(None, "no id here", None, None, 3, *[None] * len(extra)), rows[7], rows[0]]
 
 
 @pytest.fixture(scope="session")

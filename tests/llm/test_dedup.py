@@ -6,10 +6,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
-from lodestone.llm import exact, simhash
+from lodestone.llm import common, exact, simhash
 from lodestone.llm.common import Scratch
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -34,6 +37,45 @@ def test_exact_keeps_columns_and_empty(spark, odd, empty):
     assert exact.classes(spark, empty).count() == 0
 
 
+def test_exact_drops_rows_not_ids(spark):
+    """An id on two texts, of which one is superseded; null ids lose to any other, and are told apart by nothing."""
+    rows = [(1, "same"), (2, "SAME"), (1, "alone"), (None, "same"), (None, "mine"), (None, "mine"), (None, "two"), (3, "Two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, exact.drop_duplicates(spark, docs).collect())) == sorted(map(str, spark.createDataFrame([(2, "SAME"), (1, "alone"), (None, "mine"), (None, "mine"), (3, "Two")], docs.schema).collect()))
+
+
+def test_exact_classes_do_not_depend_on_the_snapshot(spark, odd):
+    want = sorted(map(str, exact.classes(spark, odd).collect()))
+    for split in (F.lit(True), F.lit(False), F.coalesce(F.col("doc_id") < 12, F.lit(False)), F.col("text").isNull()):
+        assert sorted(map(str, exact.classes(spark, odd, split).collect())) == want
+
+
+def test_snapshot_serves_a_second_batch(spark, odd, tmp_path):
+    old, new = odd.where("doc_id < 9"), odd.where("doc_id >= 9 or doc_id is null")
+    path = str(tmp_path / "snapshot")
+    exact.take_snapshot(spark, exact.digests(old, F.lit(True)), path)
+    want = exact.classes(spark, odd, F.coalesce(F.col("doc_id") < 9, F.lit(False))).where("doc_id >= 9 or doc_id is null")
+    for _ in range(2):
+        got = exact.against(spark, exact.Snapshot(spark, path), old, new)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(AnalysisException):
+        exact.take_snapshot(spark, exact.digests(old, F.lit(True)), path)
+
+
+def test_hot_keys_change_nothing(spark, odd, monkeypatch):
+    """Every key that repeats counts as hot, so all joins take the split way."""
+    plain = [sorted(map(str, f(spark, odd).collect())) for f in (exact.classes, simhash.classes, exact.drop_duplicates, simhash.keep_one)]
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    hot = [sorted(map(str, f(spark, odd).collect())) for f in (exact.classes, simhash.classes, exact.drop_duplicates, simhash.keep_one)]
+    assert hot == plain
+
+
+def test_broadcast_is_bounded_by_rows_and_bytes(spark):
+    side = spark.range(100).select("id", F.repeat(F.lit("x"), F.lit(100)).alias("wide"))
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(common.bounded(side)) and "broadcast" not in plan(common.bounded(side, rows=99)) and "broadcast" not in plan(common.bounded(side, size=5000))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 50_000])
 def test_binary_fuse(n):
     rng = np.random.default_rng(n)
@@ -76,20 +118,33 @@ def test_simhash(spark, name, request):
     assert sorted((str(a), b, str(c)) for a, b, c in simhash.classes(spark, docs).collect()) == want
 
 
-def test_dense_bucket_and_long_chain(spark, monkeypatch):
-    """A crowded ball of fingerprints, cut into chunks, and a chain whose ends are far apart."""
+@pytest.mark.parametrize("crowded", [10, 1 << 15])
+def test_dense_bucket_and_long_chain(spark, monkeypatch, crowded):
+    """A crowded ball of fingerprints, which goes by the finest blocks if buckets count as crowded early, and a chain whose ends are far apart."""
     rng = np.random.default_rng(3)
     centre = int(rng.integers(0, 1 << 63, dtype=np.uint64))
     prints = {centre ^ (1 << a) ^ (1 << b) for a in range(40) for b in range(a, 40)}
     prints |= {((1 << (2 * i)) - 1) for i in range(32)} | {int(x) for x in rng.integers(0, 1 << 63, 300, dtype=np.uint64)}
-    rows = [(i, f) for i, f in enumerate(sorted(prints))]
-    nodes = spark.createDataFrame([(simhash._signed(f), i) for i, f in rows], "fp long, id long")
-    monkeypatch.setattr(simhash, "CHUNK", (50, 60))
+    rows = sorted(simhash._signed(f) for f in prints)
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     scratch = Scratch(spark, "test")
-    edges = scratch.save(simhash.links(nodes, scratch), "edges")
+    edges = scratch.save(simhash.links(scratch.save(spark.createDataFrame([(f,) for f in rows], "fp long"), "prints"), scratch), "edges")
     roots = {r.node: r.root for r in simhash.components(edges, scratch).collect()}
-    assert [roots.get(i, i) for i, _ in rows] == brute_components(rows)
-    assert edges.count() < 12 * len(rows)
+    assert [roots.get(f, f) for f in rows] == brute_components([(f, f & (1 << 64) - 1) for f in rows])
+    assert all((a ^ b).bit_count() <= 3 if (a < 0) == (b < 0) else ((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in edges.collect())
+
+
+def test_links_run_through_rows_without_an_id(spark, monkeypatch):
+    """1 and 2 meet only through a row with a null id, 5 stands beside null ids, and one pair has no id at all."""
+    prints = {"a": 0, "b": 0b111, "c": 0b111111, "d": 0b11111 << 40, "e": (0b11111 << 40) | (1 << 50), "f": 0xFF << 52, "g": 0x3F << 54}
+    monkeypatch.setattr(simhash, "_fingerprints", lambda batches: (pa.record_batch([b.column(0), b.column(2), pa.array([simhash._signed(prints[t]) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "h", "fp"]) for b in batches))
+    rows = [(1, "a"), (None, "b"), (2, "c"), (5, "d"), (None, "e"), (None, "f"), (None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in simhash.classes(spark, docs).collect())
+    want = [(i, prints[t], c) for (i, t), c in zip(rows, (1, 1, 1, 5, 5, None, None), strict=True)]
+    assert got == sorted((str(i), f"{p:016x}", c) for i, p, c in want)
+    kept = sorted(str(r.doc_id) for r in simhash.keep_one(spark, docs).collect())
+    assert kept == ["1", "5", "None"]
 
 
 def test_masks_never_lose_a_pair():

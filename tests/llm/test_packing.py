@@ -41,7 +41,20 @@ def test_batches(spark, odd, documents, empty):
         assert (full == np.ceil(rows.n / np.maximum(1, 2000 // rows["pad"]))).all()
 
 
-def test_long_lengths_round_up(spark):
-    n = [1, 32768, 32769, 65537, 10**6, 10**9]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in n], "n long").select(packing.rounded(packing.F.col("n"))).collect()]
-    assert got[:3] == n[:3] and all(a <= b < a * (1 + 2 / packing.EXACT) for a, b in zip(n, got, strict=True))
+def test_boundaries_of_a_wide_histogram():
+    """Against the quadratic program, on many lengths and without a bound on them."""
+    rng = np.random.default_rng(1)
+    lengths = np.unique(rng.integers(1, 10**7, 400))
+    counts = rng.integers(1, 1000, len(lengths))
+    before, m = np.concatenate([[0], np.cumsum(counts)]), len(lengths)
+    best = [0.0] + [float("inf")] * m
+    for _ in range(6):
+        best = [0.0] + [min(best[j], *(best[i] + lengths[j - 1] * (before[j] - before[i]) for i in range(j))) for j in range(1, m + 1)]
+    assert padded(packing.boundaries(lengths, counts, 6), lengths, counts) == best[m]
+
+
+def test_null_and_repeated_ids_are_dealt_by_text(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MIN_SHARDS", 8)
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"word{i}") for i in range(400)], "doc_id long, text string")
+    out = packing.pack(spark, docs, budget=20).toPandas()
+    assert len(out) == 400 and out.groupby("batch_id").size().max() <= 10 and not out.duplicated(["batch_id", "slot"]).any()
