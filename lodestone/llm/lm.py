@@ -237,7 +237,7 @@ def fit(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFra
 
 
 def answered(asked: DataFrame, counted: DataFrame, short: Short) -> DataFrame:
-    """(part, bucket, logs): the log10 probabilities of the grams that ``asked`` (chunk, bucket, grams) holds, in their order."""
+    """(part, bucket, logs): the log10 probabilities of the grams that ``asked`` (chunk, bucket, grams: ascending, as differences) holds, in their order."""
     shared = asked.sparkSession.sparkContext.broadcast(short)
 
     def run(asked: pa.Table, counted: pa.Table) -> pa.Table:
@@ -245,7 +245,7 @@ def answered(asked: DataFrame, counted: DataFrame, short: Short) -> DataFrame:
         ladder = low + levels(counted.column("gram").to_numpy(), counted.column("n").to_numpy(), range(3, ORDER + 1), low[-1])
         lists, logs = asked.column("grams").to_pylist(), []
         for part in runs(lists, 8 * HELD):
-            x, at = np.unique(np.frombuffer(b"".join(part), np.int64), return_inverse=True)
+            x, at = np.unique(np.concatenate([np.cumsum(np.frombuffer(g, np.int64)) for g in part]), return_inverse=True)
             y = log10_of(x, ladder)[at]
             logs += [z.tobytes() for z in np.split(y, np.cumsum([len(g) // 8 for g in part])[:-1])]
         return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(logs, pa.binary())], ["part", "bucket", "logs"])
@@ -294,7 +294,7 @@ def chunked(spark: SparkSession, docs: DataFrame) -> DataFrame:
             order, place = _ordered(found)
             first = np.flatnonzero(np.diff(place, prepend=-1))
             if len(first):
-                yield rows(chunk, len(first), bucket=pa.array(place[first].astype(np.int32)), grams=pa.array([x.tobytes() for x in np.split(found[order], first[1:])], pa.binary()))
+                yield rows(chunk, len(first), bucket=pa.array(place[first].astype(np.int32)), grams=pa.array([np.diff(x, prepend=0).tobytes() for x in np.split(found[order], first[1:])], pa.binary()))
 
         for b in batches:
             texts, out = [t.lower() for t in raw(b.column(1))], b.column(2).to_pylist()
