@@ -28,8 +28,11 @@ class Engine:
         return self.repositories.orderBy(F.desc("created_at"), "id")
 
     def resolve_repo(self, name: str | int) -> str:
-        """A repository's name from its id, its name, or its number as text."""
-        row = self.repositories.where((F.col("id").cast("string") == str(name)) | (F.col("name") == str(name))).orderBy((F.col("name") == str(name)).desc()).first()
+        """A repository's name from its id, its name, its number as text, or its name in any case without an owner in front."""
+        asked, low = str(name), str(name).lower()
+        bare = F.lower(F.substring_index("name", "/", -1))
+        fits = F.when(F.col("name") == asked, 0).when(F.col("id").cast("string") == asked, 1).when(F.lower("name") == low, 2).when(bare == low.rsplit("/", 1)[-1], 3)
+        row = self.repositories.withColumn("fits", fits).where("fits is not null").orderBy("fits", "id").first()
         if row is None:
             raise ValueError(f"no repository {name!r}")
         return row["name"]
@@ -48,11 +51,19 @@ class Engine:
         hit = F.col("file_path").isin(clean, path) | (F.col("file_name") == clean)
         return self._scope(self.blobs, repo).where(hit).orderBy(F.desc_nulls_first("last_seen_at"), F.desc("id")).limit(1).withColumn("content", files.shown(F.col("content")))
 
-    def semantic_search(self, text: str | None = None, vector: Sequence[float] | None = None, as_of: datetime | None = None, repo: str | int | None = None, k: int | None = None, mode: str = "hybrid") -> DataFrame:
-        return ranking.search(self._scope(self.blobs, repo), as_of or datetime.now(), text, vector, mode, clamp(k, "search"))
-
-    def search_symbols(self, query: str, symbol_type: str | None = None, repo: str | int | None = None, k: int | None = None) -> DataFrame:
-        return ranking.symbol_search(self._scope(self.symbols, repo), query, clamp(k, "symbols"), symbol_type)
+    def semantic_search(self, text: str | None = None, vector: Sequence[float] | None = None, as_of: datetime | None = None, repo: str | int | None = None, k: int | None = None, mode: str = "hybrid", bridges: bool = False) -> DataFrame:
+        """Ranked files; with ``bridges``, files one import away may join them if they hold what the others miss."""
+        name, n, blobs = None if repo is None else self.resolve_repo(repo), clamp(k, "search"), self._scope(self.blobs, repo)
+        found = ranking.search(blobs, as_of or datetime.now(), text, vector, mode, n)
+        if not bridges or not text:
+            return found
+        told = found.select("id", "similarity").join(blobs, "id").select("id", "repo", *graph.ROW_TEXTS, "similarity").orderBy(F.desc("similarity"), "id")
+        rows = graph.expand([r.asDict() for r in told.collect()], text, blobs, self._scope(self.edges, repo), n, name)
+        schema = told.schema.add("bridge", "boolean").add("via", "string")
+        return self.blobs.sparkSession.createDataFrame([tuple(r.get(c) if c != "bridge" else bool(r.get(c)) for c in schema.names) for r in rows], schema)
+
+    def search_symbols(self, query: str, symbol_type: str | None = None, repo: str | int | None = None, k: int | None = None, vector: Sequence[float] | None = None) -> DataFrame:
+        return ranking.symbol_search_with_meaning(self._scope(self.symbols, repo), query, vector, clamp(k, "symbols"), symbol_type)
 
     def file_symbols(self, path: str, repo: str | int | None = None) -> DataFrame:
         return graph.symbols_of(self._scope(self.symbols, repo), path)

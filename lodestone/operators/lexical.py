@@ -12,10 +12,9 @@ runs in Arrow batches over candidate rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import FILLERS, MAX_QUERY_TERMS, QUERY_STOPWORDS, py_light_stem, py_split_camel
@@ -87,18 +86,48 @@ def score(rows: list[tuple[int, str, str]], query: str) -> float:
     return sum(k * density(rows, words, all_) for k, words, all_ in parts if words)
 
 
-def cover_density(blobs: DataFrame, query: str) -> DataFrame:
-    """(id, score) of the blobs (id, file_name, file_path, symbol_spine, summary) that match."""
-    columns = ["file_name", "file_path", "symbol_spine", "summary"]
-    schema = blobs.select("id").schema.add("score", "double")
+def symbol_rows(name: str | None, signature: str | None, content: str | None) -> list[tuple[int, str, str]]:
+    """The index of a symbol: name, signature and content as they are, all of the least weight."""
+    return [(i, "=" + w, "D") for i, w in enumerate(_simple(f"{name or ''} {signature or ''} {content or ''}"), 1)]
+
+
+def index_of_symbols(symbols: DataFrame) -> DataFrame:
+    """(id, place, word, weight): the text index of symbols, in the JVM."""
+    whole = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("symbol_name", "signature", "content")]))
+    words = symbols.select("id", F.posexplode(F.regexp_extract_all(whole, F.lit("[a-z0-9]+"), F.lit(0))).alias("at", "w"))
+    return words.select("id", (F.col("at") + 1).alias("place"), F.concat(F.lit("="), "w").alias("word"), F.lit(WEIGHTS["D"]).alias("weight"))
+
+
+INDEXED = ("file_name", "file_path", "symbol_spine", "summary")
+
+
+def matches(rows: list[tuple[int, str, str]], query: str) -> bool:
+    """Whether an index answers the combined query: all words as they are, or all stems, or any stem of the expanded query."""
+    held = {w for _, w, _ in rows}
+    plain, stems = {"=" + w for w in _simple(query)}, {"~" + w for w in _stemmed(query) if w is not None}
+    return bool((plain and plain <= held) or (stems and stems <= held) or held & {"~" + py_light_stem(w) for w in any_terms(query)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score(index_rows(*t), query) for t in texts], pa.float64())], ["id", "score"])
 
+def _near(query: str) -> Column:
+    """Rows that may match: a substring test in the JVM, ahead of Python."""
     words = any_terms(query) or _simple(query)
-    near = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
+    near = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in INDEXED]))
     held = [F.contains(near, F.lit(py_light_stem(w)[:-1] if py_light_stem(w) != w and w.endswith("ies") else py_light_stem(w))) for w in words]
-    candidates = blobs.where(F.greatest(*held, F.lit(False))) if words else blobs.limit(0)
-    return candidates.select("id", *columns).mapInArrow(run, schema).where("score > 0")
+    return F.greatest(*held, F.lit(False)) if words else F.lit(False)
+
+
+def with_score(blobs: DataFrame, query: str) -> DataFrame:
+    """``blobs`` with their score, null for no match. Only the index columns of rows that may match are looked at in Python."""
+    @F.pandas_udf("double")
+    def rank(name: pd.Series, path: pd.Series, spine: pd.Series, summary: pd.Series) -> pd.Series:
+        out = [None if n is None and p is None and s is None and x is None else score(index_rows(n, p, s, x), query) or None for n, p, s, x in zip(name, path, spine, summary, strict=True)]
+        return pd.Series(out, dtype="float64")
+
+    near = blobs.withColumn("__near", _near(query))
+    inputs = [F.when(F.col("__near"), F.col(c)) for c in INDEXED]
+    return near.withColumn("score", rank(*inputs)).drop("__near").withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+
+
+def cover_density(blobs: DataFrame, query: str) -> DataFrame:
+    """(id, score) of the blobs (id, file_name, file_path, symbol_spine, summary) that match."""
+    return with_score(blobs.select("id", *INDEXED).where(_near(query)), query).where("score > 0").select("id", "score")

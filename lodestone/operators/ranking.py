@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text, vector
+from lodestone.operators import lexical
+from lodestone.operators.stages import stored
 from lodestone.operators.versions import drop_superseded
 
 #: Rank constant, decay per day, candidates before and after the version check, floor of keyword scores.
@@ -51,8 +53,10 @@ def haystack() -> Column:
 
 
 def _narrow(blobs: DataFrame, score: Column, k: int, where: Column) -> DataFrame:
+    """The best rows, scored once: the checkpoint keeps their scan from running again for the version check, and nulls sort last, so that
+    no filter pulls the score's expression apart."""
     scored = blobs.where(where).select("id", "repo", "file_path", "last_seen_at", "created_at", score.alias("raw"))
-    return scored.where("raw is not null").orderBy(F.desc("raw"), "id").limit(first_cut(k))
+    return stored(scored.orderBy(F.desc_nulls_last("raw"), "id").limit(first_cut(k))).where("raw is not null")
 
 
 def dense_matches(blobs: DataFrame, query: Sequence[float], k: int, model: str = "active") -> DataFrame:
@@ -61,9 +65,20 @@ def dense_matches(blobs: DataFrame, query: Sequence[float], k: int, model: str =
     return _ranked(top, k)
 
 
-def lexical_matches(blobs: DataFrame, query: str, k: int) -> DataFrame:
-    """(id, raw, rank) of the best texts whose file has no newer version, whatever their vector's model."""
-    return _ranked(drop_superseded(_narrow(blobs, text.hit_ratio(haystack(), query), k, F.lit(True)), blobs, first_cut(k)), k)
+def lexical_matches(blobs: DataFrame, query: str, k: int, scorer: str = "cover") -> DataFrame:
+    """(id, raw, rank) of the best texts whose file has no newer version, whatever their vector's model.
+
+    ``scorer``: "cover" ranks the weighted index (``lexical``), which does not hold the content; "ratio" the share of the
+    query's terms in name, path, spine, summary and content, which SQL can say.
+    """
+    scored, score = _scored(blobs, query, scorer)
+    return _ranked(drop_superseded(_narrow(scored, score, k, F.lit(True)), blobs, first_cut(k)), k)
+
+
+def _scored(blobs: DataFrame, query: str, scorer: str) -> tuple[DataFrame, Column]:
+    if scorer == "ratio":
+        return blobs, text.hit_ratio(haystack(), query)
+    return lexical.with_score(blobs.select("id", "repo", *lexical.INDEXED, "last_seen_at", "created_at"), query), F.col("score")
 
 
 def _ranked(df: DataFrame, k: int) -> DataFrame:
@@ -71,10 +86,10 @@ def _ranked(df: DataFrame, k: int) -> DataFrame:
     return cut.select("id", "raw", F.row_number().over(Window.orderBy(F.desc("raw"), "id")).alias("rank"))
 
 
-def hybrid_search(blobs: DataFrame, query_text: str, query_vector: Sequence[float], as_of: datetime, k: int = 10) -> DataFrame:
+def hybrid_search(blobs: DataFrame, query_text: str, query_vector: Sequence[float], as_of: datetime, k: int = 10, scorer: str = "cover") -> DataFrame:
     """Reciprocal rank fusion of both rankings, decayed by age."""
     d = dense_matches(blobs, query_vector, k).select("id", F.col("raw").alias("dense_sim"), F.col("rank").alias("dense_rank"))
-    x = lexical_matches(blobs, query_text, k).select("id", F.col("raw").alias("lexical_score"), F.col("rank").alias("lexical_rank"))
+    x = lexical_matches(blobs, query_text, k, scorer).select("id", F.col("raw").alias("lexical_score"), F.col("rank").alias("lexical_rank"))
     fused = d.join(x, "id", "full").withColumn("rrf", F.coalesce(1.0 / (RRF_K + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(1.0 / (RRF_K + F.col("lexical_rank")), F.lit(0.0)))
     wide = blobs.join(F.broadcast(fused.limit(2 * second_cut(k))), "id").withColumn("similarity", F.col("rrf") * decay(as_of))
     return wide.orderBy(F.desc_nulls_last("similarity"), "id").limit(k).select(
@@ -94,16 +109,16 @@ def dense_search(blobs: DataFrame, query: Sequence[float], as_of: datetime, k: i
     return wide.orderBy(F.desc_nulls_last("decayed"), "id").limit(k).select("id", "repo", "file_path", F.col("raw").alias("cosine"), "decayed", shown.alias("similarity"))
 
 
-def keyword_search(blobs: DataFrame, query: str, as_of: datetime, k: int = 10) -> DataFrame:
+def keyword_search(blobs: DataFrame, query: str, as_of: datetime, k: int = 10, scorer: str = "cover") -> DataFrame:
     """Lexical score with a floor, or a name that contains the query, decayed; one cut, then the version check."""
     named = F.contains(F.lower("file_name"), F.lit(query.lower())) | F.contains(F.lower("file_path"), F.lit(query.lower()))
-    blobs_hit, hit = blobs.withColumn("__hit", text.hit_ratio(haystack(), query)), F.col("__hit")
-    score = F.when(hit.isNotNull() | F.coalesce(named, F.lit(False)), F.greatest(F.coalesce(hit, F.lit(0.0)), F.lit(FLOOR))) * decay(as_of)
-    top = drop_superseded(_narrow(blobs_hit, score, k, F.lit(True)), blobs, first_cut(k))
+    rows, hit = _scored(blobs, query, scorer)
+    score = text.bound(hit, lambda x: F.when(x.isNotNull() | F.coalesce(named, F.lit(False)), F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(FLOOR)))) * decay(as_of)
+    top = drop_superseded(_narrow(rows, score, k, F.lit(True)), blobs, first_cut(k))
     return top.orderBy(F.desc("raw"), "id").limit(k).select("id", "repo", "file_path", F.col("raw").alias("similarity"))
 
 
-def search(blobs: DataFrame, as_of: datetime, query_text: str | None = None, query_vector: Sequence[float] | None = None, mode: str = "hybrid", k: int = 10) -> DataFrame:
+def search(blobs: DataFrame, as_of: datetime, query_text: str | None = None, query_vector: Sequence[float] | None = None, mode: str = "hybrid", k: int = 10, scorer: str = "cover") -> DataFrame:
     """The ladder of modes: hybrid, then dense if that is empty, then keywords; a vector outranks the keyword mode."""
     if not query_text and query_vector is None:
         raise TypeError("a query text or vector is needed")
@@ -112,13 +127,13 @@ def search(blobs: DataFrame, as_of: datetime, query_text: str | None = None, que
     k = min(k, 100)
     if query_vector is not None:
         if mode == "hybrid" and query_text:
-            found = hybrid_search(blobs, query_text, query_vector, as_of, k)
+            found = hybrid_search(blobs, query_text, query_vector, as_of, k, scorer)
             if not found.isEmpty():
                 return found
         found = dense_search(blobs, query_vector, as_of, k)
         if not query_text or not found.isEmpty():
             return found
-    return keyword_search(blobs, query_text, as_of, k)
+    return keyword_search(blobs, query_text, as_of, k, scorer)
 
 
 def symbol_score(query: str) -> Column:
@@ -147,6 +162,23 @@ def semantic_symbols(symbols: DataFrame, query: Sequence[float], k: int = 10) ->
     return top.withColumn("calibrated", vector.calibrate(F.col("raw"))).where("raw >= 0.35 or calibrated >= 0.55")
 
 
+def symbol_search_with_meaning(symbols: DataFrame, query: str, vector_: Sequence[float] | None, k: int = 10, symbol_type: str | None = None, repo: str | None = None) -> DataFrame:
+    """The best symbols by name and text; nearest vectors follow behind them where there is room and the query has a blank, or where
+    there is none at all. Columns of ``symbol_search``, ``place``."""
+    found = stored(symbol_search(symbols, query, k, symbol_type, repo))
+    n = found.count()
+    order = Window.orderBy(F.desc("similarity"), F.desc("id"), "start_line")
+    first = found.withColumn("place", F.row_number().over(order))
+    if vector_ is None or n >= k or (n and " " not in query.strip()):
+        return first
+    scoped = symbols if symbol_type is None else symbols.where(F.col("symbol_type") == symbol_type)
+    scoped = scoped if repo is None else scoped.where(F.col("repo") == repo)
+    key = ["repo", "file_path", "symbol_name", "symbol_type", "start_line"]
+    near = semantic_symbols(scoped, vector_, k).withColumn("similarity", F.col("calibrated")).drop("raw", "calibrated").join(F.broadcast(found.select(*key)), key, "left_anti")
+    more = near.select(*found.columns).withColumn("place", F.row_number().over(order) + n)
+    return first.unionByName(more).orderBy("place").limit(k)
+
+
 def symbol_lookup(symbols: DataFrame, name: str) -> DataFrame:
     """The file of a symbol: any case, the exact one first, then the newest."""
     return symbols.where(F.lower("symbol_name") == name.lower()).orderBy((F.col("symbol_name") == name).desc(), F.desc("id")).limit(1)

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.engine import Engine
 from lodestone.functions import hashing, paths, text, vector
-from lodestone.operators import filters, graph, ranking, upserts, versions
+from lodestone.operators import filters, graph, lexical, ranking, upserts, versions
+from lodestone.parse import frames
+from lodestone.plans import samples
 from lodestone.plans import views as v
 from lodestone.sources import files, formats
 
@@ -71,7 +74,7 @@ _TERMS = text.query_terms(v.QUERY_TEXT)
   SELECT id, repo, file_name, file_path, round(sim, 8) AS similarity, round(CASE WHEN raw IS NULL THEN 0.0 ELSE {_CALIBRATED} END, 6) AS dense_sim, round(coalesce(lexical, 0), 6) AS lexical_score
   FROM final ORDER BY sim DESC, id LIMIT 10""")
 def hybrid_search_rrf(spark, sf):
-    found = ranking.hybrid_search(v.blobs(spark, sf), v.QUERY_TEXT, v.query_vector(spark, sf), v.AS_OF)
+    found = ranking.hybrid_search(v.blobs(spark, sf), v.QUERY_TEXT, v.query_vector(spark, sf), v.AS_OF, scorer="ratio")
     return found.select("id", "repo", "file_name", "file_path", F.round("similarity", 8).alias("similarity"), r6("dense_sim").alias("dense_sim"), r6("lexical_score").alias("lexical_score"))
 
 
@@ -97,13 +100,13 @@ def _keyword(q: str) -> str:
 
 @query(_keyword("pathetic clowns"))
 def keyword_search(spark, sf):
-    return ranking.keyword_search(v.blobs(spark, sf), "pathetic clowns", v.AS_OF).withColumn("similarity", r6("similarity"))
+    return ranking.keyword_search(v.blobs(spark, sf), "pathetic clowns", v.AS_OF, scorer="ratio").withColumn("similarity", r6("similarity"))
 
 
 @query(_keyword("d3.txt"))
 def keyword_fallback_ladder(spark, sf):
     """No vector: whatever the mode asked for, keywords answer."""
-    return ranking.search(v.blobs(spark, sf), v.AS_OF, query_text="d3.txt", mode="hybrid").withColumn("similarity", r6("similarity"))
+    return ranking.search(v.blobs(spark, sf), v.AS_OF, query_text="d3.txt", mode="hybrid", scorer="ratio").withColumn("similarity", r6("similarity"))
 
 
 _SYMBOL_SCORE = "CASE WHEN lower(symbol_name) = '{q}' THEN 1.0 WHEN contains(lower(symbol_name), '{q}') THEN 0.85 WHEN {hits} > 0 THEN greatest((0.25 + ({hits}) / {n}.0::DOUBLE * 0.75) * 0.8, 0.1) END"
@@ -335,14 +338,7 @@ def dependency_fan_in(spark, sf):
 @query(f"""WITH RECURSIVE {v.HIERARCHY}, w AS (SELECT tree_id, name, object_id, type, name AS path, 1 AS depth FROM v_tree WHERE tree_id = 'root' UNION ALL SELECT t.tree_id, t.name, t.object_id, t.type, w.path || '/' || t.name, w.depth + 1 FROM w JOIN v_tree t ON t.tree_id = w.object_id)
   SELECT object_id, path, depth::INTEGER AS depth FROM w""")
 def tree_walk(spark, sf):
-    t = v.hierarchy(spark, sf)
-    level = t.where("tree_id = 'root'").select("object_id", F.col("name").alias("path"), F.lit(1).alias("depth"))
-    out = level
-    for d in (2, 3):  # the depth of the hierarchy
-        up = level.select(F.col("object_id").alias("tree_id"), F.col("path").alias("above"))
-        level = t.join(up, "tree_id").select("object_id", F.concat_ws("/", "above", "name").alias("path"), F.lit(d).alias("depth"))
-        out = out.unionByName(level)
-    return out
+    return graph.descend(v.hierarchy(spark, sf), "root")
 
 
 @query("SELECT event_id, user_id, lag(event_id) OVER w AS parent_id, (row_number() OVER w - 1)::INTEGER AS generation FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -668,3 +664,137 @@ def root_trees(spark, sf):
     e = v.table(spark, sf, "events")
     heads = e.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("head"))
     return heads.join(e.select("event_id", "props"), F.col("head") == F.col("event_id")).select("user_id", F.col("event_id").alias("commit_id"), F.md5("props").alias("tree_id"))
+
+
+# --- the weighted index ------------------------------------------------------------------------------------------------
+
+#: A word whose only other form in the texts is its plural: the weights of its places add up, which SQL can say.
+_WORD = "idiot"
+_COVER = f"""tok AS (SELECT *, regexp_extract_all(lower(coalesce(file_name, '') || ' ' || coalesce(file_path, '')), '[a-z0-9]+') AS tn, regexp_extract_all(lower(coalesce(symbol_spine, '')), '[a-z0-9]+') AS ts,
+    regexp_extract_all(lower(coalesce(summary, '')), '[a-z0-9]+') AS tx FROM v_blob),
+  places AS (SELECT *, len(list_filter(tn, lambda w: w = '{_WORD}')) AS pn, len(list_filter(ts, lambda w: w = '{_WORD}')) AS ps, len(list_filter(tn || ts, lambda w: w IN ('{_WORD}', '{_WORD}s'))) AS sa,
+    len(list_filter(tx, lambda w: w IN ('{_WORD}', '{_WORD}s'))) AS sx FROM tok),
+  lex AS (SELECT *, 1.5 * (pn + 0.4::DOUBLE * ps) + 2.25::DOUBLE * (sa + 0.2::DOUBLE * sx) AS raw FROM places WHERE pn + ps + sa + sx > 0)"""
+
+
+@query(f"""WITH {v.BLOBS}, {_COVER}, scored AS (SELECT * REPLACE (greatest(raw, 0.1) * exp(-0.01 * {_AGE}) AS raw) FROM lex), top AS (SELECT * FROM scored ORDER BY raw DESC, id LIMIT 200)
+  SELECT id, repo, file_path, round(raw, 6) AS similarity FROM top t WHERE {_fresh('t')} ORDER BY raw DESC, id LIMIT 10""")
+def keyword_search_cover(spark, sf):
+    """Keyword search by the cover density of the weighted index."""
+    return ranking.keyword_search(v.blobs(spark, sf), _WORD, v.AS_OF).withColumn("similarity", r6("similarity"))
+
+
+@query(f"""WITH {v.BLOBS}, {_COSINE}, {_COVER}, {_cut('dense', 'd')}, {_cut('lex', 'x')},
+  fused AS (SELECT coalesce(d.id, x.id) AS id, x.raw AS lexical, coalesce(1.0::DOUBLE / (60.0::DOUBLE + d.rk), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + x.rk), 0) AS rrf FROM d FULL JOIN x ON d.id = x.id),
+  final AS (SELECT b.*, f.lexical, f.rrf * exp(-0.01 * {_AGE}) AS sim FROM fused f JOIN v_blob b ON b.id = f.id)
+  SELECT id, repo, round(sim, 8) AS similarity, round(coalesce(lexical, 0), 6) AS lexical_score FROM final ORDER BY sim DESC, id LIMIT 10""")
+def hybrid_search_cover(spark, sf):
+    found = ranking.hybrid_search(v.blobs(spark, sf), _WORD, v.query_vector(spark, sf), v.AS_OF)
+    return found.select("id", "repo", F.round("similarity", 8).alias("similarity"), r6("lexical_score").alias("lexical_score"))
+
+
+@query(f"""WITH {v.SYMBOLS}, w AS (SELECT id, regexp_extract_all(lower(symbol_name || ' ' || signature || ' ' || content), '[a-z0-9]+') AS ws FROM v_symbol) SELECT id, unnest(range(1, len(ws) + 1))::INTEGER AS place, '=' || unnest(ws) AS word, 0.1::DOUBLE AS weight FROM w""")
+def symbol_index(spark, sf):
+    """Places of the words in the text index of symbols."""
+    return lexical.index_of_symbols(v.symbols(spark, sf)).select("id", "place", "word", "weight")
+
+
+# --- parsers, tools and the rest, against fixed or plain tables --------------------------------------------------------
+
+
+def _values(rows, columns: str) -> str:
+    one = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({columns})"
+
+
+def _sources(spark):
+    return spark.createDataFrame([(k, k, x) for k, x in samples.SOURCES.items()], "id string, file_path string, content string")
+
+
+@query(_values(samples.SYMBOLS, "file_path, symbol_name, symbol_type, start_line, end_line"))
+def parsed_symbols(spark, sf):
+    return frames.symbols(_sources(spark)).select("file_path", "symbol_name", "symbol_type", "start_line", "end_line")
+
+
+@query(_values(samples.IMPORTS, "source_path, target_path, relation, symbols"))
+def parsed_imports(spark, sf):
+    return frames.edges(_sources(spark)).select("source_path", "target_path", "relation", F.array_join("symbols", " ").alias("symbols"))
+
+
+@query(_values(samples.STATUS, "local_name, status, via_receiver"))
+def import_activity(spark, sf):
+    text_, path = samples.ACTIVITY
+    return frames.import_activity(spark.createDataFrame([("1", path, text_)], "id string, file_path string, content string")).select("local_name", "status", "via_receiver")
+
+
+def _expanded(spark, case):
+    ranked, k, _ = case
+    files_ = spark.createDataFrame([(i, "r", p, p.rsplit("/", 1)[1], s, None, v.AS_OF, v.AS_OF) for i, p, s in samples.FILES], "id int, repo string, file_path string, file_name string, summary string, symbol_spine string, last_seen_at timestamp_ntz, created_at timestamp_ntz")
+    edges = spark.createDataFrame([(i, "r", a, b, "imports") for i, a, b in samples.EDGES], "id int, repo string, source_path string, target_path string, relation string")
+    by_id = {r.id: r.asDict() for r in files_.collect()}
+    rows = graph.expand([by_id[i] | {"similarity": x} for i, x in ranked], "login rotation", files_, edges, k)
+    return spark.createDataFrame([(r["id"], round(r["similarity"], 6), bool(r.get("bridge"))) for r in rows], "id int, similarity double, bridge boolean")
+
+
+@query(_values(samples.ROOM[2], "id, similarity, bridge"))
+def bridge_merge_with_room(spark, sf):
+    return _expanded(spark, samples.ROOM)
+
+
+@query(_values(samples.FULL[2], "id, similarity, bridge"))
+def bridge_merge_when_full(spark, sf):
+    return _expanded(spark, samples.FULL)
+
+
+@query(_values(samples.COVERED[2], "id, similarity, bridge"))
+def bridge_gate_closed(spark, sf):
+    return _expanded(spark, samples.COVERED)
+
+
+def _engine(spark, sf):
+    b = v.blobs(spark, sf)
+    repos = v.table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.min("doc_id").alias("id")).withColumn("created_at", F.lit(v.AS_OF))
+    return Engine(repos, b, v.symbols(spark, sf), v.imports(spark, sf), v.hierarchy(spark, sf))
+
+
+@query("SELECT source AS name, min(doc_id) AS id FROM documents GROUP BY source")
+def tool_list_repos(spark, sf):
+    return _engine(spark, sf).list_repos().select("name", "id")
+
+
+@query(f"WITH {v.HIERARCHY} SELECT name, object_id, type FROM v_tree WHERE tree_id = 'root'")
+def tool_read_tree(spark, sf):
+    return _engine(spark, sf).read_tree("root").select("name", "object_id", "type")
+
+
+@query(f"WITH {v.BLOBS} SELECT id, md5(content) AS digest FROM v_blob WHERE file_path = 'src/d1.txt' OR file_name = 'src/d1.txt' ORDER BY last_seen_at DESC NULLS FIRST, id DESC LIMIT 1")
+def tool_read_blob(spark, sf):
+    return _engine(spark, sf).read_blob("/src/d1.txt").select("id", F.md5("content").alias("digest"))
+
+
+@query(f"""WITH {v.BLOBS}, {v.IMPORTS}, {v.SYMBOLS}, up AS (SELECT DISTINCT ON (target_path, relation) id FROM v_import WHERE source_path = 'src/d2.txt' ORDER BY target_path, relation, id DESC),
+  down AS (SELECT DISTINCT ON (source_path, relation) id FROM v_import WHERE target_path = 'src/d2.txt' OR ends_with(lower(target_path), 'src/d2.txt') OR contains(lower(target_path), 'd2') ORDER BY source_path, relation, id DESC)
+  SELECT 'imports' AS part, id FROM up UNION ALL SELECT 'dependents', id FROM down""")
+def tool_dependency_graph(spark, sf):
+    parts = _engine(spark, sf).dependency_graph("src/d2.txt")
+    return parts["imports"].select(F.lit("imports").alias("part"), "id").unionByName(parts["dependents"].select(F.lit("dependents").alias("part"), "id")).unionByName(parts["symbols"].select(F.lit("symbols").alias("part"), "id"))
+
+
+@query("SELECT p_partkey, 'query: ' || p_name AS input FROM part")
+def query_inputs(spark, sf):
+    once = vector.query_input(F.col("p_name"))
+    return v.table(spark, sf, "part").select("p_partkey", vector.query_input(once).alias("input"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT event_id AS id, CASE WHEN event_id % 16 <> 0 THEN event_id - 1 END AS parent FROM events), w AS (SELECT id AS head, id, parent, 0 AS generation FROM c WHERE id % 5 = 0
+  UNION ALL SELECT w.head, c.id, c.parent, w.generation + 1 FROM w JOIN c ON c.id = w.parent) SELECT head, id, generation::INTEGER AS generation FROM w""")
+def commit_chains(spark, sf):
+    """Parents of every fifth event, back to the root of its chain of sixteen."""
+    e = v.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 16 != 0, F.col("event_id") - 1).alias("parent_id"))
+    return graph.ancestors(e, e.where("id % 5 = 0").select("id"))
+
+
+@query("SELECT DISTINCT source AS name FROM documents UNION ALL SELECT 'made'")
+def repository_created(spark, sf):
+    repos = v.table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.min("doc_id").cast("int").alias("id")).select("id", "name", F.lit(None).cast("string").alias("description"), F.lit(v.AS_OF).cast("timestamp_ntz").alias("created_at"))
+    return upserts.create_repository(repos, "made", None, v.AS_OF).select("name")

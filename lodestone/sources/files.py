@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, paths
 from lodestone.operators import filters
+from lodestone.operators.stages import stored
 
 #: Characters of a text that a tool shows, and what follows a cut.
 MAX_SHOWN, CUT_NOTICE = 500_000, "\n... (truncated)"
@@ -33,9 +34,10 @@ def tree_entries(files: DataFrame) -> DataFrame:
     deepest = rows.agg(F.max("depth")).first()[0] or 0
     done = None
     for d in range(deepest, -1, -1):
-        here = rows.where(F.col("depth") == d)
+        here = stored(rows.where(F.col("depth") == d))  # used twice and read by the level above
         trees = here.groupBy("dir").agg(hashing.tree_hash(F.collect_list(F.struct("name", "type", "object_id"))).alias("tree_id"))
-        level = here.join(trees, "dir")
+        level = stored(here.join(trees, "dir"))
+        trees = level.select("dir", "tree_id").distinct()
         done = level if done is None else done.unionByName(level)
         if d:
             up = trees.select(paths.dirname(F.col("dir")).alias("dir"), paths.basename(F.col("dir")).alias("name"), F.lit("tree").alias("type"), F.col("tree_id").alias("object_id")).withColumn("depth", depth)

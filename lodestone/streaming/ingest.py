@@ -30,13 +30,11 @@ def new_blobs(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
 def start(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str):
     """Write blobs and their symbols under ``target``; contents that earlier batches hold are skipped by an anti join on the hash."""
     def write(batch: DataFrame, number: int) -> None:
-        try:
-            known = spark.read.option("basePath", f"{target}/blobs").parquet(f"{target}/blobs").where(F.col("batch") != number).select("id")
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/blobs")
+        fresh = batch
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            known = spark.read.schema("id string, batch long").option("basePath", f"{target}/blobs").parquet(f"{target}/blobs").where(F.col("batch") != number).select("id")
             fresh = batch.join(known, "id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            fresh = batch  # the first batch
         fresh.write.mode("overwrite").parquet(f"{target}/blobs/batch={number}")
         files = spark.read.parquet(f"{target}/blobs/batch={number}")
         frames.symbols(files).write.mode("overwrite").parquet(f"{target}/symbols/batch={number}")

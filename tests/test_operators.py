@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
+from lodestone.functions import text
 from lodestone.operators import graph, ranking, upserts, versions
 from lodestone.plans import catalogue, views
 from lodestone.streaming import ingest
@@ -83,10 +84,78 @@ def test_resolution(spark):
 
 
 def test_merge_protects_the_top():
-    hop1 = [{"n": i, "similarity": 1 - i / 10, "t": 1} for i in range(3)]
-    strong, weak = {"n": 9, "similarity": 0.5, "bridge": True, "t": 2}, {"n": 8, "similarity": 0.4, "bridge": True, "t": 0}
-    assert [r["n"] for r in graph.merge_bridges(hop1, [strong, weak], 3, lambda r: r["t"])] == [0, 1, 9]
-    assert [r["n"] for r in graph.merge_bridges(hop1, [strong], 9, lambda r: r["t"])] == [0, 1, 2, 9]
+    cover = lambda r: r["t"]
+    row = lambda n, x, t, bridge=False: {"n": n, "similarity": x, "t": t, "bridge": bridge}
+    names = lambda rows: [r["n"] for r in rows]
+    hop1 = [row(i, 1 - i / 10, 1) for i in range(3)]
+    strong, weak = row(9, 0.5, 2, True), row(8, 0.4, 0, True)
+    assert names(graph.merge_bridges(hop1, [strong, weak], 3, cover)) == [0, 1, 9]
+    assert names(graph.merge_bridges(hop1, [strong], 9, cover)) == [0, 1, 2, 9]
+    # with room left bridges only fill it, even where they hold more than a row, and all sort by similarity
+    assert names(graph.merge_bridges(hop1, [row(7, 0.95, 5, True), strong], 4, cover)) == [0, 7, 1, 2]
+    # of the open rows the one with fewest tokens goes, then the least similar, then the last; the result is sorted
+    assert names(graph.merge_bridges([row(0, 0.9, 0), row(1, 0.8, 2), row(2, 0.7, 1), row(3, 0.6, 3)], [strong], 4, cover)) == [0, 1, 3, 9]
+    assert names(graph.merge_bridges([row(0, 0.9, 0), row(1, 0.5, 1), row(2, 0.5, 1)], [row(9, 0.8, 2, True)], 3, cover)) == [0, 9, 1]
+    assert names(graph.merge_bridges([row(0, 0.9, 0)], [strong], 1, cover)) == [0]
+    assert names(graph.merge_bridges(hop1, [strong, row(7, 0.45, 2, True), row(6, 0.44, 9, True)], 3, cover)) == [0, 9, 7]
+
+
+def test_seeds_come_by_rank(spark):
+    rows = [("r", "c.js", 2), ("r", "/a.js", 0), ("r", "a.js", 1), ("r", None, 3), ("s", "a.js", 5), ("r", "z.js", 9), (None, "q.js", 1)]
+    got = graph.first_seeds(spark.createDataFrame(rows, "repo string, file_path string, rank int")).collect()
+    assert sorted((r["repo"], r["seed_path"], r["rank"]) for r in got) == [("r", "a.js", 0), ("r", "c.js", 2), ("s", "a.js", 5)]
+
+
+def test_deep_walks(spark):
+    """Twenty rounds: plans are cut, so time follows the rounds."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(5, 0)], "src int, dst int")
+    got = {r.node: r.depth for r in graph.walk(chain, spark.createDataFrame([(0,)], "node int"), 20).collect()}
+    assert got == {i: i for i in range(21)}
+    tree = spark.createDataFrame([(f"t{i}", f"d{i}", f"t{i + 1}") for i in range(20)], "tree_id string, name string, object_id string")
+    out = graph.descend(tree, "t0").collect()
+    assert max(r.depth for r in out) == 20 and len(out) == 20 and max(out, key=lambda r: r.depth).path.count("/") == 19
+    with pytest.raises(ValueError):
+        graph.descend(tree.union(spark.createDataFrame([("t20", "again", "t0")], tree.schema)), "t0", 30)
+    commits = spark.createDataFrame([(i, i - 1 if i else None) for i in range(100)], "id int, parent_id int")
+    got = graph.ancestors(commits, commits.where("id in (99, 3)").select("id")).collect()
+    assert sorted((r["head"], r["id"], r["generation"]) for r in got) == sorted([(99, 99 - g, g) for g in range(100)] + [(3, 3 - g, g) for g in range(4)])
+    with pytest.raises(ValueError):
+        graph.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "id int, parent_id int"), commits.where("id = 1").select("id"), 50)
+
+
+def test_plans_stay_small(spark):
+    e = spark.createDataFrame([(1, "r", "a.js", "./b", "imports")], "id int, repo string, source_path string, target_path string, relation string")
+    f = spark.createDataFrame([("r", "b.js")], "repo string, file_path string")
+    assert len(graph.resolve(e, f)._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_query_identifiers(spark):
+    names, tokens = text.query_identifiers("Where does `pool.query` use searchBlobs() in lib/embedding.js, e.g. the `FooBar`?", spark)
+    assert names == ["pool.query", "FooBar", "searchBlobs", "lib/embedding.js"]
+    assert tokens == ["pool", "query", "searchblobs", "search", "blobs", "lib", "embedding", "js", "foobar", "foo", "bar"]
+    assert text.query_identifiers("the of", spark) == ([], [])
+
+
+def test_symbol_supplement(spark):
+    rows = [(1, "r", "a.js", "rollUp", "function", 1, "active", [1.0, 0.0]), (2, "r", "b.js", "other", "function", 1, "active", [0.9, 0.1]), (3, "r", "c.js", "far", "function", 1, "active", [0.0, 1.0])]
+    s = spark.createDataFrame(rows, "id int, repo string, file_path string, symbol_name string, symbol_type string, start_line int, embed_model string, embedding array<double>")
+    s = s.select("*", F.lit("sig").alias("signature"), F.lit("body").alias("content"))
+    ids = lambda q, v, k=5: [r.id for r in ranking.symbol_search_with_meaning(s, q, v, k).orderBy("place").collect()]
+    assert ids("rollup", [1.0, 0.0]) == [1] and ids("rollup now", [1.0, 0.0]) == [1, 2] and ids("nothing", [1.0, 0.0]) == [1, 2]
+    assert ids("nothing", None) == [] and ids("rollup now", [1.0, 0.0], 1) == [1]
+
+
+def test_combined_match():
+    from lodestone.operators import lexical
+
+    rows = lexical.index_rows("rollUp.js", "src/rollUp.js", "episodes", None)
+    assert lexical.matches(rows, "episode") and lexical.matches(rows, "what rolls up") and not lexical.matches(rows, "zzz") and not lexical.matches(rows, "")
+    assert lexical.matches([(1, "=of", "A")], "of") and lexical.symbol_rows("f", "f(x)", None) == [(1, "=f", "D"), (2, "=f", "D"), (3, "=x", "D")]
+
+
+def test_repository_names(spark):
+    e = Engine(spark.createDataFrame([(1, "me/Tool", AS_OF), (2, "1", AS_OF)], "id int, name string, created_at timestamp_ntz"), None, None, None)
+    assert [e.resolve_repo(x) for x in ("me/Tool", "1", 2, "ME/tool", "tool", "you/TOOL")] == ["me/Tool", "1", "1", "me/Tool", "me/Tool", "me/Tool"]
 
 
 def test_writes(spark):
@@ -109,6 +178,7 @@ def test_engine(spark):
     g = e.symbol_graph("rollup")
     assert [g[k].count() for k in ("symbols", "imports", "dependents")] == [1, 1, 1]
     assert e.semantic_search("episode", [1.0, 0.0], AS_OF, k=99).count() == 3
+    assert e.semantic_search("episode", [1.0, 0.0], AS_OF, k=99, bridges=True).select("id", "bridge", "via").count() == 3
     with pytest.raises(ValueError):
         e.read_blob("x", repo="none")
 
