@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over overlapping windows of words.
 
 A word enters as the sum of a hashed word vector and the mean of the hashed vectors of its character (byte) 3- and 5-grams. Windows of ``WINDOW``
-words start every ``STRIDE`` words, so that all but the outermost words lie in two; each is read in both directions, its
+words start every ``STRIDE`` words, so that neighbours share eight and every word lies in one or two; each is read in both directions, its
 states are pooled by attention, and a logistic unit gives the window's probability. A document's score is that of its
 highest window. The network is trained here, in numpy, from document labels alone: the loss takes a document as toxic if
 any of its windows is (noisy or). Only the text is an input.
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import raw, runs, small_batches
 from lodestone.llm.tokens import ragged
 
-WINDOW, STRIDE, THRESHOLD = 24, 12, 0.3
+WINDOW, STRIDE, THRESHOLD = 24, 16, 0.3
 #: Bounds of the training sample; a batch ends at ``BATCH`` documents or ``BATCH_WORDS`` words.
-TRAIN_DOCS, TRAIN_WORDS, EPOCHS, BATCH, BATCH_WORDS, RATE = 4000, 2000, 8, 64, 16_000, 0.01
+TRAIN_DOCS, TRAIN_WORDS, EPOCHS, BATCH, BATCH_WORDS, RATE = 4000, 1000, 8, 64, 16_000, 0.01
 HIDDEN, WIDTH, WORD_SLOTS, CHAR_SLOTS = 8, 16, 1 << 14, 1 << 14
 _EDGE = bytes(i for i in range(128) if not chr(i).isalnum())
 
