@@ -10,7 +10,7 @@ shorter ones (at most 257^3) are sent to every worker. A chunk asks for its dist
 with the corpus and is cut at ``SLICE_BYTES``; each slice meets a copy of the group's counts, which the alphabet bounds.
 
 Words. Each chunk of a task's texts has a vocabulary of its own, numbered as they come; documents are in a written
-table. Vocabularies, not documents, meet the global word counts, and the counts return to their chunk.
+table, in compressed runs. Vocabularies, not documents, meet the global word counts, and the counts return to their chunk.
 
 Defined results: a null text counts as empty (one token, the end); a null doc_id counts as the empty string in the split;
 repeated rows are rows of their own; an empty table gives an empty result; without training rows the base score is 0 per
@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -257,7 +258,7 @@ def answered(asked: DataFrame, counted: DataFrame, short: Short) -> DataFrame:
     return dealt.groupBy("bucket", "slice").cogroup(copied.groupBy("bucket", "slice")).applyInArrow(run, "part long, bucket int, logs binary")
 
 
-_CHUNKS = "chunk long, at int, doc_id long, held_out boolean, text binary, word binary, number int, n long, bucket int, grams binary"
+_CHUNKS = "chunk long, at int, ids array<long>, held array<boolean>, sizes array<int>, texts binary, word binary, number int, n long, bucket int, grams binary"
 
 
 def _ordered(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,17 +269,18 @@ def _ordered(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunked(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Rows of three kinds: documents (at, doc_id, held_out, text), vocabulary (word, number, n: training occurrences), grams asked for (bucket, grams)."""
+    """Rows of three kinds: runs of documents (at, ids, held, sizes, texts, n: training documents), vocabulary (word, number, n: training occurrences), grams asked for (bucket, grams)."""
     small_batches(spark)
     names, kinds = zip(*[x.split() for x in _CHUNKS.split(", ")], strict=True)
     arrow = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "int": pa.int32()}
+    arrow |= {f"array<{k}>": pa.list_(v) for k, v in arrow.items()}
 
     def rows(chunk: int, size: int, **columns) -> pa.RecordBatch:
         columns["chunk"] = pa.array(np.full(size, chunk))
         return pa.record_batch([columns.get(c, pa.nulls(size, arrow[k])) for c, k in zip(names, kinds, strict=True)], list(names))
 
     def run(batches):
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor()
         numbers: dict[bytes, int] = {}
         counts, asked, held, at = [], [], 0, 0
 
@@ -297,15 +299,19 @@ def chunked(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 yield rows(chunk, len(first), bucket=pa.array(place[first].astype(np.int32)), grams=pa.array([x.tobytes() for x in np.split(found[order], first[1:])], pa.binary()))
 
         for b in batches:
-            texts, out = [t.lower() for t in raw(b.column(1))], b.column(2).to_pylist()
+            texts, ids, out = [t.lower() for t in raw(b.column(1))], b.column(0).to_pylist(), b.column(2).to_pylist()
             for t, o in zip(texts, out, strict=True):
                 x = np.array([numbers.setdefault(w, len(numbers)) for w in t.split()], np.uint32)
                 if not o:
                     counts.append(x)
                 held += len(t)
+            first = 0
             for some in runs(texts):
                 asked.append(pd.unique(grams(some)[0]))
-            yield rows(part << 24 | seq, len(texts), at=pa.array(np.arange(at, at + len(texts), dtype=np.int32)), doc_id=b.column(0), held_out=b.column(2), text=pa.array(texts, pa.binary()))
+                own = slice(first, first + len(some))
+                told = {"ids": ids[own], "held": out[own], "sizes": [len(t) for t in some], "texts": pack.compress(b"".join(some)), "n": out[own].count(False), "at": at + first}
+                yield rows(part << 24 | seq, 1, **{c: pa.array([v], arrow[kinds[names.index(c)]]) for c, v in told.items()})
+                first += len(some)
             counts, at = [np.concatenate(counts)] if counts else [], at + len(texts)
             if held >= CHUNK_BYTES:
                 yield from close()
@@ -334,7 +340,10 @@ def _score(train_tokens: int, kinds: int, ends: int):
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         docs = docs.sort_by("at")  # so that the words get the numbers that they had
-        texts = docs.column("text").to_pylist()
+        texts = []
+        for packed, sizes in zip(docs.column("texts").to_pylist(), docs.column("sizes").to_pylist(), strict=True):
+            joined = zstandard.ZstdDecompressor().decompress(packed)
+            texts += [joined[z - n : z] for n, z in zip(sizes, np.cumsum(sizes).tolist(), strict=True)]
         logs = told.filter(pc.is_valid(told.column("logs"))).sort_by("bucket").column("logs").to_pylist()
         words = told.filter(pc.is_valid(told.column("number")))
         score = ppm(texts, logs)
@@ -347,7 +356,7 @@ def _score(train_tokens: int, kinds: int, ends: int):
         for ids in lists:
             out.append((len(ids) + 1, int((c[ids] > 0).sum()) + (ends > 0), float(log[ids].sum() + np.log10((ends + 1) / size))))
         n, known, base = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table([docs.column("doc_id"), docs.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([train_tokens] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([pc.list_flatten(docs.column("ids")), pc.list_flatten(docs.column("held")), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([train_tokens] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -357,16 +366,16 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "lm")
     counted, short = fit(spark, docs.where(~held_out()), scratch)
     rows = scratch.save(chunked(spark, docs), "chunks")
-    words, texts = rows.where("word is not null"), rows.where("text is not null")
+    words, texts = rows.where("word is not null"), rows.where("texts is not null")
     counts = scratch.save(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     kinds, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    ends = texts.where("not held_out").count()
+    ends = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     logs = scratch.save(answered(rows.where("grams is not null").select("chunk", "bucket", "grams"), counted, short), "logs")
     known = words.select(F.col("chunk").alias("part"), "word", "number").join(counts, "word").select("part", "number", "c")
     told = known.unionByName(logs, allowMissingColumns=True)
     run = _score(total + ends, kinds + (ends > 0), ends)
     tasks = max(1, texts.select("chunk").distinct().count())  # a chunk each, whatever the session's setting
     return (
-        texts.select("chunk", "at", "doc_id", "held_out", "text").repartition(tasks, "chunk").groupBy("chunk").cogroup(told.repartition(tasks, "part").groupBy("part"))
+        texts.select("chunk", "at", "ids", "held", "sizes", "texts").repartition(tasks, "chunk").groupBy("chunk").cogroup(told.repartition(tasks, "part").groupBy("part"))
         .applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
