@@ -36,6 +36,12 @@ def is_walked(path: Column) -> Column:
     return ~F.exists(F.split(path, "/"), odd)
 
 
+def is_translation(path: Column) -> Column:
+    """A translated copy of a course: under translations/ but not the English one, or a translated image."""
+    copy = F.startswith(path, F.lit("translations/")) & ~F.startswith(path, F.lit("translations/en/"))
+    return F.coalesce(copy | F.startswith(path, F.lit("translated_images/")), F.lit(False))
+
+
 def looks_binary(text: Column) -> Column:
     """Too short, several NULs, an encoded image, or a huge text of one or two lines."""
     n = F.length(text)

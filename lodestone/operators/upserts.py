@@ -40,6 +40,15 @@ def touch(old: DataFrame, seen: DataFrame, now: datetime, key: str = "id") -> Da
     )
 
 
+def write_vectors(old: DataFrame, new: DataFrame, model: str | None = None, key: str = "id") -> DataFrame:
+    """Rows with a vector in ``new`` (one row a key) take it, and the model's name if one is given; a null vector changes nothing."""
+    side = new.where("embedding is not null").select(F.col(key).alias("__key"), F.col("embedding").alias("__vector"))
+    both = old.join(side, F.col(key) == F.col("__key"), "left").withColumn("embedding", F.coalesce("__vector", "embedding"))
+    if model is not None:
+        both = both.withColumn("embed_model", F.when(F.col("__key").isNotNull(), F.lit(model)).otherwise(F.col("embed_model")))
+    return both.select(*old.columns)
+
+
 def needs_embedding(active: str, restale: bool = False) -> Column:
     """Text without a vector, or (if asked) with one of another model."""
     other = ~F.col("embed_model").eqNullSafe(F.lit(active)) if restale else F.lit(False)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
 from lodestone.functions import hashing, paths, text, vector
-from lodestone.operators import filters, graph, lexical, ranking, upserts, versions
+from lodestone.operators import answers, filters, graph, lexical, ranking, upserts, versions
 from lodestone.parse import frames
 from lodestone.plans import samples
 from lodestone.plans import views as v
@@ -786,15 +786,70 @@ def query_inputs(spark, sf):
     return v.table(spark, sf, "part").select("p_partkey", vector.query_input(once).alias("input"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT event_id AS id, CASE WHEN event_id % 16 <> 0 THEN event_id - 1 END AS parent FROM events), w AS (SELECT id AS head, id, parent, 0 AS generation FROM c WHERE id % 5 = 0
+@query("""WITH RECURSIVE c AS (SELECT event_id AS id, CASE WHEN event_id % 16 <> 0 THEN event_id - 1 END AS parent FROM events), w AS (SELECT id AS head, id, parent, 0 AS generation FROM c
   UNION ALL SELECT w.head, c.id, c.parent, w.generation + 1 FROM w JOIN c ON c.id = w.parent) SELECT head, id, generation::INTEGER AS generation FROM w""")
 def commit_chains(spark, sf):
-    """Parents of every fifth event, back to the root of its chain of sixteen."""
+    """Parents of every event, back to the root of its chain of sixteen."""
     e = v.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 16 != 0, F.col("event_id") - 1).alias("parent_id"))
-    return graph.ancestors(e, e.where("id % 5 = 0").select("id"))
+    return graph.ancestors(e, e.select("id"))
 
 
 @query("SELECT DISTINCT source AS name FROM documents UNION ALL SELECT 'made'")
 def repository_created(spark, sf):
     repos = v.table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.min("doc_id").cast("int").alias("id")).select("id", "name", F.lit(None).cast("string").alias("description"), F.lit(v.AS_OF).cast("timestamp_ntz").alias("created_at"))
     return upserts.create_repository(repos, "made", None, v.AS_OF).select("name")
+
+
+# --- lines of the tools, write-back of vectors, small filters -----------------------------------------------------------
+
+
+@query(f"""WITH {v.BLOBS} SELECT id, '--- Match (Score: ' || printf('%.3f', (id % 1000) / 1000.0::DOUBLE) || ')' || CASE WHEN id % 3 = 0 THEN ' [Graph Bridge via src/a.js]' ELSE '' END || ' | [' || repo || '] ' || file_name ||
+  coalesce(' | Path: ' || file_path, '') || ' | Seen: ' || coalesce(strftime(last_seen_at, '%Y-%m-%d'), 'unknown') || ' ---' || chr(10) || CASE WHEN coalesce(summary, '') = '' THEN '(no preview)' ELSE summary END AS line FROM v_blob""")
+def tool_search_text(spark, sf):
+    found = v.blobs(spark, sf).withColumn("similarity", F.col("id") % 1000 / 1000.0).withColumn("via", F.when(F.col("id") % 3 == 0, "src/a.js"))
+    return found.select("id", answers.match_text().alias("line"))
+
+
+@query(f"""WITH {v.SYMBOLS} SELECT id, '--- [' || repo || '] ' || file_path || ':' || start_line || '-' || end_line || ' | ' || upper(symbol_type) || ': ' || symbol_name || coalesce(' | hash:' || left(symbol_hash, 12), '') || ' ---' || chr(10) || 'Signature: ' || signature ||
+  chr(10) || 'Preview:' || chr(10) || left(repeat(content || ' ', 1 + id % 20), 300) || CASE WHEN length(repeat(content || ' ', 1 + id % 20)) > 300 THEN '...' ELSE '' END AS line,
+  '• L' || start_line || '-L' || end_line || ' [' || symbol_type || '] ' || symbol_name || coalesce(' (hash:' || left(symbol_hash, 12) || ')', '') || ': ' || signature AS declared FROM v_symbol""")
+def tool_symbol_text(spark, sf):
+    long = v.symbols(spark, sf).withColumn("content", F.repeat(F.concat("content", F.lit(" ")), (1 + F.col("id") % 20).cast("int")))
+    return long.select("id", answers.symbol_text().alias("line"), answers.declared_text().alias("declared"))
+
+
+@query(f"""WITH {v.BLOBS}, n AS (SELECT id, list_reverse(embedding) AS found FROM v_blob WHERE embedding IS NOT NULL AND embed_model IS DISTINCT FROM 'active')
+  SELECT form, b.id, CASE WHEN found IS NOT NULL AND form = 'named' THEN 'next' ELSE embed_model END AS embed_model, coalesce(found, embedding)[1] AS head FROM v_blob b LEFT JOIN n ON n.id = b.id CROSS JOIN (VALUES ('named'), ('plain')) f(form)""")
+def vector_write_back(spark, sf):
+    """Vectors written back in both forms: with the model's name, and the vector alone."""
+    old = v.blobs(spark, sf).select("id", "embedding", "embed_model")
+    new = old.where(~F.col("embed_model").eqNullSafe(F.lit("active"))).select("id", F.reverse("embedding").alias("embedding"))
+    one = lambda form, model: upserts.write_vectors(old, new, model).select(F.lit(form).alias("form"), "id", "embed_model", F.get("embedding", F.lit(0)).alias("head"))
+    return one("named", "next").unionByName(one("plain", None))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN lang <> 'en' ELSE false END AS skipped FROM documents")
+def translation_skip(spark, sf):
+    at = F.when(F.col("doc_id") % 3 == 0, F.lit("translated_images/a.png")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("translations/"), "lang", F.lit("/readme.md"))).otherwise(F.concat(F.lit("docs/translations/"), "lang"))
+    return v.table(spark, sf, "documents").select("doc_id", filters.is_translation(at).alias("skipped"))
+
+
+@query("SELECT doc_id, doc_id % 5 IN (0, 1) AS odd FROM documents WHERE length(text) > 0")
+def control_characters(spark, sf):
+    """A control character among the first 200 counts, white space and what comes later do not."""
+    mark = F.when(F.col("doc_id") % 5 == 0, F.char(F.lit(7))).when(F.col("doc_id") % 5 == 1, F.char(F.lit(31))).when(F.col("doc_id") % 5 == 2, F.lit("\t\n")).when(F.col("doc_id") % 5 == 3, F.concat(F.repeat(F.lit("x"), F.lit(200)), F.char(F.lit(7)))).otherwise("")
+    return v.table(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", filters.has_control(F.concat(mark, "text")).alias("odd"))
+
+
+@query("SELECT l_orderkey AS blob_id, round(avg((l_returnflag = 'N')::INTEGER), 6) AS unused_ratio, bool_or(l_returnflag = 'R') AS has_active FROM lineitem GROUP BY l_orderkey")
+def unused_imports(spark, sf):
+    state = F.when(F.col("l_returnflag") == "N", "unused_staged").when(F.col("l_returnflag") == "R", "immediate_cursor").otherwise("used")
+    found = frames.unused_ratio(v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("blob_id"), state.alias("status")))
+    return found.withColumn("unused_ratio", r6(F.col("unused_ratio")))
+
+
+@query(r"""SELECT p_partkey, 'get HTTPServer of ' || replace(replace(replace(p_type, ' ', '_'), '/', ' '), '-', ' ') || ' ' || p_name AS shape FROM part""")
+def stored_names(spark, sf):
+    """Camel words come apart at a small letter or digit before a capital only; delimiters turn to blanks."""
+    name = F.concat(F.lit("getHTTPServer.of-"), F.replace("p_type", F.lit(" "), F.lit("~")), F.lit("/"), "p_name")
+    return v.table(spark, sf, "part").select("p_partkey", F.replace(text.delimiter_split(name), F.lit("~"), F.lit("_")).alias("shape"))

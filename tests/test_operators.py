@@ -206,3 +206,22 @@ def test_cover_density(spark):
     assert set(got) == {1, 2} and got[1] == got[2]
     assert lexical.score(lexical.index_rows("episode-rollup.js", None, None, "about rollups"), "episode rollups") > lexical.score(lexical.index_rows("rollup.js", None, None, None), "episode rollups") > 0
     assert lexical.cover_density(blobs(spark), "zzz").count() == 0
+
+
+def test_tool_lines_leave_out_what_is_missing(spark):
+    from lodestone.operators import answers
+
+    rows = spark.createDataFrame([(0.5, None, "r", "f.js", None, None, ""), (0.1234, "a.js", None, "g.js", "src/g.js", None, "text")], "similarity double, via string, repo string, file_name string, file_path string, last_seen_at timestamp_ntz, summary string")
+    got = [r[0] for r in rows.select(answers.match_text()).collect()]
+    assert got == ["--- Match (Score: 0.500) | [r] f.js | Seen: unknown ---\n(no preview)", "--- Match (Score: 0.123) [Graph Bridge via a.js] |  g.js | Path: src/g.js | Seen: unknown ---\ntext"]
+    symbols = spark.createDataFrame([(None, "p", 1, 2, "class", "A", None, None, None)], "repo string, file_path string, start_line int, end_line int, symbol_type string, symbol_name string, symbol_hash string, signature string, content string")
+    assert tuple(symbols.select(answers.symbol_text(), answers.declared_text()).first()) == ("--- p:1-2 | CLASS: A ---", "• L1-L2 [class] A: ")
+
+
+def test_vectors_written_back_with_and_without_a_model(spark):
+    schema = "id int, embedding array<double>, embed_model string"
+    old = spark.createDataFrame([(1, None, None), (2, [1.0], "a"), (3, [3.0], "a")], schema)
+    new = spark.createDataFrame([(1, [9.0]), (2, None), (7, [7.0])], "id int, embedding array<double>")
+    rows = lambda model: sorted(tuple(r) for r in upserts.write_vectors(old, new, model).collect())
+    assert rows("b") == [(1, [9.0], "b"), (2, [1.0], "a"), (3, [3.0], "a")]
+    assert rows(None) == [(1, [9.0], None), (2, [1.0], "a"), (3, [3.0], "a")]
