@@ -53,7 +53,7 @@ def test_long_pieces_equal_the_matrix(reference):
     pieces = ["".join(rng.choice("etaoinshé") for _ in range(rng.randint(2, 250))).encode() for _ in range(100)]
     for p, ids in zip(pieces, words.encode_pieces(pieces), strict=True):
         if p not in words.ranks:
-            assert list(ids) == words._heap(p).tolist()
+            assert list(ids) == words._row(p).tolist()
 
 
 @pytest.mark.parametrize("name", ["odd", "documents", "empty"])
