@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, exact, lm, packing, pii, quality, simhash, toxicity, urls, wavelet
-from lodestone.llm.common import LOWER, UPPER, table
+from lodestone.llm import align, bpe, embeddings, exact, lm, packing, pii, quality, ranked, simhash, toxicity, urls, wavelet
+from lodestone.llm.common import LOWER, UPPER, Scratch, table
 
 
 def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,14 +51,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, docs, quality.fit(spark, docs, table(spark, sf_dir, "labels")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked.build(spark, table(spark, sf_dir, "documents"), Scratch(spark, "ranked-index").root)
+    return ranked.search(spark, index, table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.classes(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_wavelet_tokens, op2_personal_data, op3_url_filter, op4_exact_dedup, op5_byte_bpe, op6_ppm_scores,
-        op7_length_packing, op8_simhash_dedup, op9_toxicity, op10_quality_rules,
+        op7_length_packing, op8_simhash_dedup, op9_toxicity, op10_quality_rules, op11_ranked_search, op12_token_alignment,
+        op13_embedding_dedup,
     )
 }
 
+#: Fixed value: the terms of op 11.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLES = {
     "op4_exact_dedup": f"""
         WITH forms AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS form FROM documents)
@@ -66,4 +83,33 @@ ORACLES = {
                doc_id = max(doc_id) OVER w AS kept, sha256(form) AS text_sha256
         FROM forms WINDOW w AS (PARTITION BY form)
     """,
+    "op11_ranked_search": rf"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM documents
+        ), counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+        sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id),
+        whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+        lengths AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM sizes, whole),
+        held AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, whole GROUP BY term, docs),
+        asked AS (
+            SELECT item_id, term, count(*) AS times FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark
+            ) GROUP BY ALL
+        ), scores AS (
+            SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+            FROM asked JOIN held USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id) GROUP BY ALL
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 20
+    """,
+    "op13_embedding_dedup": """
+        WITH RECURSIVE pairs AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT p.b, r.root FROM reach r JOIN pairs p ON r.node = p.a
+        ), links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings LEFT JOIN links ON a = vec_id JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) ON node = vec_id
+    """,
 }
