@@ -11,7 +11,6 @@ from lodestone.engine import Engine
 from lodestone.functions import hashing, paths, text, vector
 from lodestone.operators import answers, filters, graph, lexical, ranking, upserts, versions
 from lodestone.parse import frames
-from lodestone.plans import samples
 from lodestone.plans import views as v
 from lodestone.sources import files, formats
 
@@ -699,56 +698,7 @@ def symbol_index(spark, sf):
     return lexical.index_of_symbols(v.symbols(spark, sf)).select("id", "place", "word", "weight")
 
 
-# --- parsers, tools and the rest, against fixed or plain tables --------------------------------------------------------
-
-
-def _values(rows, columns: str) -> str:
-    one = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({columns})"
-
-
-def _sources(spark):
-    return spark.createDataFrame([(k, k, x) for k, x in samples.SOURCES.items()], "id string, file_path string, content string")
-
-
-@query(_values(samples.SYMBOLS, "file_path, symbol_name, symbol_type, start_line, end_line"))
-def parsed_symbols(spark, sf):
-    return frames.symbols(_sources(spark)).select("file_path", "symbol_name", "symbol_type", "start_line", "end_line")
-
-
-@query(_values(samples.IMPORTS, "source_path, target_path, relation, symbols"))
-def parsed_imports(spark, sf):
-    return frames.edges(_sources(spark)).select("source_path", "target_path", "relation", F.array_join("symbols", " ").alias("symbols"))
-
-
-@query(_values(samples.STATUS, "local_name, status, via_receiver"))
-def import_activity(spark, sf):
-    text_, path = samples.ACTIVITY
-    return frames.import_activity(spark.createDataFrame([("1", path, text_)], "id string, file_path string, content string")).select("local_name", "status", "via_receiver")
-
-
-def _expanded(spark, case):
-    ranked, k, _ = case
-    files_ = spark.createDataFrame([(i, "r", p, p.rsplit("/", 1)[1], s, None, v.AS_OF, v.AS_OF) for i, p, s in samples.FILES], "id int, repo string, file_path string, file_name string, summary string, symbol_spine string, last_seen_at timestamp_ntz, created_at timestamp_ntz")
-    edges = spark.createDataFrame([(i, "r", a, b, "imports") for i, a, b in samples.EDGES], "id int, repo string, source_path string, target_path string, relation string")
-    by_id = {r.id: r.asDict() for r in files_.collect()}
-    rows = graph.expand([by_id[i] | {"similarity": x} for i, x in ranked], "login rotation", files_, edges, k)
-    return spark.createDataFrame([(r["id"], round(r["similarity"], 6), bool(r.get("bridge"))) for r in rows], "id int, similarity double, bridge boolean")
-
-
-@query(_values(samples.ROOM[2], "id, similarity, bridge"))
-def bridge_merge_with_room(spark, sf):
-    return _expanded(spark, samples.ROOM)
-
-
-@query(_values(samples.FULL[2], "id, similarity, bridge"))
-def bridge_merge_when_full(spark, sf):
-    return _expanded(spark, samples.FULL)
-
-
-@query(_values(samples.COVERED[2], "id, similarity, bridge"))
-def bridge_gate_closed(spark, sf):
-    return _expanded(spark, samples.COVERED)
+# --- tools ---------------------------------------------------------------------------------------------------------------
 
 
 def _engine(spark, sf):

@@ -4,6 +4,7 @@ from lodestone.parse import frames
 from lodestone.parse.activity import activity
 from lodestone.parse.languages import parse
 from lodestone.parse.source import Source
+from tests import samples
 
 
 def told(text, path):
@@ -160,3 +161,28 @@ def test_frames(spark):
     spine = {r.blob_id: r.symbol_spine for r in frames.spine(frames.symbols(files)).collect()}
     assert spine["2"].startswith("GET /items router.get items limit") or "GET /items" in spine["2"]
     assert frames.symbols(files.limit(0)).count() == 0
+
+
+def test_samples(spark):
+    files = spark.createDataFrame([(k, k, x) for k, x in samples.SOURCES.items()], "id string, file_path string, content string")
+    found = frames.symbols(files).select("file_path", "symbol_name", "symbol_type", "start_line", "end_line").collect()
+    assert sorted(map(tuple, found)) == sorted(samples.SYMBOLS)
+    assert sorted((r.source_path, r.target_path, r.relation, " ".join(r.symbols)) for r in frames.edges(files).collect()) == sorted(samples.IMPORTS)
+    text, path = samples.ACTIVITY
+    rows = frames.import_activity(spark.createDataFrame([("1", path, text)], "id string, file_path string, content string"))
+    assert sorted(map(tuple, rows.select("local_name", "status", "via_receiver").collect())) == sorted(samples.STATUS)
+
+
+def test_python_statements():
+    text = 'x = """\ndef ghost():\n"""\nclass A:  # def no()\n    class B:\n        def f(self): pass\n    def g(self,\n          y="):"):\n        from m import (a as b, # c\n          d)\n        return y\nimport p.q as r, s \\\n    , t\ndef broken(a, (\ndef fine(a):\n    pass\n@app.route("/p")\n@wrap\ndef h(): ...\nfrom . import *\n'
+    assert told(text, "a.py") == [
+        ("A", "class", 4, 11), ("B", "class", 5, 6), ("B.f", "method", 6, 6), ("A.g", "method", 7, 11), ("broken", "function", 14, 14), ("fine", "function", 15, 16),
+        ("GET /p", "route", 17, 19), ("h", "function", 19, 19),
+    ]
+    assert brought(text, "a.py") == [("m", "imports", ["a", "d"]), ("p.q", "imports", ["p.q"]), ("s", "imports", ["s"]), ("t", "imports", ["t"]), (".", "imports", ["*"])]
+
+
+def test_markdown_links_and_levels():
+    text = "##### five\n#none\n# A `b`\n[x](y.md) [[z] (q) [k]( c/d.md#e ) [](f) [l](MAILTO:a) [m](#n)\n### C\n## D\n# E"
+    assert told(text, "r.md") == [("A b", "section", 3, 6), ("C", "section", 5, 5), ("D", "section", 6, 6), ("E", "section", 7, 7)]
+    assert brought(text, "r.md") == [("y.md", "references", ["x"]), ("c/d.md", "references", ["k"])]
