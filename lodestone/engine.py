@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, ranking
+from lodestone.operators import graph, lexical, ranking
 from lodestone.sources import files
 
 #: Default and greatest number of results by tool.
@@ -21,8 +21,8 @@ def clamp(k: int | None, tool: str) -> int:
 
 
 class Engine:
-    def __init__(self, repositories: DataFrame, blobs: DataFrame, symbols: DataFrame, edges: DataFrame, trees: DataFrame | None = None):
-        self.repositories, self.blobs, self.symbols, self.edges, self.trees = repositories, blobs, symbols, edges, trees
+    def __init__(self, repositories: DataFrame, blobs: DataFrame, symbols: DataFrame, edges: DataFrame, trees: DataFrame | None = None, text_index: lexical.TextIndex | None = None):
+        self.repositories, self.blobs, self.symbols, self.edges, self.trees, self.text_index = repositories, blobs, symbols, edges, trees, text_index
 
     def list_repos(self) -> DataFrame:
         return self.repositories.orderBy(F.desc("created_at"), "id")
@@ -54,7 +54,7 @@ class Engine:
     def semantic_search(self, text: str | None = None, vector: Sequence[float] | None = None, as_of: datetime | None = None, repo: str | int | None = None, k: int | None = None, mode: str = "hybrid", bridges: bool = False) -> DataFrame:
         """Ranked files; with ``bridges``, files one import away may join them if they hold what the others miss."""
         name, n, blobs = None if repo is None else self.resolve_repo(repo), clamp(k, "search"), self._scope(self.blobs, repo)
-        found = ranking.search(blobs, as_of or datetime.now(), text, vector, mode, n)
+        found = ranking.search(blobs, as_of or datetime.now(UTC).replace(tzinfo=None), text, vector, mode, n, index=self.text_index, scoped=repo is not None)
         if not bridges or not text:
             return found
         told = found.select("id", "similarity").join(blobs, "id").select("id", "repo", *graph.ROW_TEXTS, "similarity").orderBy(F.desc("similarity"), "id")

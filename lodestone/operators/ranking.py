@@ -65,20 +65,33 @@ def dense_matches(blobs: DataFrame, query: Sequence[float], k: int, model: str =
     return _ranked(top, k)
 
 
-def lexical_matches(blobs: DataFrame, query: str, k: int, scorer: str = "cover") -> DataFrame:
+def lexical_matches(blobs: DataFrame, query: str, k: int, scorer: str = "cover", index: lexical.TextIndex | None = None, scoped: bool = False) -> DataFrame:
     """(id, raw, rank) of the best texts whose file has no newer version, whatever their vector's model.
 
     ``scorer``: "cover" ranks the weighted index (``lexical``), which does not hold the content; "ratio" the share of the
-    query's terms in name, path, spine, summary and content, which SQL can say.
+    query's terms in name, path, spine, summary and content, which SQL can say. ``index``: the stored index of the blobs, which
+    spares the search their texts; ``scoped`` if the blobs are only some of those that it holds.
     """
-    scored, score = _scored(blobs, query, scorer)
-    return _ranked(drop_superseded(_narrow(scored, score, k, F.lit(True)), blobs, first_cut(k)), k)
+    if scorer == "ratio":
+        top = _narrow(blobs, text.hit_ratio(haystack(), query), k, F.lit(True))
+    elif index is not None and not scoped:
+        found = F.broadcast(stored(index.top(query, first_cut(k))))
+        top = _versions(blobs).join(found, "id").withColumnRenamed("score", "raw")
+    else:
+        found = index.scores(query) if index is not None else lexical.scores(blobs, query)
+        top = _narrow(blobs.join(found, "id"), F.col("score"), k, F.lit(True))
+    return _ranked(drop_superseded(top, blobs, first_cut(k)), k)
+
+
+def _versions(blobs: DataFrame) -> DataFrame:
+    return blobs.select("id", "repo", "file_path", "last_seen_at", "created_at")
 
 
-def _scored(blobs: DataFrame, query: str, scorer: str) -> tuple[DataFrame, Column]:
+def _scored(blobs: DataFrame, query: str, scorer: str, index: lexical.TextIndex | None) -> tuple[DataFrame, Column]:
     if scorer == "ratio":
         return blobs, text.hit_ratio(haystack(), query)
-    return lexical.with_score(blobs.select("id", "repo", *lexical.INDEXED, "last_seen_at", "created_at"), query), F.col("score")
+    found = index.scores(query) if index is not None else lexical.scores(blobs, query)
+    return blobs.select("id", "repo", "file_name", "file_path", "last_seen_at", "created_at").join(found, "id", "left"), F.col("score")
 
 
 def _ranked(df: DataFrame, k: int) -> DataFrame:
@@ -86,10 +99,10 @@ def _ranked(df: DataFrame, k: int) -> DataFrame:
     return cut.select("id", "raw", F.row_number().over(Window.orderBy(F.desc("raw"), "id")).alias("rank"))
 
 
-def hybrid_search(blobs: DataFrame, query_text: str, query_vector: Sequence[float], as_of: datetime, k: int = 10, scorer: str = "cover") -> DataFrame:
+def hybrid_search(blobs: DataFrame, query_text: str, query_vector: Sequence[float], as_of: datetime, k: int = 10, scorer: str = "cover", index: lexical.TextIndex | None = None, scoped: bool = False) -> DataFrame:
     """Reciprocal rank fusion of both rankings, decayed by age."""
     d = dense_matches(blobs, query_vector, k).select("id", F.col("raw").alias("dense_sim"), F.col("rank").alias("dense_rank"))
-    x = lexical_matches(blobs, query_text, k, scorer).select("id", F.col("raw").alias("lexical_score"), F.col("rank").alias("lexical_rank"))
+    x = lexical_matches(blobs, query_text, k, scorer, index, scoped).select("id", F.col("raw").alias("lexical_score"), F.col("rank").alias("lexical_rank"))
     fused = d.join(x, "id", "full").withColumn("rrf", F.coalesce(1.0 / (RRF_K + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(1.0 / (RRF_K + F.col("lexical_rank")), F.lit(0.0)))
     wide = blobs.join(F.broadcast(fused.limit(2 * second_cut(k))), "id").withColumn("similarity", F.col("rrf") * decay(as_of))
     return wide.orderBy(F.desc_nulls_last("similarity"), "id").limit(k).select(
@@ -109,16 +122,16 @@ def dense_search(blobs: DataFrame, query: Sequence[float], as_of: datetime, k: i
     return wide.orderBy(F.desc_nulls_last("decayed"), "id").limit(k).select("id", "repo", "file_path", F.col("raw").alias("cosine"), "decayed", shown.alias("similarity"))
 
 
-def keyword_search(blobs: DataFrame, query: str, as_of: datetime, k: int = 10, scorer: str = "cover") -> DataFrame:
+def keyword_search(blobs: DataFrame, query: str, as_of: datetime, k: int = 10, scorer: str = "cover", index: lexical.TextIndex | None = None) -> DataFrame:
     """Lexical score with a floor, or a name that contains the query, decayed; one cut, then the version check."""
     named = F.contains(F.lower("file_name"), F.lit(query.lower())) | F.contains(F.lower("file_path"), F.lit(query.lower()))
-    rows, hit = _scored(blobs, query, scorer)
+    rows, hit = _scored(blobs, query, scorer, index)
     score = text.bound(hit, lambda x: F.when(x.isNotNull() | F.coalesce(named, F.lit(False)), F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(FLOOR)))) * decay(as_of)
     top = drop_superseded(_narrow(rows, score, k, F.lit(True)), blobs, first_cut(k))
     return top.orderBy(F.desc("raw"), "id").limit(k).select("id", "repo", "file_path", F.col("raw").alias("similarity"))
 
 
-def search(blobs: DataFrame, as_of: datetime, query_text: str | None = None, query_vector: Sequence[float] | None = None, mode: str = "hybrid", k: int = 10, scorer: str = "cover") -> DataFrame:
+def search(blobs: DataFrame, as_of: datetime, query_text: str | None = None, query_vector: Sequence[float] | None = None, mode: str = "hybrid", k: int = 10, scorer: str = "cover", index: lexical.TextIndex | None = None, scoped: bool = False) -> DataFrame:
     """The ladder of modes: hybrid, then dense if that is empty, then keywords; a vector outranks the keyword mode."""
     if not query_text and query_vector is None:
         raise TypeError("a query text or vector is needed")
@@ -127,29 +140,31 @@ def search(blobs: DataFrame, as_of: datetime, query_text: str | None = None, que
     k = min(k, 100)
     if query_vector is not None:
         if mode == "hybrid" and query_text:
-            found = hybrid_search(blobs, query_text, query_vector, as_of, k, scorer)
+            found = stored(hybrid_search(blobs, query_text, query_vector, as_of, k, scorer, index, scoped))
             if not found.isEmpty():
                 return found
-        found = dense_search(blobs, query_vector, as_of, k)
+        found = stored(dense_search(blobs, query_vector, as_of, k))
         if not query_text or not found.isEmpty():
             return found
-    return keyword_search(blobs, query_text, as_of, k, scorer)
+    return keyword_search(blobs, query_text, as_of, k, scorer, index)
 
 
-def symbol_score(query: str) -> Column:
-    """1 for the same name, 0.85 for one that contains the query, else the hit ratio over the symbol's text, at least 0.1; null for no match."""
-    name = F.lower("symbol_name")
-    body = F.concat_ws(" ", "symbol_name", "signature", "content")
-    hit = text.hit_ratio(body, query)
-    return F.when(name == query.lower(), 1.0).when(F.contains(name, F.lit(query.lower())), 0.85).when(hit.isNotNull(), F.greatest(hit * 0.8, F.lit(FLOOR)))
+def symbol_ranks(symbols: DataFrame, query: str, index: lexical.TextIndex | None = None) -> DataFrame:
+    """``symbols`` that match, with their similarity: 1 for the same name, 0.85 for one that contains the query, else the cover
+    density of all its words in the symbols' text index."""
+    asked, name, low = lexical.symbols_asked(query), F.lower("symbol_name"), query.lower()
+    found = index.scores(asked) if index is not None else lexical.score_hits(lexical.index_of_symbols(symbols), asked)
+    similarity = F.when(name == low, 1.0).when(F.contains(name, F.lit(low)), 0.85).otherwise(F.col("score"))
+    return symbols.join(found, "id", "left").withColumn("similarity", similarity).drop("score").where("similarity is not null")
 
 
-def symbol_search(symbols: DataFrame, query: str, k: int = 10, symbol_type: str | None = None, repo: str | None = None) -> DataFrame:
-    """The best symbols; of equal (repo, path, name, type, line) the first."""
+def symbol_search(symbols: DataFrame, query: str, k: int = 10, symbol_type: str | None = None, repo: str | None = None, index: lexical.TextIndex | None = None) -> DataFrame:
+    """The best symbols; of equal (repo, path, name, type, line) the first. An empty query has none."""
+    query = query.strip()
     scoped = symbols if symbol_type is None else symbols.where(F.col("symbol_type") == symbol_type)
     scoped = scoped if repo is None else scoped.where(F.col("repo") == repo)
     order = [F.desc("similarity"), F.desc("id"), F.asc("start_line")]
-    top = scoped.withColumn("similarity", symbol_score(query)).where("similarity is not null").orderBy(*order).limit(2 * k)
+    top = symbol_ranks(scoped, query, index).orderBy(*order).limit(2 * k) if query else scoped.withColumn("similarity", F.lit(0.0)).limit(0)
     key = ["repo", "file_path", "symbol_name", "symbol_type", "start_line"]
     first = top.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
     return first.orderBy(*order).limit(k)

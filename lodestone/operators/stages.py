@@ -6,20 +6,32 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _folder(spark: SparkSession) -> None:
+    """Make sure that the session has a checkpoint folder: the one it names, or one of its own on a single machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not named:
+        named = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; a session on one machine gets a folder of its own."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local($|\[)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not named:
-            named = tempfile.mkdtemp(prefix="lodestone-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        context.setCheckpointDir(named)
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in that folder for a table that later steps read."""
+    _folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

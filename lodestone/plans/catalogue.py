@@ -11,6 +11,7 @@ from lodestone.engine import Engine
 from lodestone.functions import hashing, paths, text, vector
 from lodestone.operators import answers, filters, graph, lexical, ranking, upserts, versions
 from lodestone.parse import frames
+from lodestone.operators.stages import scratch
 from lodestone.plans import views as v
 from lodestone.sources import files, formats
 
@@ -108,22 +109,43 @@ def keyword_fallback_ladder(spark, sf):
     return ranking.search(v.blobs(spark, sf), v.AS_OF, query_text="d3.txt", mode="hybrid", scorer="ratio").withColumn("similarity", r6("similarity"))
 
 
-_SYMBOL_SCORE = "CASE WHEN lower(symbol_name) = '{q}' THEN 1.0 WHEN contains(lower(symbol_name), '{q}') THEN 0.85 WHEN {hits} > 0 THEN greatest((0.25 + ({hits}) / {n}.0::DOUBLE * 0.75) * 0.8, 0.1) END"
+def _density_sql(name: str, hits: str, found: tuple[str, ...]) -> str:
+    """Cover density of all words over (id, word, place, weight) as common table expressions, the last one named ``name``: ends by a
+    self-join from every begin, runs that hold a shorter one left out."""
+    listed = ", ".join(f"'{w}'" for w in found)
+    return f"""{name}_h AS (SELECT * FROM {hits} WHERE word IN ({listed})),
+      {name}_e AS (SELECT b.id, b.place AS p, n.word, min(n.place) AS q FROM {name}_h b JOIN {name}_h n ON n.id = b.id AND n.place >= b.place GROUP BY ALL),
+      {name}_s AS (SELECT id, p, max(q) AS q FROM {name}_e GROUP BY id, p HAVING count(*) = {len(found)}),
+      {name}_m AS (SELECT * FROM {name}_s s WHERE NOT EXISTS (SELECT 1 FROM {name}_s t WHERE t.id = s.id AND t.p > s.p AND t.q <= s.q)),
+      {name}_c AS (SELECT m.id, count(*) / sum(1 / h.weight) / (1 + (m.q - m.p) - (count(*) - 1)) AS c FROM {name}_m m JOIN {name}_h h ON h.id = m.id AND h.place BETWEEN m.p AND m.q GROUP BY m.id, m.p, m.q),
+      {name} AS (SELECT id, sum(c) AS density FROM {name}_c GROUP BY id)"""
+
+
+_SYMBOL_PLACES = """sw AS (SELECT id, regexp_extract_all(lower(symbol_name || ' ' || signature || ' ' || content), '[a-z0-9]+') AS ws FROM v_symbol),
+  places AS (SELECT id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place, 0.1::DOUBLE AS weight FROM sw)"""
 
 
 def _symbol_sql(q: str) -> str:
-    terms = text.query_terms(q)
-    hits = " + ".join("(" + " OR ".join(f"contains(body, '{f}') OR contains(split, '{f}')" for f in dict.fromkeys([t, text.py_light_stem(t)])) + ")::INTEGER" for t in terms)
-    split = _SPLIT.replace("hay", "whole")
-    return f"""WITH {v.SYMBOLS}, w AS (SELECT *, symbol_name || ' ' || signature || ' ' || content AS whole FROM v_symbol), s AS (SELECT *, lower(whole) AS body, lower({split}) AS split FROM w),
-      scored AS (SELECT *, {_SYMBOL_SCORE.format(q=q, hits=hits, n=len(terms))} AS sim FROM s), top AS (SELECT * FROM scored WHERE sim IS NOT NULL ORDER BY sim DESC, id DESC, start_line LIMIT 20),
+    return f"""WITH {v.SYMBOLS}, {_SYMBOL_PLACES}, {_density_sql('ranks', 'places', tuple(q.split()))},
+      scored AS (SELECT s.*, CASE WHEN lower(symbol_name) = '{q}' THEN 1.0 WHEN contains(lower(symbol_name), '{q}') THEN 0.85 ELSE density END::DOUBLE AS sim FROM v_symbol s LEFT JOIN ranks r ON r.id = s.id),
+      top AS (SELECT * FROM scored WHERE sim IS NOT NULL ORDER BY sim DESC, id DESC, start_line LIMIT 20),
       firsts AS (SELECT *, row_number() OVER (PARTITION BY repo, file_path, symbol_name, symbol_type, start_line ORDER BY sim DESC, id DESC) AS n FROM top)
       SELECT id, symbol_name, symbol_type, file_path, round(sim, 6) AS similarity FROM firsts WHERE n = 1 ORDER BY sim DESC, id DESC LIMIT 10"""
 
 
+def _symbols_found(spark, sf, q: str):
+    return ranking.symbol_search(v.symbols(spark, sf), q).select("id", "symbol_name", "symbol_type", "file_path", r6("similarity").alias("similarity"))
+
+
 @query(_symbol_sql("red"))
 def symbol_search_ranked(spark, sf):
-    return ranking.symbol_search(v.symbols(spark, sf), "red").select("id", "symbol_name", "symbol_type", "file_path", r6("similarity").alias("similarity"))
+    return _symbols_found(spark, sf, "red")
+
+
+@query(_symbol_sql("large red widget"))
+def symbol_search_words(spark, sf):
+    """Three words that must all be there, ranked by their density."""
+    return _symbols_found(spark, sf, "large red widget")
 
 
 @query(f"""WITH {v.SYMBOLS}, pick AS (SELECT symbol_name FROM v_symbol ORDER BY id LIMIT 1)
@@ -667,32 +689,67 @@ def root_trees(spark, sf):
 
 # --- the weighted index ------------------------------------------------------------------------------------------------
 
-#: A word whose only other form in the texts is its plural: the weights of its places add up, which SQL can say.
-_WORD = "idiot"
-_COVER = f"""tok AS (SELECT *, regexp_extract_all(lower(coalesce(file_name, '') || ' ' || coalesce(file_path, '')), '[a-z0-9]+') AS tn, regexp_extract_all(lower(coalesce(symbol_spine, '')), '[a-z0-9]+') AS ts,
-    regexp_extract_all(lower(coalesce(summary, '')), '[a-z0-9]+') AS tx FROM v_blob),
-  places AS (SELECT *, len(list_filter(tn, lambda w: w = '{_WORD}')) AS pn, len(list_filter(ts, lambda w: w = '{_WORD}')) AS ps, len(list_filter(tn || ts, lambda w: w IN ('{_WORD}', '{_WORD}s'))) AS sa,
-    len(list_filter(tx, lambda w: w IN ('{_WORD}', '{_WORD}s'))) AS sx FROM tok),
-  lex AS (SELECT *, 1.5 * (pn + 0.4::DOUBLE * ps) + 2.25::DOUBLE * (sa + 0.2::DOUBLE * sx) AS raw FROM places WHERE pn + ps + sa + sx > 0)"""
+#: Words of the documents by their English stem: all that the tables hold.
+_FORMS = {
+    "idiot": "idiot idiots", "clown": "clown clowns", "ther": "ther therly thers therlying therlyed",
+    "tion": "tion tionly tione tiones tioned tioning tionedly tioningly tionlying tionlyed",
+}
+_STEMMED = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(w) for w in forms.split())}) THEN '{stem}'" for stem, forms in _FORMS.items()) + " END"
+_PLACES = rf"""told AS (SELECT id, coalesce(file_name, '') || ' ' || coalesce(file_path, '') AS names, coalesce(symbol_spine, '') AS spine, coalesce(summary, '') AS summary FROM v_blob),
+  cut AS (SELECT id, regexp_extract_all(lower(names), '[a-z0-9]+') AS a, regexp_extract_all(lower(translate(regexp_replace(names || ' ' || spine, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '_/.-', '    ')), '[a-z0-9]+') AS b,
+    regexp_extract_all(lower(spine), '[a-z0-9]+') AS c, regexp_extract_all(lower(summary), '[a-z0-9]+') AS d FROM told),
+  rows AS (SELECT id, unnest(a) AS w, unnest(range(1, len(a) + 1)) AS place, 1.0::DOUBLE AS weight, false AS english FROM cut UNION ALL SELECT id, unnest(b), len(a) + unnest(range(1, len(b) + 1)), 1.0, true FROM cut
+    UNION ALL SELECT id, unnest(c), len(a) + len(b) + unnest(range(1, len(c) + 1)), 0.4, false FROM cut UNION ALL SELECT id, unnest(d), len(a) + len(b) + len(c) + unnest(range(1, len(d) + 1)), 0.2, true FROM cut),
+  places AS (SELECT id, CASE WHEN english THEN {_STEMMED} ELSE w END AS word, place, weight FROM rows)"""
+
+
+def _cover(plain: str, stems: str, name: str = "lex") -> str:
+    """Scores of the weighted index as common table expressions, the last one (id, raw); the stems are those of the any-word part too."""
+    listed = ", ".join(f"'{w}'" for w in stems.split())
+    return f"""{_PLACES}, {_density_sql('exact', 'places', tuple(plain.split()))}, {_density_sql('stemmed', 'places', tuple(stems.split()))}, loose AS (SELECT id, sum(weight) AS density FROM places WHERE word IN ({listed}) GROUP BY id),
+  {name} AS (SELECT l.id, 1.5 * coalesce(e.density, 0) + 1.25 * coalesce(s.density, 0) + l.density AS raw FROM loose l LEFT JOIN exact e ON e.id = l.id LEFT JOIN stemmed s ON s.id = l.id)"""
+
+
+def _index(spark, sf):
+    """The stored index of the blobs."""
+    b = v.blobs(spark, sf)
+    return lexical.build(spark, lexical.places(b), scratch(spark, "text-index"), b.count())
 
 
-@query(f"""WITH {v.BLOBS}, {_COVER}, scored AS (SELECT * REPLACE (greatest(raw, 0.1) * exp(-0.01 * {_AGE}) AS raw) FROM lex), top AS (SELECT * FROM scored ORDER BY raw DESC, id LIMIT 200)
-  SELECT id, repo, file_path, round(raw, 6) AS similarity FROM top t WHERE {_fresh('t')} ORDER BY raw DESC, id LIMIT 10""")
+def _keyword_cover(plain: str, stems: str) -> str:
+    return f"""WITH {v.BLOBS}, {_cover(plain, stems)}, scored AS (SELECT b.*, greatest(raw, 0.1) * exp(-0.01 * {_AGE}) AS raw FROM v_blob b JOIN lex ON lex.id = b.id), top AS (SELECT * FROM scored ORDER BY raw DESC, id LIMIT 200)
+  SELECT id, repo, file_path, round(raw, 6) AS similarity FROM top t WHERE {_fresh('t')} ORDER BY raw DESC, id LIMIT 10"""
+
+
+@query(_keyword_cover("idiot", "idiot"))
 def keyword_search_cover(spark, sf):
-    """Keyword search by the cover density of the weighted index."""
-    return ranking.keyword_search(v.blobs(spark, sf), _WORD, v.AS_OF).withColumn("similarity", r6("similarity"))
+    """Keyword search by the cover density of the weighted index, made in flight."""
+    return ranking.keyword_search(v.blobs(spark, sf), "idiot", v.AS_OF).withColumn("similarity", r6("similarity"))
+
 
+@query(_keyword_cover("ther tions", "ther tion"))
+def keyword_search_words(spark, sf):
+    """Several words, one in another form, over the stored index."""
+    return ranking.keyword_search(v.blobs(spark, sf), "Ther TIONS", v.AS_OF, index=_index(spark, sf)).withColumn("similarity", r6("similarity"))
 
-@query(f"""WITH {v.BLOBS}, {_COSINE}, {_COVER}, {_cut('dense', 'd')}, {_cut('lex', 'x')},
+
+@query(f"""WITH {v.BLOBS}, {_COSINE}, {_cover('clown idiot of the tion', 'clown idiot tion', 'scores')}, lex AS (SELECT b.*, raw FROM v_blob b JOIN scores ON scores.id = b.id), {_cut('dense', 'd')}, {_cut('lex', 'x')},
   fused AS (SELECT coalesce(d.id, x.id) AS id, x.raw AS lexical, coalesce(1.0::DOUBLE / (60.0::DOUBLE + d.rk), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + x.rk), 0) AS rrf FROM d FULL JOIN x ON d.id = x.id),
   final AS (SELECT b.*, f.lexical, f.rrf * exp(-0.01 * {_AGE}) AS sim FROM fused f JOIN v_blob b ON b.id = f.id)
   SELECT id, repo, round(sim, 8) AS similarity, round(coalesce(lexical, 0), 6) AS lexical_score FROM final ORDER BY sim DESC, id LIMIT 10""")
 def hybrid_search_cover(spark, sf):
-    found = ranking.hybrid_search(v.blobs(spark, sf), _WORD, v.query_vector(spark, sf), v.AS_OF)
+    """Stop words and several words, over the stored index with its block bounds."""
+    found = ranking.hybrid_search(v.blobs(spark, sf), "the clown of the idiot tion", v.query_vector(spark, sf), v.AS_OF, index=_index(spark, sf))
     return found.select("id", "repo", F.round("similarity", 8).alias("similarity"), r6("lexical_score").alias("lexical_score"))
 
 
-@query(f"""WITH {v.SYMBOLS}, w AS (SELECT id, regexp_extract_all(lower(symbol_name || ' ' || signature || ' ' || content), '[a-z0-9]+') AS ws FROM v_symbol) SELECT id, unnest(range(1, len(ws) + 1))::INTEGER AS place, '=' || unnest(ws) AS word, 0.1::DOUBLE AS weight FROM w""")
+@query(f"""WITH {v.BLOBS}, {_cover('clown ther tion', 'clown ther tion')} SELECT id, round(raw, 6) AS score FROM lex ORDER BY raw DESC, id LIMIT 20""")
+def text_index_top(spark, sf):
+    """The best rows of the stored index alone."""
+    return _index(spark, sf).top("tion clown ther", 20).select("id", r6("score").alias("score"))
+
+
+@query(f"""WITH {v.SYMBOLS}, w AS (SELECT id, regexp_extract_all(lower(symbol_name || ' ' || signature || ' ' || content), '[a-z0-9]+') AS ws FROM v_symbol) SELECT id, unnest(range(1, len(ws) + 1))::INTEGER AS place, unnest(ws) AS word, 0.1::DOUBLE AS weight FROM w""")
 def symbol_index(spark, sf):
     """Places of the words in the text index of symbols."""
     return lexical.index_of_symbols(v.symbols(spark, sf)).select("id", "place", "word", "weight")

@@ -145,14 +145,6 @@ def test_symbol_supplement(spark):
     assert ids("nothing", None) == [] and ids("rollup now", [1.0, 0.0], 1) == [1]
 
 
-def test_combined_match():
-    from lodestone.operators import lexical
-
-    rows = lexical.index_rows("rollUp.js", "src/rollUp.js", "episodes", None)
-    assert lexical.matches(rows, "episode") and lexical.matches(rows, "what rolls up") and not lexical.matches(rows, "zzz") and not lexical.matches(rows, "")
-    assert lexical.matches([(1, "=of", "A")], "of") and lexical.symbol_rows("f", "f(x)", None) == [(1, "=f", "D"), (2, "=f", "D"), (3, "=x", "D")]
-
-
 def test_repository_names(spark):
     e = Engine(spark.createDataFrame([(1, "me/Tool", AS_OF), (2, "1", AS_OF)], "id int, name string, created_at timestamp_ntz"), None, None, None)
     assert [e.resolve_repo(x) for x in ("me/Tool", "1", 2, "ME/tool", "tool", "you/TOOL")] == ["me/Tool", "1", "1", "me/Tool", "me/Tool", "me/Tool"]
@@ -194,20 +186,6 @@ def test_stream(spark, tmp_path):
     assert sorted(r.symbol_name for r in spark.read.parquet(f"{out}/symbols").collect()) == ["f", "g"]
 
 
-def test_cover_density(spark):
-    from lodestone.operators import lexical
-
-    rows = [(1, "~a", "A"), (2, "~b", "A"), (5, "~a", "C"), (9, "~b", "D")]
-    assert lexical.density(rows, {"~a", "~b"}, False) == pytest.approx(2.3)
-    want = 2 / 2 + (2 / (1 + 5)) / (1 + 2) + (2 / (5 + 10)) / (1 + 3)
-    assert lexical.density(rows, {"~a", "~b"}, True) == pytest.approx(want)
-    assert lexical.density(rows, {"~a", "~c"}, True) == 0
-    got = {r.id: r.score for r in lexical.cover_density(blobs(spark), "episode rollups").collect()}
-    assert set(got) == {1, 2} and got[1] == got[2]
-    assert lexical.score(lexical.index_rows("episode-rollup.js", None, None, "about rollups"), "episode rollups") > lexical.score(lexical.index_rows("rollup.js", None, None, None), "episode rollups") > 0
-    assert lexical.cover_density(blobs(spark), "zzz").count() == 0
-
-
 def test_tool_lines_leave_out_what_is_missing(spark):
     from lodestone.operators import answers
 
