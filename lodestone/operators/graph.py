@@ -85,14 +85,16 @@ def first_seeds(hop1: DataFrame) -> DataFrame:
 
 
 def bridge_neighbours(edges: DataFrame, blobs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Files one import away from the seeds (repo, seed_path), either way: latest blob of each (path, seed, edge)."""
+    """Files one import away from the seeds (repo, seed_path), either way: latest blob of each (path, seed, edge), with the edge's symbols."""
     seeds = F.broadcast(seeds.select("repo", "seed_path").distinct().limit(SEEDS))
     files = blobs.where("file_path is not null").select("repo", "file_path").distinct()
     near = seeds.select("repo", F.col("seed_path").alias("file_path"))
+    told = F.array_join("symbols", " ") if "symbols" in edges.columns else F.lit(None).cast("string")
+    edges = edges.withColumn("edge_symbols", told)
     edges = edges.join(seeds.select("repo").distinct(), "repo", "left_semi")
     out = resolve(edges.join(seeds, (edges.repo == seeds.repo) & (edges.source_path == seeds.seed_path)).select(edges["*"], "seed_path"), files)
     into = resolve(edges, near).where("file_path <> source_path").withColumn("seed_path", F.col("file_path")).withColumn("file_path", F.col("source_path"))
-    both = out.select("repo", "file_path", "seed_path", F.col("id").alias("edge_id"), "relation").unionByName(into.select("repo", "file_path", "seed_path", F.col("id").alias("edge_id"), "relation"))
+    both = out.select("repo", "file_path", "seed_path", F.col("id").alias("edge_id"), "relation", "edge_symbols").unionByName(into.select("repo", "file_path", "seed_path", F.col("id").alias("edge_id"), "relation", "edge_symbols"))
     found = blobs.select("id", "repo", "file_path", "file_name", "summary", "symbol_spine", "last_seen_at", "created_at").join(both, ["repo", "file_path"])
     return distinct_on(found, ["repo", "file_path", "seed_path", "edge_id"], [F.coalesce("last_seen_at", "created_at").desc_nulls_last(), F.desc("id")])
 
@@ -110,11 +112,16 @@ def covered(tokens: list[str]) -> Column:
     return text.count_covered(row_haystack(), tokens)
 
 
+def covered_with_edge(tokens: list[str]) -> Column:
+    """How many of the tokens a neighbour's texts hold, or the symbols of the edge that leads to it."""
+    return text.count_covered(F.concat_ws("\n", row_haystack(), F.lower(F.col("edge_symbols"))), tokens)
+
+
 def bridge_scores(neighbours: DataFrame, seed_scores: DataFrame, uncovered: list[str], top: Column | float) -> DataFrame:
     """Best row per neighbour: more uncovered tokens first, then the score min(seed * (0.72 + 0.12 * ratio), 0.84 * top, 0.84)."""
     top = F.lit(top) if isinstance(top, float) else top
     ratio = F.least(F.lit(1.0), F.col("n_uncovered") / F.lit(float(max(1, len(uncovered)))))
-    scored = neighbours.join(F.broadcast(seed_scores.limit(100)), ["repo", "seed_path"]).withColumn("n_uncovered", covered(uncovered)).where("n_uncovered > 0")
+    scored = neighbours.join(F.broadcast(seed_scores.limit(100)), ["repo", "seed_path"]).withColumn("n_uncovered", covered_with_edge(uncovered)).where("n_uncovered > 0")
     scored = scored.withColumn("score", F.least(F.col("seed_score") * (0.72 + 0.12 * ratio), F.least(0.84 * top, F.lit(0.84))))
     return distinct_on(scored, ["repo", "file_path"], [F.desc("n_uncovered"), F.desc("score"), F.desc("id"), F.asc("seed_path"), F.desc("edge_id")])
 
@@ -164,7 +171,7 @@ def expand(hop1: list[dict], query: str, blobs: DataFrame, edges: DataFrame, k:
     known = rows.select("repo", paths.strip_root(F.col("file_path")).alias("file_path")).where("file_path <> ''").distinct()
     near = bridge_neighbours(edges, blobs, seeds).join(F.broadcast(known), ["repo", "file_path"], "left_anti")
     near = near.where(~F.col("id").isin([r["id"] for r in hop1])) if hop1 else near
-    found = bridge_scores(near, scores, open_, float(max(0.0, top)) if top is not None else 0.5).withColumn("n_covered", covered(tokens))
+    found = bridge_scores(near, scores, open_, float(max(0.0, top)) if top is not None else 0.5).withColumn("n_covered", covered_with_edge(tokens))
     ordered = found.orderBy(F.desc("score"), F.desc("n_uncovered"), F.desc("n_covered"), "repo", "file_path").limit(max(BRIDGE_ROWS, 50 * k))
     bridges = [{"id": r.id, "repo": r.repo, "file_path": r.file_path, "file_name": r.file_name, "summary": r.summary or "", "symbol_spine": r.symbol_spine, "similarity": r.score, "bridge": True, "via": r.seed_path, "covered": r.n_covered} for r in ordered.collect()]
     n = {id(r): sum(row) for r, row in zip(hop1, held, strict=True)}
@@ -227,6 +234,43 @@ def two_cycles(edges: DataFrame) -> DataFrame:
     return ahead.where("a < b").join(back, ["a", "b"])
 
 
+def strong_components(edges: DataFrame, trims: int = 2) -> DataFrame:
+    """(node, component) for every node of (src, dst): component is the least node of those that reach each other.
+
+    Nodes without an edge in or without one out are trimmed, as they are alone. Of the rest each takes the greatest node that
+    reaches it; the nodes of such a colour that reach the node it is named by are one component. They leave, and the others go on.
+    Colours and reach spread from the nodes that changed in the round before, and each round is checkpointed.
+    """
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct()
+    rest = stored(edges.select("src", "dst").where("src <> dst").distinct())
+    found = None
+    while True:
+        for _ in range(trims):
+            rest = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        rest = stored(rest)
+        if rest.isEmpty():
+            break
+        colours = changed = stored(rest.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.col("node").alias("colour")))
+        while not changed.isEmpty():
+            offered = rest.join(changed.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("offer"))
+            both = stored(colours.join(offered, "node", "left").select("node", F.greatest("colour", "offer").alias("colour"), (F.col("offer") > F.col("colour")).alias("moved")))
+            colours, changed = both.select("node", "colour"), both.where("moved").select("node", "colour")
+        inside = rest.join(colours.select(F.col("node").alias("src"), "colour"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other").select("src", "dst", "colour")
+        inside = stored(inside)
+        reached = frontier = stored(colours.where("node = colour"))
+        while not frontier.isEmpty():
+            step = inside.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            frontier = stored(step.join(reached.select("node"), "node", "left_anti"))
+            reached = stored(reached.unionByName(frontier))
+        named = stored(reached.join(reached.groupBy("colour").agg(F.min("node").alias("component")), "colour").select("node", "component"))
+        found = named if found is None else stored(found.unionByName(named))
+        gone = named.select("node")
+        rest = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    if found is None:
+        return nodes.withColumn("component", F.col("node"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def unreferenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that no edge points to."""
     return nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")

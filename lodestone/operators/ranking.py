@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text, vector
-from lodestone.operators import lexical
+from lodestone.operators import ann, lexical
 from lodestone.operators.stages import stored
 from lodestone.operators.versions import drop_superseded
 
@@ -59,10 +59,20 @@ def _narrow(blobs: DataFrame, score: Column, k: int, where: Column) -> DataFrame
     return stored(scored.orderBy(F.desc_nulls_last("raw"), "id").limit(first_cut(k))).where("raw is not null")
 
 
-def dense_matches(blobs: DataFrame, query: Sequence[float], k: int, model: str = "active") -> DataFrame:
-    """(id, raw, rank) of the nearest vectors whose file has no newer version."""
-    top = drop_superseded(_narrow(blobs, vector.cosine(F.col("embedding"), _vector(query)), k, searchable(model)), blobs, first_cut(k))
-    return _ranked(top, k)
+def dense_matches(blobs: DataFrame, query: Sequence[float], k: int, model: str = "active", near: ann.VectorIndex | None = None) -> DataFrame:
+    """(id, raw, rank) of the nearest vectors whose file has no newer version. ``near``: an index of the searchable vectors, in place of the scan."""
+    if near is not None:
+        asked = blobs.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, vector array<double>")
+        found = stored(near.search(asked, first_cut(k)).select("id", F.col("cosine").alias("raw")))
+        top = _versions(blobs).join(F.broadcast(found.limit(first_cut(k))), "id")
+    else:
+        top = _narrow(blobs, vector.cosine(F.col("embedding"), _vector(query)), k, searchable(model))
+    return _ranked(drop_superseded(top, blobs, first_cut(k)), k)
+
+
+def vector_index(blobs: DataFrame, path: str, model: str = "active") -> ann.VectorIndex:
+    """Write an index of the blobs' searchable vectors."""
+    return ann.build(blobs.sparkSession, blobs.where(searchable(model)).select("id", F.col("embedding").alias("vector")), path)
 
 
 def lexical_matches(blobs: DataFrame, query: str, k: int, scorer: str = "cover", index: lexical.TextIndex | None = None, scoped: bool = False) -> DataFrame:
@@ -114,9 +124,9 @@ def preview() -> Column:
     return F.coalesce(F.col("summary"), F.left(F.col("content"), F.lit(500)))
 
 
-def dense_search(blobs: DataFrame, query: Sequence[float], as_of: datetime, k: int = 10, model: str = vector.DEFAULT_MODEL) -> DataFrame:
+def dense_search(blobs: DataFrame, query: Sequence[float], as_of: datetime, k: int = 10, model: str = vector.DEFAULT_MODEL, near: ann.VectorIndex | None = None) -> DataFrame:
     """Ordered and cut by raw cosine with decay; the calibrated score is added afterwards and does not reorder."""
-    found = dense_matches(blobs, query, k)
+    found = dense_matches(blobs, query, k, near=near)
     wide = blobs.join(F.broadcast(found), "id").withColumn("decayed", F.col("raw") * decay(as_of))
     shown = vector.calibrate(F.col("raw"), model, vector.is_sparse(_vector(query))) * decay(as_of)
     return wide.orderBy(F.desc_nulls_last("decayed"), "id").limit(k).select("id", "repo", "file_path", F.col("raw").alias("cosine"), "decayed", shown.alias("similarity"))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
 from lodestone.functions import hashing, paths, text, vector
-from lodestone.operators import answers, filters, graph, lexical, ranking, upserts, versions
+from lodestone.operators import ann, answers, filters, graph, lexical, ranking, snapshots, upserts, versions
 from lodestone.parse import frames
 from lodestone.operators.stages import scratch
 from lodestone.plans import views as v
-from lodestone.sources import files, formats
+from lodestone.sources import files, formats, paged
+from lodestone.streaming import latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -302,9 +303,9 @@ def resolved_imports(spark, sf):
 
 _SEEDS = [("src1", "src/d1.txt"), ("src2", "src/d2.txt"), ("src3", "src/d1.txt")]
 _BRIDGE = f"""{_RESOLVED}, seeds(repo, seed_path, seed_score) AS (VALUES ('src1', 'src/d1.txt', 0.9::DOUBLE), ('src2', 'src/d2.txt', 0.8::DOUBLE), ('src3', 'src/d1.txt', 0.7::DOUBLE)),
-  near AS (SELECT r.repo, r.file_path, s.seed_path, s.seed_score, r.id AS edge_id FROM resolved r JOIN seeds s ON r.repo = s.repo AND r.source_path = s.seed_path
-    UNION ALL SELECT r.repo, r.source_path, s.seed_path, s.seed_score, r.id FROM resolved r JOIN seeds s ON r.repo = s.repo AND r.file_path = s.seed_path),
-  latest AS (SELECT DISTINCT ON (n.repo, n.file_path, n.seed_path, n.edge_id) b.*, n.seed_path, n.seed_score, n.edge_id FROM near n JOIN v_blob b ON b.repo = n.repo AND b.file_path = n.file_path
+  near AS (SELECT r.repo, r.file_path, s.seed_path, s.seed_score, r.id AS edge_id, r.symbols FROM resolved r JOIN seeds s ON r.repo = s.repo AND r.source_path = s.seed_path
+    UNION ALL SELECT r.repo, r.source_path, s.seed_path, s.seed_score, r.id, r.symbols FROM resolved r JOIN seeds s ON r.repo = s.repo AND r.file_path = s.seed_path),
+  latest AS (SELECT DISTINCT ON (n.repo, n.file_path, n.seed_path, n.edge_id) b.*, n.seed_path, n.seed_score, n.edge_id, n.symbols FROM near n JOIN v_blob b ON b.repo = n.repo AND b.file_path = n.file_path
     ORDER BY n.repo, n.file_path, n.seed_path, n.edge_id, coalesce(b.last_seen_at, b.created_at) DESC NULLS LAST, b.id DESC)"""
 
 
@@ -326,13 +327,91 @@ def _covered(tokens: list[str]) -> str:
     return " + ".join("(" + " OR ".join(f"contains(h, '{f}') OR contains(hc, '{f}')" for f in forms.get(t, [t])) + ")::INTEGER" for t in tokens)
 
 
-@query(f"""{_BRIDGE}, hay AS (SELECT *, lower(coalesce(file_path, '') || chr(10) || coalesce(file_name, '') || chr(10) || coalesce(summary, '') || chr(10) || coalesce(symbol_spine, '')) AS h FROM latest),
-  hay2 AS (SELECT *, regexp_replace(h, '[_./-]+', '', 'g') AS hc FROM hay), cov AS (SELECT *, {_covered(_TOKENS)} AS n_uncovered FROM hay2),
-  scored AS (SELECT *, least(seed_score * (0.72 + 0.12 * least(1.0, n_uncovered / 3.0::DOUBLE)), least(0.84 * 0.9::DOUBLE, 0.84)) AS score FROM cov WHERE n_uncovered > 0)
-  SELECT DISTINCT ON (repo, file_path) id, repo, file_path, n_uncovered, round(score, 6) AS score FROM scored ORDER BY repo, file_path, n_uncovered DESC, score DESC, id DESC, seed_path, edge_id DESC""")
-def bridge_scores(spark, sf):
+def _bridge_sql(tokens: list[str]) -> str:
+    return f"""{_BRIDGE}, hay AS (SELECT *, lower(coalesce(file_path, '') || chr(10) || coalesce(file_name, '') || chr(10) || coalesce(summary, '') || chr(10) || coalesce(symbol_spine, '') || chr(10) || symbols) AS h FROM latest),
+  hay2 AS (SELECT *, regexp_replace(h, '[_./-]+', '', 'g') AS hc FROM hay), cov AS (SELECT *, {_covered(tokens)} AS n_uncovered FROM hay2),
+  scored AS (SELECT *, least(seed_score * (0.72 + 0.12 * least(1.0, n_uncovered / {len(tokens)}.0::DOUBLE)), least(0.84 * 0.9::DOUBLE, 0.84)) AS score FROM cov WHERE n_uncovered > 0)
+  SELECT DISTINCT ON (repo, file_path) id, repo, file_path, n_uncovered, round(score, 6) AS score FROM scored ORDER BY repo, file_path, n_uncovered DESC, score DESC, id DESC, seed_path, edge_id DESC"""
+
+
+def _bridges(spark, sf, tokens: list[str]):
     seeds = spark.createDataFrame([(*s, x) for s, x in zip(_SEEDS, (0.9, 0.8, 0.7), strict=True)], "repo string, seed_path string, seed_score double")
-    return graph.bridge_scores(_neighbours(spark, sf), seeds, _TOKENS, 0.9).select("id", "repo", "file_path", "n_uncovered", r6("score").alias("score"))
+    return graph.bridge_scores(_neighbours(spark, sf), seeds, tokens, 0.9).select("id", "repo", "file_path", "n_uncovered", r6("score").alias("score"))
+
+
+@query(_bridge_sql(_TOKENS))
+def bridge_scores(spark, sf):
+    return _bridges(spark, sf, _TOKENS)
+
+
+@query(_bridge_sql(["aliasedbridge", "sym1"]))
+def bridge_edge_symbols(spark, sf):
+    """Tokens that stand on the symbols of an edge alone."""
+    return _bridges(spark, sf, ["aliasedbridge", "sym1"])
+
+
+def _cycle_edges(spark, sf):
+    e = F.col("event_id")
+    on = v.table(spark, sf, "events").select(e.alias("src"), F.when(e % 16 != 15, e + 1).alias("dst"))
+    back = v.table(spark, sf, "events").where(e % 16 >= 9).where((e % 4 == 1) | (e % 32 > 16)).select(e.alias("src"), (e - e % 9).alias("dst"))
+    return on.unionByName(back)
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id AS src, event_id + 1 AS dst FROM events WHERE event_id % 16 <> 15 UNION ALL SELECT event_id, event_id - event_id % 9 FROM events WHERE event_id % 16 >= 9 AND (event_id % 4 = 1 OR event_id % 32 > 16)),
+  n AS (SELECT DISTINCT unnest([src, dst]) AS node FROM (SELECT src, dst FROM e UNION ALL SELECT event_id, event_id FROM events)), reach AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, e.dst FROM reach r JOIN e ON e.src = r.b)
+  SELECT r.a AS node, min(r.b) AS component FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a GROUP BY r.a""")
+def strong_components(spark, sf):
+    """Cycles of up to sixteen events, some of them through each other."""
+    return graph.strong_components(_cycle_edges(spark, sf))
+
+
+_OLD, _NEW = "NOT (b % 3 = 0 AND doc_id % 7 = 3)", "NOT (b % 3 = 0 AND doc_id % 11 = 5)"
+
+
+def _snapshots(spark, sf):
+    """Two snapshots of the documents; only files of every third folder differ."""
+    i = F.col("doc_id")
+    block = F.floor(i / 100)
+    d = v.table(spark, sf, "documents").select(F.concat(F.lit("d"), block.cast("string"), F.lit("/e"), F.floor(i / 10).cast("string"), F.lit("/f"), i.cast("string")).alias("file_path"), "doc_id", block.alias("b"), "text")
+    old = d.where(_OLD).select("file_path", F.md5(F.coalesce("text", F.lit(""))).alias("id"))
+    new = d.where(_NEW).select("file_path", F.md5(F.concat(F.coalesce("text", F.lit("")), F.when((F.col("b") % 3 == 0) & (i % 13 == 0), "x").otherwise(""))).alias("id"))
+    return snapshots.snapshot(old), snapshots.snapshot(new)
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id // 100 AS b, 'd' || (doc_id // 100)::VARCHAR || '/e' || (doc_id // 10)::VARCHAR || '/f' || doc_id::VARCHAR AS path, coalesce(text, '') AS text FROM documents),
+  o AS (SELECT path, md5(text) AS old_id FROM d WHERE {_OLD}), n AS (SELECT path, md5(text || CASE WHEN b % 3 = 0 AND doc_id % 13 = 0 THEN 'x' ELSE '' END) AS new_id FROM d WHERE {_NEW})
+  SELECT path, CASE WHEN old_id IS NULL THEN 'added' WHEN new_id IS NULL THEN 'removed' ELSE 'changed' END AS status, old_id, new_id FROM o FULL JOIN n USING (path) WHERE old_id IS DISTINCT FROM new_id""")
+def snapshot_changes(spark, sf):
+    """Two snapshots compared from their roots down, over trees that are stored once."""
+    (old, a), (new, b) = _snapshots(spark, sf)
+    return snapshots.compare(old.unionByName(snapshots.insert_trees(old, new)), a, b)
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
+def paged_conversations(spark, sf):
+    """The conversations by pages of a hundred rows, a partition a page."""
+    shape = v.table(spark, sf, "conversations").schema.simpleString()
+    rows = paged.read(spark, fetcher="lodestone.sources.paged:file_pages", path=f"{sf}/conversations.parquet")
+    return rows.select(F.from_json("row", shape).alias("r")).select("r.conv_id", "r.turn", "r.role", F.md5("r.text").alias("digest"))
+
+
+@query("SELECT user_id::VARCHAR AS key, epoch_us(max(ts)) AS at, max_by(event_id, (ts, event_id)) AS id FROM events GROUP BY user_id")
+def stream_latest_versions(spark, sf):
+    """The last event of each user, by a stream with keyed state."""
+    schema = v.table(spark, sf, "events").schema
+    # as a pattern, since a stream takes a plain path for a folder
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
+    at = scratch(spark, "stream-latest")
+    latest.start(latest.latest(rows), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return latest.current(spark, f"{at}/out")
+
+
+@query()
+def ann_neighbours(spark, sf):
+    """Ten neighbours from the index of every vector whose id is divisible by 20; approximate, so its recall is tested and not its rows."""
+    e = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = ann.build(spark, e, scratch(spark, "vector-index"))
+    return index.search(e.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "vector"), 10, rerank=100)
 
 
 @query("""WITH RECURSIVE e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem), w AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3)

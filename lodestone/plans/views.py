@@ -73,13 +73,14 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 0, F.concat(F.lit("./d"), block)).when(kind == 1, F.concat(F.lit("../src/d"), block, F.lit(".txt"))).when(kind == 2, F.concat(F.lit("d"), block, F.lit(".txt")))
         .when(kind == 3, F.concat(F.lit("../../src/d"), block, F.lit(".txt"))).otherwise(F.lit("node:fs"))
     )
-    return b.select("id", "repo", F.col("file_path").alias("source_path"), target.alias("target_path"), F.when(F.col("id") % 2 == 0, "imports").otherwise("requires").alias("relation"))
+    return b.select("id", "repo", F.col("file_path").alias("source_path"), target.alias("target_path"), F.when(F.col("id") % 2 == 0, "imports").otherwise("requires").alias("relation"),
+        F.array(F.concat(F.lit("sym"), (F.col("id") % 3).cast("string")), F.when(F.col("id") % 2 == 0, "aliasedBridge").otherwise("plain")).alias("symbols"))
 
 
 IMPORTS = """v_import AS (
   SELECT id, repo, file_path AS source_path, CASE id % 5 WHEN 0 THEN './d' || (id // 60 + id % 3)::VARCHAR WHEN 1 THEN '../src/d' || (id // 60 + id % 3)::VARCHAR || '.txt'
     WHEN 2 THEN 'd' || (id // 60 + id % 3)::VARCHAR || '.txt' WHEN 3 THEN '../../src/d' || (id // 60 + id % 3)::VARCHAR || '.txt' ELSE 'node:fs' END AS target_path,
-    CASE WHEN id % 2 = 0 THEN 'imports' ELSE 'requires' END AS relation
+    CASE WHEN id % 2 = 0 THEN 'imports' ELSE 'requires' END AS relation, 'sym' || (id % 3)::VARCHAR || ' ' || CASE WHEN id % 2 = 0 THEN 'aliasedBridge' ELSE 'plain' END AS symbols
   FROM v_blob WHERE file_path IS NOT NULL)"""
 
 HREF = 'href="([^"]+)"'

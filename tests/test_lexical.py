@@ -113,6 +113,17 @@ def plain_score(rows, query):
     return (1.5 * plain_density(rows, plain) if plain else 0) + (1.25 * plain_density(rows, stems) if stems else 0) + sum(x for _, w, x in rows if w in loose)
 
 
+@pytest.fixture
+def quick(spark):
+    """Many small plans: compiling each would take longer than running it."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.codegen.wholeStage", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    for k, x in zip(kept, ("false", "1", "false"), strict=True):
+        spark.conf.set(k, x)
+    yield
+    for k, x in kept.items():
+        spark.conf.set(k, x)
+
+
 def files(spark):
     rng = random.Random(9)
     pool = "run running runs rollUp episode episodes the of licence LICENSED auth.js src/auth token_refresh x1 y ability able".split()
@@ -124,7 +135,7 @@ def files(spark):
 QUERIES = ["running episodes", "the of", "rollUp licensed the run", "zzz !!", "", "episode rollUp auth js src f1", "who is the of run ability"]
 
 
-def test_scores_equal_the_plain_version_with_and_without_an_index(spark, tmp_path, monkeypatch):
+def test_scores_equal_the_plain_version_with_and_without_an_index(spark, quick, tmp_path, monkeypatch):
     monkeypatch.setattr(lexical, "SEGMENT", 10)
     rows, table = files(spark)
     index = lexical.build(spark, lexical.places(table), f"{tmp_path}/index", len(rows))
@@ -137,7 +148,7 @@ def test_scores_equal_the_plain_version_with_and_without_an_index(spark, tmp_pat
         assert top == [(i, pytest.approx(s)) for s, i in sorted((-round(want[i], 9), i) for i in want)[:5] for s in [-s]]
 
 
-def test_index_of_documents_skips_segments_and_equals_the_scan(spark, tmp_path, monkeypatch):
+def test_index_of_documents_skips_segments_and_equals_the_scan(spark, quick, tmp_path, monkeypatch):
     """Fifty queries of one to six words over all documents."""
     monkeypatch.setattr(lexical, "SEGMENT", 8)
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id as id", "concat('d', doc_id) as file_name", "source as file_path", "lang as symbol_spine", "text as summary")
