@@ -395,7 +395,7 @@ def paged_conversations(spark, sf):
     return rows.select(F.from_json("row", shape).alias("r")).select("r.conv_id", "r.turn", "r.role", F.md5("r.text").alias("digest"))
 
 
-@query("SELECT user_id::VARCHAR AS key, epoch_us(max(ts)) AS at, max_by(event_id, (ts, event_id)) AS id FROM events GROUP BY user_id")
+@query("SELECT user_id::VARCHAR AS key, epoch_us(max(ts)) AS latest_at, max_by(event_id, (ts, event_id)) AS id FROM events GROUP BY user_id")
 def stream_latest_versions(spark, sf):
     """The last event of each user, by a stream with keyed state."""
     schema = v.table(spark, sf, "events").schema
@@ -403,7 +403,7 @@ def stream_latest_versions(spark, sf):
     rows = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
     at = scratch(spark, "stream-latest")
     latest.start(latest.latest(rows), f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    return latest.current(spark, f"{at}/out")
+    return latest.current(spark, f"{at}/out").withColumnRenamed("at", "latest_at")
 
 
 @query()
