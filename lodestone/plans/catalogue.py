@@ -812,14 +812,28 @@ def keyword_search_words(spark, sf):
     return ranking.keyword_search(v.blobs(spark, sf), "Ther TIONS", v.AS_OF, index=_index(spark, sf)).withColumn("similarity", r6("similarity"))
 
 
-@query(f"""WITH {v.BLOBS}, {_COSINE}, {_cover('clown idiot of the tion', 'clown idiot tion', 'scores')}, lex AS (SELECT b.*, raw FROM v_blob b JOIN scores ON scores.id = b.id), {_cut('dense', 'd')}, {_cut('lex', 'x')},
+def _hybrid_cover(plain: str, stems: str) -> str:
+    return f"""WITH {v.BLOBS}, {_COSINE}, {_cover(plain, stems, 'scores')}, lex AS (SELECT b.*, raw FROM v_blob b JOIN scores ON scores.id = b.id), {_cut('dense', 'd')}, {_cut('lex', 'x')},
   fused AS (SELECT coalesce(d.id, x.id) AS id, x.raw AS lexical, coalesce(1.0::DOUBLE / (60.0::DOUBLE + d.rk), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + x.rk), 0) AS rrf FROM d FULL JOIN x ON d.id = x.id),
   final AS (SELECT b.*, f.lexical, f.rrf * exp(-0.01 * {_AGE}) AS sim FROM fused f JOIN v_blob b ON b.id = f.id)
-  SELECT id, repo, round(sim, 8) AS similarity, round(coalesce(lexical, 0), 6) AS lexical_score FROM final ORDER BY sim DESC, id LIMIT 10""")
+  SELECT id, repo, round(sim, 8) AS similarity, round(coalesce(lexical, 0), 6) AS lexical_score FROM final ORDER BY sim DESC, id LIMIT 10"""
+
+
+def _hybrid(spark, sf, q: str, index=None):
+    found = ranking.hybrid_search(v.blobs(spark, sf), q, v.query_vector(spark, sf), v.AS_OF, index=index)
+    return found.select("id", "repo", F.round("similarity", 8).alias("similarity"), r6("lexical_score").alias("lexical_score"))
+
+
+@query(_hybrid_cover("idiot", "idiot"))
 def hybrid_search_cover(spark, sf):
+    """The weighted index made in flight."""
+    return _hybrid(spark, sf, "idiot")
+
+
+@query(_hybrid_cover("clown idiot of the tion", "clown idiot tion"))
+def hybrid_search_words(spark, sf):
     """Stop words and several words, over the stored index with its block bounds."""
-    found = ranking.hybrid_search(v.blobs(spark, sf), "the clown of the idiot tion", v.query_vector(spark, sf), v.AS_OF, index=_index(spark, sf))
-    return found.select("id", "repo", F.round("similarity", 8).alias("similarity"), r6("lexical_score").alias("lexical_score"))
+    return _hybrid(spark, sf, "the clown of the idiot tion", _index(spark, sf))
 
 
 @query(f"""WITH {v.BLOBS}, {_cover('clown ther tion', 'clown ther tion')} SELECT id, round(raw, 6) AS score FROM lex ORDER BY raw DESC, id LIMIT 20""")
