@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, lexical, ranking
+from lodestone.operators import answers, graph, lexical, ranking
 from lodestone.sources import files
 
 #: Default and greatest number of results by tool.
@@ -73,6 +73,10 @@ class Engine:
         e = self._scope(self.edges, repo)
         return {"symbols": self.file_symbols(path, repo), "imports": graph.imports_of(e, path), "dependents": graph.dependents_of(e, path)}
 
+    def dependency_text(self, path: str, repo: str | int | None = None, focus: str | None = None) -> DataFrame:
+        """The lines that show it: (section, place, line)."""
+        return answers.dependency_lines(path, self.dependency_graph(path, repo), focus)
+
     def symbol_graph(self, name: str, repo: str | int | None = None) -> dict[str, DataFrame]:
         """The dependency graph of the file that declares a symbol."""
         row = ranking.symbol_lookup(self._scope(self.symbols, repo), name).first()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
@@ -18,6 +18,13 @@ EXCLUDED_FOLDERS = (
     "bench_venv mcp_env .vscode nodes sandbox logs sandbox-audits scratch mnt .agent .turbo .next out .nyc_output .source public r "
     "kaggle_games_our"
 ).split()
+#: Files whose content an embedding server does not survive.
+CRASHING_FILES = (
+    "icons.tsx open-in-chat.tsx docs-copy-page.tsx ai-sdk-agents-patterns.tsx blocks-grid.tsx home-below-hero-layouts.tsx components.json "
+    "package-lock.json ai-instructions-demo.json ai-instructions.json colors.ts blocks.ts"
+).split()
+#: Sources that get their summary first.
+TAGGED_FIRST = r"\.(ts|js|tsx|jsx|py|md)$"
 MAX_BINARY, MAX_TEXT, MAX_ANY = 100 * 1024, 500 * 1024, 50 * 1024 * 1024
 
 
@@ -36,6 +43,13 @@ def is_walked(path: Column) -> Column:
     return ~F.exists(F.split(path, "/"), odd)
 
 
+def is_taken(path: Column, prefixes: tuple[str, ...] = ()) -> Column:
+    """The file is walked, is none that crashes the embedding server, and lies at or under none of ``prefixes``. A null path is not taken."""
+    under = [(path == p) | F.startswith(path, F.lit(p + "/")) for p in (x.rstrip("/") for x in prefixes) if p]
+    held = F.greatest(*under, F.lit(False)) if under else F.lit(False)
+    return F.coalesce(is_walked(path) & ~held & ~F.element_at(F.split(path, "/"), -1).isin(*CRASHING_FILES), F.lit(False))
+
+
 def is_translation(path: Column) -> Column:
     """A translated copy of a course: under translations/ but not the English one, or a translated image."""
     copy = F.startswith(path, F.lit("translations/")) & ~F.startswith(path, F.lit("translations/en/"))
@@ -63,5 +77,13 @@ def wants_tags(summary: Column, size: Column) -> Column:
     return (summary.isNull() | (F.length(summary) >= 450) | ~F.rlike(summary, F.lit(r"(?s)\[.*\]"))) & (size > 30) & (size < 50_000)
 
 
+def tag_queue(blobs: DataFrame, limit: int | None = None, repos: tuple[str, ...] = ()) -> DataFrame:
+    """Files without a summary, of a middling size, sources first and small ones before large; of equal ones the least id."""
+    found = blobs.where(F.col("summary").isNull() & F.col("content").isNotNull() & (F.col("size") > 30) & (F.col("size") < 50_000))
+    found = found.where(F.col("repo").isin(*repos)) if repos else found
+    ranked = found.orderBy((~F.coalesce(F.rlike("file_name", F.lit(TAGGED_FIRST)), F.lit(False))).cast("int"), "size", "id")
+    return ranked if limit is None else ranked.limit(limit)
+
+
 def contains_folded(a: Column, needle: str) -> Column:
     return F.contains(F.lower(a), F.lit(needle.lower()))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
 from lodestone.functions import hashing, paths, text, vector
-from lodestone.operators import ann, answers, filters, graph, lexical, ranking, snapshots, upserts, versions
+from lodestone.operators import ann, answers, embedding, filters, graph, lexical, patterns, ranking, snapshots, substrings, upserts, versions
 from lodestone.parse import frames
 from lodestone.operators.stages import scratch
 from lodestone.plans import views as v
@@ -953,3 +953,79 @@ def stored_names(spark, sf):
     """Camel words come apart at a small letter or digit before a capital only; delimiters turn to blanks."""
     name = F.concat(F.lit("getHTTPServer.of-"), F.replace("p_type", F.lit(" "), F.lit("~")), F.lit("/"), "p_name")
     return v.table(spark, sf, "part").select("p_partkey", F.replace(text.delimiter_split(name), F.lit("~"), F.lit("_")).alias("shape"))
+
+
+# --- substrings, many identifiers, vectors in batches, the tools' longer texts -------------------------------------------
+
+
+@query("""WITH q AS (SELECT DISTINCT lower(substr(text, 101, 8 + doc_id % 5)) AS needle FROM documents WHERE doc_id % 20 = 0 AND length(substr(text, 101, 8)) = 8)
+  SELECT needle, count(*) AS n_rows, min(doc_id) AS first_id FROM q JOIN documents d ON contains(lower(d.text), needle) GROUP BY needle""")
+def trigram_contains(spark, sf):
+    """Substrings from every document whose id is divisible by 20, looked up in all documents by the trigram index."""
+    d = v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    needles = d.where("id % 20 = 0 and length(substr(text, 101, 8)) = 8").select(F.expr("substr(text, 101, 8 + id % 5)").alias("needle"))
+    found = substrings.build(d, scratch(spark, "trigrams")).search(needles, d)
+    return found.groupBy("needle").agg(F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("first_id"))
+
+
+@query(r"""WITH p AS (SELECT DISTINCT lower(x) AS pattern FROM (SELECT unnest(regexp_extract_all(html, '[a-zA-Z_$][a-zA-Z0-9_$]{3,}')) AS x FROM pages UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part UNION ALL SELECT p_name FROM part) u WHERE x <> ''),
+  h AS (SELECT pattern, count(*) AS n FROM p JOIN documents d ON contains(lower(d.text), pattern) GROUP BY pattern) SELECT p.pattern, coalesce(n, 0) AS n_rows FROM p LEFT JOIN h ON h.pattern = p.pattern""")
+def identifier_counts(spark, sf):
+    """How many documents hold each identifier of the pages and parts: one pass over the texts for all of them."""
+    part = v.table(spark, sf, "part")
+    named = v.table(spark, sf, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("[a-zA-Z_$][a-zA-Z0-9_$]{3,}"), F.lit(0))).alias("pattern"))
+    asked = named.unionByName(part.select(F.explode(F.split("p_name", " ")).alias("pattern"))).unionByName(part.select(F.col("p_name").alias("pattern")))
+    asked = asked.select(F.lower("pattern").alias("pattern")).where("pattern <> ''").distinct()
+    found = patterns.counts(v.table(spark, sf, "documents").select("text"), asked)
+    return asked.join(found, "pattern", "left").select("pattern", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+@query("""WITH n AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents), h AS (SELECT *, CASE WHEN NOT regexp_matches(t, '[^ \t\n\r\f\v]') THEN 'blank' WHEN n // 16 > 300 THEN 'overflow' ELSE 'ok' END AS status,
+    CASE WHEN n <= 300 THEN 0 WHEN n // 2 <= 300 THEN 1 WHEN n // 4 <= 300 THEN 2 WHEN n // 8 <= 300 THEN 3 ELSE 4 END AS halvings FROM n), u AS (SELECT *, CASE WHEN status = 'ok' THEN n // (1 << halvings) ELSE 0 END AS used FROM h)
+  SELECT doc_id, status, CASE WHEN status = 'blank' THEN 0 ELSE halvings END::INTEGER AS halvings, used::INTEGER AS used, CASE WHEN status = 'ok' THEN round(('0x' || substr(sha256(left(t, used)), 1, 4))::INTEGER / 65535.0::DOUBLE * 2 - 1, 6) END AS head FROM u""")
+def embedded_documents(spark, sf):
+    """Vectors of all documents through a stand-in model with a context of 300 characters, so that most texts overflow and are halved."""
+    out = embedding.embed(v.table(spark, sf, "documents"), "doc_id", "text", embedding.stand_in(16, 300))
+    return out.select(F.col("id").alias("doc_id"), "status", "halvings", "used", r6(F.get("vector", F.lit(0))).alias("head"))
+
+
+_QUEUED = "CASE WHEN id % 4 = 0 THEN replace(file_name, '.txt', '.md') ELSE file_name END"
+
+
+@query(f"""WITH {v.BLOBS} SELECT id, (row_number() OVER (ORDER BY ends_with({_QUEUED}, '.md') DESC, size, id))::INTEGER AS place FROM v_blob WHERE summary IS NULL AND content IS NOT NULL AND size > 30 AND size < 50000 QUALIFY place <= 20""")
+def tag_queue(spark, sf):
+    """The twenty files that are summarised next."""
+    b = v.blobs(spark, sf).withColumn("file_name", F.when(F.col("id") % 4 == 0, F.replace("file_name", F.lit(".txt"), F.lit(".md"))).otherwise(F.col("file_name")))
+    return filters.tag_queue(b, 20).select("id", F.row_number().over(Window.orderBy(~F.endswith("file_name", F.lit(".md")), "size", "id")).alias("place"))
+
+
+@query("SELECT page_id, page_id % 4 NOT IN (0, 1) AS taken FROM pages")
+def file_filter(spark, sf):
+    """Excluded path prefixes and files that crash the server; a prefix ends where a part of a path ends."""
+    kind, i = F.col("page_id") % 4, F.col("page_id").cast("string")
+    at = F.when(kind == 0, F.concat(F.lit("docs/projects/a"), i, F.lit(".md"))).when(kind == 1, F.concat(F.lit("lib/"), i, F.lit("/package-lock.json"))).when(kind == 2, F.concat(F.lit("docs/projects-"), i, F.lit("/a.md"))).otherwise(F.concat(F.lit("lib/docs/projects/"), i, F.lit(".md")))
+    return v.table(spark, sf, "pages").select("page_id", filters.is_taken(at, ("docs/projects",)).alias("taken"))
+
+
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), w AS (
+    SELECT doc_id, a, 1 AS n, 0 AS part, a[1] || chr(10) AS piece FROM l
+    UNION ALL SELECT doc_id, a, n + 1, CASE WHEN cut THEN part + 1 ELSE part END, CASE WHEN cut THEN line ELSE piece || line END FROM (
+      SELECT *, CASE WHEN (n + 1) % 3 = 0 THEN '## ' WHEN (n + 1) % 3 = 1 THEN '### ' ELSE '' END || a[n + 1] || chr(10) AS line, (n + 1) % 3 = 0 AND length(piece) > 400 AS cut FROM w WHERE n < len(a)) z)
+  SELECT doc_id, part::INTEGER AS part, md5(arg_max(piece, n)) AS digest FROM w GROUP BY doc_id, part HAVING regexp_matches(arg_max(piece, n), '\S')""")
+def markdown_parts(spark, sf):
+    """Long documents cut at headings of the first two levels, which every third line is made here."""
+    headed = F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.when((i + 1) % 3 == 0, "## ").when((i > 0) & ((i + 1) % 3 == 1), "### ").otherwise(""), line))
+    d = v.table(spark, sf, "documents").select("doc_id", F.array_join(headed, "\n").alias("text"))
+    return d.select("doc_id", F.posexplode(formats.markdown_parts(F.col("text"), 400)).alias("part", "piece")).select("doc_id", "part", F.md5("piece").alias("digest"))
+
+
+@query(f"""WITH {v.BLOBS}, {v.IMPORTS}, {v.SYMBOLS}, s AS (SELECT DISTINCT ON (start_line, symbol_name, symbol_type) * FROM v_symbol WHERE file_path = 'src/d2.txt' ORDER BY start_line, symbol_name, symbol_type, id DESC),
+  up AS (SELECT DISTINCT ON (target_path, relation) * FROM v_import WHERE source_path = 'src/d2.txt' ORDER BY target_path, relation, id DESC),
+  down AS (SELECT DISTINCT ON (source_path, relation) * FROM v_import WHERE target_path = 'src/d2.txt' OR ends_with(lower(target_path), 'src/d2.txt') OR contains(lower(target_path), 'd2') ORDER BY source_path, relation, id DESC),
+  lines AS (SELECT 2 AS section, start_line::VARCHAR AS k, id, '  • [' || symbol_type || '] ' || symbol_name || ' (L' || start_line || '-L' || end_line || ')' || coalesce(' [hash:' || left(symbol_hash, 12) || ']', '') AS line FROM s
+    UNION ALL SELECT 3, target_path, id, '  • ' || relation || ': ' || target_path || ' [' || replace(symbols, ' ', ', ') || ']' FROM up UNION ALL SELECT 4, source_path, id, '  • ' || source_path || ' (' || relation || ') [' || replace(symbols, ' ', ', ') || ']' FROM down),
+  heads(section, name) AS (VALUES (2, '📦 Declared Symbols'), (3, '➡️ Outbound Imports'), (4, '⬅️ Inbound Dependents')), n AS (SELECT h.section, name, count(l.id) AS n FROM heads h LEFT JOIN lines l ON l.section = h.section GROUP BY h.section, name)
+  SELECT 0 AS section, 0::BIGINT AS place, '=== 🕸️ Dependency Graph for src/d2.txt ===' AS line UNION ALL SELECT section, 0, name || ' (' || n || '):' FROM n UNION ALL SELECT section, 1, '  (none)' FROM n WHERE n = 0
+  UNION ALL SELECT section, row_number() OVER (PARTITION BY section ORDER BY k, id), line FROM lines""")
+def tool_dependency_text(spark, sf):
+    return _engine(spark, sf).dependency_text("src/d2.txt")
