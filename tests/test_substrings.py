@@ -36,6 +36,17 @@ def test_trigram_index_finds_what_a_scan_finds(spark, tmp_path, monkeypatch, few
     assert index.ids.count() > 3
 
 
+def test_patterns_share_one_automaton_and_tally_the_least_ids(spark):
+    many = spark.range(120_000).select(F.concat(F.lit("Pat"), F.col("id").cast("string")).alias("pattern"))
+    assert len(list(patterns._parts(many, patterns.PART))) == 1
+    rows = [(5, "PAT7 pat77"), (3, "pat7"), (None, "pat7 pat9"), (4, None), (9, "pat9"), (2, "")]
+    table = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    asked = spark.createDataFrame([("pat7",), ("PAT77",), ("pat9",), ("none",), ("",), (None,), ("Pat7",)], "pattern string")
+    expected = [("pat7", 3, 3), ("pat77", 1, 5), ("pat9", 2, 9)]
+    for part in (1, patterns.PART):
+        assert sorted(tuple(r) for r in patterns.tallies(table, asked, part).collect()) == expected
+
+
 def test_candidates_are_few(spark, tmp_path):
     """Candidates of fifty needles are at most ten times the hits."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id as id", "text")
