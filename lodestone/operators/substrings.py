@@ -10,6 +10,11 @@ segment by segment: a row is left if the masks, turned back by the grams' offset
 is verified in the texts, each text once for all its needles. Needles go in slices, so that a task holds the lists of one
 segment and the grams of one slice. Needles of one or two characters are the heads of grams, so the index answers them alone.
 
+A gram's rows bound a needle's candidates. The index answers the needles of the fewest candidates, up to ``CANDIDATES`` a row of the
+table and ``SLICE`` needles; many or frequent needles beyond that would cost the product of needles and rows, so an automaton
+of them reads each text once (``patterns``). Both ways are exact. ``counts`` adds up in the tasks, so no pair of a needle and a row
+that the automaton finds leaves its task.
+
 Defined results: null and empty needles find nothing, rows with a null text or id are found by nothing; rows that repeat an
 id are candidates together and verified one by one; an empty table gives an empty index. Texts and needles are compared in
 lower case.
@@ -24,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import patterns
 from lodestone.operators.stages import stored
 
 #: Rows and bytes of text in one segment on average, folders of the index, lists of a needle that meet, needles of one slice.
 SEGMENT, SEGMENT_BYTES, BUCKETS, RAREST, SLICE = 4096, 32 << 20, 64, 8, 20_000
+#: Candidates that a search takes from the index, by the rows of the index.
+CANDIDATES = 2
 #: A side of no more rows than this goes to every task.
 FEW = 100_000
 FILL, IDS = 0x1FFFFF, -1
@@ -129,16 +137,30 @@ class TrigramIndex:
         self.blocks = spark.read.schema(f"gram bigint, segment int, n int, positions array<smallint>, masks array<int>, ids array<{id_type}>, bucket int").parquet(path)
         self.lists, self.ids = self.blocks.where(F.col("bucket") != IDS), self.blocks.where(F.col("bucket") == IDS).select("segment", "ids")
 
-    def _long(self, needles: DataFrame) -> DataFrame:
-        """(needle, segment, position) of rows that may hold needles of three characters or more."""
-        wanted = stored(needles.where(F.length("needle") > 2).mapInArrow(_needle_grams, "needle string, gram long, place int"))
+    def _chosen(self, folded: DataFrame) -> DataFrame:
+        """(needle, grams, least) of needles of three characters or more whose grams all have rows: the rarest grams, and the rows of the rarest one."""
+        wanted = stored(folded.where(F.length("needle") > 2).mapInArrow(_needle_grams, "needle string, gram long, place int"))
         keys = _few(stored(wanted.select("gram").distinct().withColumn("bucket", _bucket(F.col("gram")))))
         held = self.lists.select("gram", "bucket", "n").join(keys, ["gram", "bucket"]).groupBy("gram").agg(F.sum("n").alias("rows"))
         each = Window.partitionBy("needle")
         ranked = wanted.join(held, "gram", "left").withColumns({"n": F.row_number().over(each.orderBy(F.col("rows").asc_nulls_first(), "gram")), "all": F.count("rows").over(each) == F.count(F.lit(1)).over(each)})
-        chosen = stored(ranked.where(F.col("all") & (F.col("n") <= RAREST)).groupBy("needle").agg(F.collect_list(F.struct("gram", "place")).alias("grams")))
+        return stored(ranked.where(F.col("all") & (F.col("n") <= RAREST)).groupBy("needle").agg(F.collect_list(F.struct("gram", "place")).alias("grams"), F.min("rows").alias("least")))
+
+    def _split(self, chosen: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The needles that the index answers, and those beyond its bounds, if there are any; they part at a power of two of candidates."""
+        power = F.floor(F.log2("least")).cast("int")
+        most = CANDIDATES * (self.blocks.where(F.col("bucket") == IDS).agg(F.sum("n")).first()[0] or 0)
+        pairs = needles = 0
+        for r in chosen.groupBy(power.alias("power")).agg(F.sum("least").alias("pairs"), F.count(F.lit(1)).alias("needles")).orderBy("power").collect():  # a row per power
+            pairs, needles = pairs + r.pairs, needles + r.needles
+            if pairs > most or needles > SLICE:
+                return chosen.where(power < r.power), chosen.where(power >= r.power).select("needle")
+        return chosen, None
+
+    def _long(self, chosen: DataFrame) -> DataFrame:
+        """(needle, segment, position) of rows that may hold the chosen needles."""
         shape = "needle string, segment int, position int"
-        out = needles.sparkSession.createDataFrame([], shape)
+        out = chosen.sparkSession.createDataFrame([], shape)
         slices = -(-chosen.count() // SLICE)
         for i in range(slices):
             part = chosen.where(F.pmod(F.xxhash64("needle"), F.lit(slices)) == i)
@@ -155,17 +177,43 @@ class TrigramIndex:
         met = one(1, 42).unionByName(one(2, 21)).groupBy("needle", "segment").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"))
         return met.select("needle", "segment", F.explode(F.col("positions").cast("array<int>")).alias("position"))
 
+    def _found(self, chosen: DataFrame, folded: DataFrame) -> DataFrame:
+        """Distinct (needle, id) that may match, of the chosen needles and the short ones."""
+        found = self._long(chosen).unionByName(self._short(folded)).groupBy("needle", "segment").agg(F.collect_list("position").alias("positions"))
+        return found.join(self.ids, "segment").select("needle", F.explode(F.transform("positions", lambda p: F.get("ids", p))).alias("id")).distinct()
+
     def candidates(self, needles: DataFrame) -> DataFrame:
         """Distinct (needle, id) that may match; ``needles`` has a column ``needle``. Exact for needles of up to three characters."""
-        folded = stored(needles.select(F.lower("needle").alias("needle")).where("length(needle) > 0").distinct())
-        found = self._long(folded).unionByName(self._short(folded)).groupBy("needle", "segment").agg(F.collect_list("position").alias("positions"))
-        return found.join(self.ids, "segment").select("needle", F.explode(F.transform("positions", lambda p: F.get("ids", p))).alias("id")).distinct()
+        folded = _folded(needles)
+        return self._found(self._chosen(folded), folded)
+
+    def _answered(self, needles: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """(needle, id) that the index finds in the rows, and the needles for the automaton, as patterns."""
+        folded = _folded(needles)
+        looked, scanned = self._split(self._chosen(folded))
+        by_row = stored(self._found(looked, folded).groupBy("id").agg(F.collect_list("needle").alias("needles")))
+        met = rows.select("id", F.lower("text").alias("text")).join(_few(by_row), "id")
+        found = met.select("id", "needles", "text").mapInArrow(_verified, f"needle string, id {dict(rows.dtypes)['id']}")
+        return found, None if scanned is None else scanned.withColumnRenamed("needle", "pattern")
 
     def search(self, needles: DataFrame, rows: DataFrame) -> DataFrame:
         """(needle, id) of the rows (id, text) that hold a needle, which is told in lower case."""
-        by_row = stored(self.candidates(needles).groupBy("id").agg(F.collect_list("needle").alias("needles")))
-        met = rows.select("id", F.lower("text").alias("text")).join(_few(by_row), "id")
-        return met.select("id", "needles", "text").mapInArrow(_verified, f"needle string, id {dict(rows.dtypes)['id']}")
+        found, scanned = self._answered(needles, rows)
+        if scanned is None:
+            return found
+        return found.unionByName(patterns.holders(rows.where("id is not null"), scanned).withColumnRenamed("pattern", "needle"))
+
+    def counts(self, needles: DataFrame, rows: DataFrame) -> DataFrame:
+        """(needle, n_rows, first_id): how many of the rows (id, text) hold a needle, which is told in lower case, and the least id of them."""
+        found, scanned = self._answered(needles, rows)
+        told = found.groupBy("needle").agg(F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("first_id"))
+        if scanned is None:
+            return told
+        return told.unionByName(patterns.tallies(rows.where("id is not null"), scanned).withColumnRenamed("pattern", "needle"))
+
+
+def _folded(needles: DataFrame) -> DataFrame:
+    return stored(needles.select(F.lower("needle").alias("needle")).where("length(needle) > 0").distinct())
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,6 +36,25 @@ def test_trigram_index_finds_what_a_scan_finds(spark, tmp_path, monkeypatch, few
     assert index.ids.count() > 3
 
 
+@pytest.mark.parametrize("candidates", [0, 1, 1000])
+def test_trigram_counts_leave_frequent_needles_to_one_pass(spark, tmp_path, monkeypatch, candidates):
+    monkeypatch.setattr(substrings, "SEGMENT", 50)
+    monkeypatch.setattr(substrings, "CANDIDATES", candidates)
+    rows, table = texts(spark)
+    made = random.Random(6)
+    needles = ["q", "quick", "ÉCOLE", "aaaa", "zzz", "", None] + [t[p : p + made.randint(3, 6)] for _, t in made.sample(rows[11:-3], 60) if t for p in [made.randint(0, len(t) - 1)]]
+    index = substrings.build(table, f"{tmp_path}/index")
+    asked = spark.createDataFrame([(n,) for n in needles], "needle string")
+    looked, scanned = index._split(index._chosen(substrings._folded(asked)))
+    held = index.ids.select(F.sum(F.size("ids"))).first()[0]
+    assert (looked.agg(F.sum("least")).first()[0] or 0) <= candidates * held
+    assert (scanned is None) == (candidates == 1000)
+    pairs = scan(rows, needles)
+    told = sorted((n, sum(x == n for x, _ in pairs), min(i for x, i in pairs if x == n)) for n in {n for n, _ in pairs})
+    assert sorted((r.needle, r.n_rows, r.first_id) for r in index.counts(asked, table).collect()) == told
+    assert sorted((r.needle, r.id) for r in index.search(asked, table).collect()) == pairs
+
+
 def test_patterns_share_one_automaton_and_tally_the_least_ids(spark):
     many = spark.range(120_000).select(F.concat(F.lit("Pat"), F.col("id").cast("string")).alias("pattern"))
     assert len(list(patterns._parts(many, patterns.PART))) == 1
