@@ -7,6 +7,8 @@ from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,23 @@ def test_pages_come_once_though_one_fails(spark, server):
     assert paged.read(spark, **options, start="57").collect() == []
 
 
+@pytest.mark.parametrize("start", [0, 95])
+def test_runs_of_pages_read_each_row_group_once(spark, tmp_path, monkeypatch, start):
+    monkeypatch.setattr(paged, "RUN", 3)
+    for i, (n, group) in enumerate([(95, 40), (7, 7), (310, 100), (0, 1), (3, 3)]):
+        pq.write_table(pa.table({"n": pa.array(range(i * 1000, i * 1000 + n), pa.int64())}), f"{tmp_path}/part-{i}.parquet", row_group_size=group)
+    options = {"fetcher": "lodestone.sources.paged:file_pages", "path": str(tmp_path), "page": "10", "start": str(start)}
+    expected = [i * 1000 + k for i, n in enumerate([95, 7, 310, 0, 3]) for k in range(n)]
+    rows = sorted(paged.read(spark, **options).collect())
+    assert [(r.row_idx, json.loads(r.row)["n"]) for r in rows] == list(enumerate(expected))[start:]
+    runs = paged._Pages(options).runs(start, len(expected))
+    assert sum(r.length for r in runs) == len(expected) - start and len(runs) < 10
+    groups = Counter((s[2], s[3]) for r in runs for s in r.spans)
+    assert max(groups.values()) <= 2 and sum(groups.values()) <= len(groups) + len(runs) - 1
+    many = paged._Pages({"page": "10"} | {"fetcher": "lodestone.sources.paged:http_pages"}).runs(0, 100_000)
+    assert len(many) < 10_000 and sum(r.length for r in many) == 100_000
+
+
 def test_a_page_that_fails_twice_or_is_short_fails_the_read(spark, server):
     url, state, _ = server
     options = {"url": url, "page": "10", "pause": "0.01"}
