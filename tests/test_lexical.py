@@ -4,7 +4,9 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.functions import stemming
 from lodestone.functions.text import FILLERS, py_split_camel
@@ -75,6 +77,18 @@ def plain_stem(word):
     return w.lower()
 
 
+def test_stems_of_arrays_keep_nulls_and_make_each_distinct_word_once(spark, monkeypatch):
+    rows = [["idiots", "the", "clowns"], None, [], ["d12", "idiots", None, "été"], ["clowns"]] * 40
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, ws array<string>").coalesce(1)
+    got = [r.s for r in table.orderBy("id").select(stemming.lexemes(F.col("ws")).alias("s")).collect()]
+    assert got == [None if r is None else [None if w is None else stemming.lexeme(w) for w in r] for r in rows]
+    asked = []
+    monkeypatch.setattr(stemming, "lexeme", lambda w: asked.append(w) or w)
+    words = pa.array(rows, pa.list_(pa.string()))
+    assert stemming.stems_of(words.slice(1, 150)).to_pylist() == rows[1:151]
+    assert len(asked) == 5 and stemming._stem.cache_info().maxsize <= 1 << 16
+
+
 def test_stems_of_all_words_equal_the_plain_version(spark):
     found = set()
     for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
