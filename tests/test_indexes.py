@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,30 @@ def test_vector_index_recall(spark, tmp_path, monkeypatch, table, k, rerank):
     assert all(first[q] == (q, 1.0) for q in exact)
 
 
+def test_a_query_goes_once_to_a_shard_however_many_cells_it_visits():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 8))
+    model = ann.Model.fit(x, 10_000)  # 100 cells
+    batch = pa.record_batch([pa.array(range(30)), pa.array(x[:30].tolist())], ["query_id", "vector"])
+    (out,) = ann._visits(model, 90)(iter([batch]))
+    assert out.num_rows <= 30 * ann.SHARDS < 30 * 90
+    cells = model.visited(ann.unit(x[:30]), 90)
+    told = {q: [] for q in range(30)}
+    for r in out.to_pylist():
+        assert {c % ann.SHARDS for c in r["cells"]} == {r["shard"]}
+        told[r["query_id"]] += r["cells"]
+    assert {q: sorted(c) for q, c in told.items()} == {q: sorted(c) for q, c in enumerate(cells.tolist())}
+    cell, code = model.code(x)
+    inside = np.flatnonzero(cell % ann.SHARDS == 3)
+    rows = pa.table({"cell": cell[inside].astype(np.int32), "id": inside, "code": [c.tobytes() for c in code[inside]]})
+    asked = pa.Table.from_batches([out]).filter(pc.equal(out.column("shard"), 3))
+    got = ann._score(model, 5)(rows, asked).to_pylist()
+    for r in asked.to_pylist():
+        q = ann.unit(np.array([r["vector"]]))
+        best = sorted((model.scores(q, c, code[[i]])[0, 0] for i, c in enumerate(cell) if c in r["cells"]), reverse=True)[:5]
+        assert np.allclose(sorted((g["estimate"] for g in got if g["query_id"] == r["query_id"]), reverse=True), best)
+
+
 def test_vector_index_of_awkward_rows(spark, tmp_path):
     rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [-1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [1.0, 2.0, 3.0]), (9, [None, 1.0]), (2, [0.9, 0.1])]
     table = spark.createDataFrame(rows, "id int, vector array<double>")
