@@ -2,7 +2,10 @@
 
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -13,6 +16,7 @@ from lodestone.functions.text import FILLERS, py_split_camel
 from lodestone.operators import lexical, ranking
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parent.parent
 #: Words of the algorithm's published sample with their stems.
 SAMPLE = (
     "consign:consign consigned:consign consigning:consign consignment:consign consist:consist consistency:consist consistently:consist consolation:consol consolatory:consolatori "
@@ -89,6 +93,29 @@ def test_stems_of_arrays_keep_nulls_and_make_each_distinct_word_once(spark, monk
     assert len(asked) == 5 and stemming._stem.cache_info().maxsize <= 1 << 16
 
 
+def test_memory_of_stems_does_not_grow_with_the_distinct_words():
+    """In a process of its own, as a worker is: what Python's objects take at most, for few and for many distinct words, and no pandas."""
+    code = """
+import itertools, sys, tracemalloc
+import pyarrow as pa, pyarrow.compute as pc
+from lodestone.functions import stemming
+texts = ["the", "idiots"] + ["".join(x) for x in itertools.product("bdgknrst", "aeiou", "bdgknrst", "aeiou", ["ning", "tions", "ed", "s", "12"], "xyz")]
+peaks = []
+for n in (2, 6000, len(texts)):
+    told = pa.lib.StringBuilder()
+    told.append(" ".join(texts[:n]))
+    rows = pc.split_pattern(told.finish(), " ")
+    tracemalloc.start()
+    out = stemming.stems_of(rows)
+    peaks.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert out.to_pylist() == [[stemming.lexeme(w) for w in texts[:n]]]
+print(*peaks[1:], "pandas" in sys.modules)
+"""
+    few, many, pandas = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
+    assert int(many) < 1.5 * int(few) and pandas == "False"
+
+
 def test_stems_of_all_words_equal_the_plain_version(spark):
     found = set()
     for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
